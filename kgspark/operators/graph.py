@@ -111,8 +111,8 @@ def top_k_with_other(df: DataFrame, value: str, key: str, k: int = 10) -> DataFr
     """(key, value, is_other): the k greatest and one row that sums up the rest."""
     best = top_k(df.select(key, value), value, key, k)
     rest = df.join(best.select(key), key, "left_anti").agg(
-        F.sum(value).alias(value), F.count(F.lit(1)).alias("n")
-    ).where("n > 0")
+        F.sum(value).alias(value), F.count(F.lit(1)).alias("_keys")
+    ).where("_keys > 0")
     return best.select(key, value, F.lit(False).alias("is_other")).unionByName(
         rest.select(F.lit("Other").alias(key), value, F.lit(True).alias("is_other"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from kgspark import schemas
 from kgspark.operators.ontology import Ontology, top_classes
 from kgspark.skew import DEFAULT_SKEW, SkewPolicy, dense_index, lookup_join
-from kgspark.storage import Scratch
+from kgspark.storage import Scratch, local_table
 
 
 def _star(edges: DataFrame, policy: SkewPolicy) -> DataFrame:
@@ -174,11 +174,11 @@ ARITY = {"merge": 2, "bridge": 2, "prune": 1}
 
 
 def _operation_frames(spark, op: Row, first_seq: int) -> tuple[DataFrame, DataFrame]:
-    relations = spark.createDataFrame(
-        [(r["subclass"], r["superclass"], first_seq + i) for i, r in enumerate(op["relations"] or [])],
+    relations = local_table(
+        spark, [(r["subclass"], r["superclass"], first_seq + i) for i, r in enumerate(op["relations"] or [])],
         schemas.SUBCLASS_OF,
     )
-    classes = spark.createDataFrame([(c,) for c in op["classes"] or []], "class_name string")
+    classes = local_table(spark, [(c,) for c in op["classes"] or []], "class_name string")
     return relations, classes
 
 
@@ -264,7 +264,7 @@ def fix_ontology(
     clusters = find_isolated_clusters(onto, scratch, policy)
     if ops is None:
         if cluster_count(clusters) == 0:
-            return onto, clusters.sparkSession.createDataFrame([], schemas.OPS + ", error string")
+            return onto, local_table(clusters.sparkSession, [], schemas.OPS + ", error string")
         plan = scratch.save(auto_bridge(onto, clusters), "ops")
         relations = plan.select(F.explode("relations").alias("r"), "op_seq").select(
             "r.*", (F.lit(1 << 40) + F.col("op_seq")).alias("seq")
@@ -280,4 +280,4 @@ def fix_ontology(
             onto = apply_operation(onto, op, (1 << 40) + op["op_seq"] * 1000).pinned(scratch)
             clusters = find_isolated_clusters(onto, scratch, policy)
         history.append((*op, error))
-    return onto, ops.sparkSession.createDataFrame(history, schemas.OPS + ", error string")
+    return onto, local_table(ops.sparkSession, history, schemas.OPS + ", error string")

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kgspark.operators.triples import SPO
 from kgspark.storage import Scratch
@@ -68,7 +68,7 @@ def map_model(
         for batch in batches:
             yield batch.assign(**{output: call(batch).astype("object")})[[*columns, output]]
 
-    schema = df.schema.add(output, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
     return df.mapInPandas(run, schema)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kgspark import schemas
 from kgspark.functions.scalars import starts_uppercase
 from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_keys, lookup_join
-from kgspark.storage import Scratch
+from kgspark.storage import Scratch, local_table
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,10 @@ class Ontology:
 def empty_ontology(spark: SparkSession, name: str = "ontology") -> Ontology:
     return Ontology(
         name,
-        spark.createDataFrame([], schemas.CLASSES),
-        spark.createDataFrame([], schemas.SUBCLASS_OF),
-        spark.createDataFrame([], schemas.OBJECT_PROPERTIES),
-        spark.createDataFrame([], schemas.DATA_PROPERTIES),
+        local_table(spark, [], schemas.CLASSES),
+        local_table(spark, [], schemas.SUBCLASS_OF),
+        local_table(spark, [], schemas.OBJECT_PROPERTIES),
+        local_table(spark, [], schemas.DATA_PROPERTIES),
     )
 
 
@@ -515,7 +515,7 @@ def build_incremental(
         if result.valid:
             onto = result.ontology.pinned(scratch)
         log.append((batch_id, result.valid, 0 if result.valid else result.issues.count()))
-    return onto, spark.createDataFrame(log, "batch_id long, valid boolean, n_issues long")
+    return onto, local_table(spark, log, "batch_id long, valid boolean, n_issues long")
 
 
 def ontology_metrics(onto: Ontology) -> DataFrame:
@@ -530,13 +530,18 @@ def ontology_metrics(onto: Ontology) -> DataFrame:
 
 # -------------------------------------------------------- derived ontologies
 
-def induced_properties(triples: DataFrame, types: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Profile of a typed graph: distinct (predicate, domain class, range class).
+def induced_properties(
+    triples: DataFrame, types: DataFrame, distinct: bool = True, policy: SkewPolicy = DEFAULT_SKEW
+) -> DataFrame:
+    """Profile of a typed graph: (predicate, domain class, range class, n_triples).
 
     ``types`` holds one row (subject, class_name) per entity. An untyped object
-    gives a null range: the predicate then is a data property.
+    gives a null range: the predicate then is a data property. ``distinct``
+    counts copies of a triple once.
     """
-    facts = triples.where("predicate != 'isA'").select("subject", "predicate", "object").distinct()
+    facts = triples.where("predicate != 'isA'")
+    if distinct:
+        facts = facts.select("subject", "predicate", "object").distinct()
     rows = lookup_join(
         facts, types.select("subject", F.col("class_name").alias("domain_class")), "subject",
         how="inner", hot=hot_keys(triples, "subject", policy),
@@ -600,8 +605,8 @@ def ontology_from_tables(
                 data.append((column, f"{table}.{column}", [cls], XSD_OF_TYPE[dtype], [], None, at))
     return Ontology(
         name,
-        spark.createDataFrame(classes, schemas.CLASSES),
-        spark.createDataFrame(relations, schemas.SUBCLASS_OF),
-        spark.createDataFrame(objects, schemas.OBJECT_PROPERTIES),
-        spark.createDataFrame(data, schemas.DATA_PROPERTIES),
+        local_table(spark, classes, schemas.CLASSES),
+        local_table(spark, relations, schemas.SUBCLASS_OF),
+        local_table(spark, objects, schemas.OBJECT_PROPERTIES),
+        local_table(spark, data, schemas.DATA_PROPERTIES),
     )

@@ -16,7 +16,7 @@ from kgspark import schemas
 from kgspark.functions.scalars import is_snake_case, triple_to_string
 from kgspark.operators.ontology import Ontology, all_properties, class_names, superclass_sets
 from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_keys, lookup_join
-from kgspark.storage import Scratch
+from kgspark.storage import Scratch, local_table
 
 SPO = ["subject", "predicate", "object"]
 IS_A = "isA"
@@ -141,7 +141,7 @@ def _property_code() -> Column:
 
 def _prior_types(prior: DataFrame | None, like: DataFrame) -> DataFrame:
     if prior is None:
-        return like.sparkSession.createDataFrame([], "subject string, prior_class string")
+        return local_table(like.sparkSession, [], "subject string, prior_class string")
     return entity_types(prior).withColumnRenamed("class_name", "prior_class")
 
 
@@ -164,6 +164,9 @@ def validate(
         triples = new_triples(triples, prior)
     if onto is None:
         return triples.withColumn("error_code", F.lit(None).cast("string"))
+    if scratch is not None:
+        # The rows are read for types, hot keys and verdicts: write them once.
+        triples = scratch.pin(triples, "triples")
     columns = triples.columns
     rows = _with_class_flags(triples, onto)
     supers = superclass_sets(onto, closure, scratch)
@@ -293,6 +296,7 @@ def accept_batches(
     if onto is None:
         judged = triples.withColumn("error_code", F.lit(None).cast("string"))
         return judged, triples.select("batch_id").distinct().withColumn("accepted", F.lit(True))
+    triples = scratch.pin(triples, "triples")
     columns = triples.columns
     rows = _with_class_flags(triples, onto)
     supers = superclass_sets(onto, closure, scratch)

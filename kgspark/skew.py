@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.storage import Scratch
+from kgspark.storage import Scratch, local_table
 
 
 @dataclass(frozen=True)
@@ -120,8 +120,8 @@ def dense_index(
         total += n
     if not offsets:
         return parts.select(*df.columns, F.lit(0).cast("long").alias(name))
-    table = df.sparkSession.createDataFrame(
-        [(pid, first) for pid, first in offsets.items()], "_pid int, _first long"
+    table = local_table(
+        df.sparkSession, [(pid, first) for pid, first in offsets.items()], "_pid int, _first long"
     )
     return parts.join(F.broadcast(table), "_pid").select(
         *df.columns, (F.col("_first") + F.col("_local")).alias(name)

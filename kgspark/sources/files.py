@@ -34,19 +34,18 @@ def scan_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .select("path")
+        .select("path", "length")
         .withColumn("suffix", _suffix(F.col("path")))
     )
     texts = (
         spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .withColumn("suffix", _suffix(F.col("path")))
-        .where(F.col("suffix").isin(TEXT_SUFFIXES))
+        .where(_suffix(F.col("path")).isin(TEXT_SUFFIXES) & (F.length("text") > 0))
+    )
+    empty = listed.where((F.col("length") == 0) & F.col("suffix").isin(TEXT_SUFFIXES)).select(
+        "path", F.lit("").alias("text")
     )
-    empty = listed.where(F.col("suffix").isin(TEXT_SUFFIXES)).select("path", F.lit("").alias("text"))
-    # An empty file yields no row in the text reader; it still is a document.
-    documents = texts.select("path", "text").unionByName(empty).groupBy("path").agg(F.max("text").alias("text"))
-    return documents, listed.where(F.col("suffix").isin(BINARY_SUFFIXES)).select("path")
+    return texts.unionByName(empty), listed.where(F.col("suffix").isin(BINARY_SUFFIXES)).select("path")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,14 +64,20 @@ def write_lines(df: DataFrame, text: str, path: str, order: list | None = None)
 
 # ---------------------------------------------------------------- documents
 
-def read_ontology(spark: SparkSession, path: str) -> tuple[Ontology, DataFrame]:
-    """(ontology, unreadable): an ontology document as four tables.
+def _json_documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Parsed documents with ``_corrupt_record``; bytes that are no UTF-8 are dropped."""
+    value = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    raw = spark.read.text(path, wholetext=not lines).where("trim(value) != ''")
+    return raw.select(F.from_json(value, schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+    }).alias("d"), value.alias("raw")).select("d.*", "raw").withColumn(
+        "_corrupt_record", F.when(F.col("_corrupt_record").isNotNull() | F.col("name").isNull(), F.col("raw"))
+    ).drop("raw")
 
-    Bytes that are no valid UTF-8 are dropped with their replacement sign.
-    """
-    docs = spark.read.schema(schemas.ONTOLOGY_JSON).option("multiLine", True).option(
-        "columnNameOfCorruptRecord", "_corrupt_record"
-    ).json(path)
+
+def read_ontology(spark: SparkSession, path: str) -> tuple[Ontology, DataFrame]:
+    """(ontology, unreadable): an ontology document as four tables."""
+    docs = _json_documents(spark, path, schemas.ONTOLOGY_JSON, lines=False)
     good = docs.where("_corrupt_record is null")
 
     def rows(column: str) -> DataFrame:
@@ -80,9 +85,9 @@ def read_ontology(spark: SparkSession, path: str) -> tuple[Ontology, DataFrame]:
             "r.*", F.col("seq").cast("long").alias("seq")
         )
 
-    name = good.select("name").first()
+    first = good.select("name").first()
     onto = Ontology(
-        name["name"] if name else "ontology",
+        first["name"] if first else "ontology",
         rows("classes"), rows("subclass_relations"), rows("object_properties"), rows("data_properties"),
     )
     return onto, docs.where("_corrupt_record is not null").select("_corrupt_record")
@@ -117,27 +122,14 @@ def write_ontology_tables(onto: Ontology, path: str) -> None:
         getattr(onto, name).write.parquet(f"{path}/{name}")
 
 
-def read_kg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_kg(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(triples with kg_name, batch_id, seq; unreadable): graph documents of a path.
 
     A document without triples, or with null for them, gives no rows. A graph may
-    be spread over any number of documents, one per line or one per file.
+    be spread over any number of documents: one per file, or one per line, which
+    Spark splits over tasks.
     """
-    docs = spark.read.schema(schemas.KG_JSON).option(
-        "columnNameOfCorruptRecord", "_corrupt_record"
-    ).option("multiLine", True).json(path)
-    return _explode_kg(docs)
-
-
-def read_kg_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """As read_kg for JSON lines, which Spark splits over tasks."""
-    docs = spark.read.schema(schemas.KG_JSON).option(
-        "columnNameOfCorruptRecord", "_corrupt_record"
-    ).json(path)
-    return _explode_kg(docs)
-
-
-def _explode_kg(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = _json_documents(spark, path, schemas.KG_JSON, lines)
     good = docs.where("_corrupt_record is null")
     triples = good.select("name", F.posexplode("triplets").alias("seq", "t")).select(
         F.col("name").alias("kg_name"), "t.subject", "t.predicate", "t.object",

@@ -9,49 +9,41 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.scalars import to_snake_case
 
 
 @dataclass(frozen=True)
 class Fact:
-    """One triple per row of a table, if ``when`` holds."""
+    """One triple per row of a table, if ``when`` holds; the parts are SQL expressions."""
 
-    subject: Column
+    subject: str
     predicate: str
-    object: Column
-    when: Column | None = None
+    object: str
+    when: str | None = None
     slot: int | None = None
 
 
-def entity(prefix: str, key: Column | str) -> Column:
-    """Id of a row as an entity: ``prefix_key``."""
-    return F.concat(F.lit(prefix + "_"), (F.col(key) if isinstance(key, str) else key).cast("string"))
+def entity(prefix: str, key: str) -> str:
+    """SQL for the id of a row as an entity: ``prefix_key``."""
+    return f"concat('{prefix}_', {key})"
 
 
-def triples_from_table(
-    df: DataFrame, facts: list[Fact], batch_id: Column, first_seq: Column
-) -> DataFrame:
+def triples_from_table(df: DataFrame, facts: list[Fact], batch_id: str, first_seq: str) -> DataFrame:
     """Explode the facts of each row; ``seq`` is ``first_seq`` plus the fact's slot."""
     structs = []
     for position, fact in enumerate(facts):
-        triple = F.struct(
-            fact.subject.alias("subject"),
-            F.lit(fact.predicate).alias("predicate"),
-            fact.object.cast("string").alias("object"),
-            F.lit(position if fact.slot is None else fact.slot).cast("long").alias("slot"),
+        slot = position if fact.slot is None else fact.slot
+        triple = (
+            f"named_struct('subject', {fact.subject}, 'predicate', '{fact.predicate}', "
+            f"'object', cast({fact.object} as string), 'batch_id', cast({batch_id} as bigint), "
+            f"'seq', cast({first_seq} as bigint) + {slot})"
         )
-        structs.append(triple if fact.when is None else F.when(fact.when, triple))
-    rows = df.select(
-        batch_id.cast("long").alias("batch_id"),
-        first_seq.cast("long").alias("first_seq"),
-        F.explode(F.array(*structs)).alias("t"),
-    )
+        structs.append(triple if fact.when is None else f"if({fact.when}, {triple}, null)")
     # A fact whose condition fails, or with a missing end, gives no triple.
-    return rows.where("t.subject is not null and t.object is not null").select(
-        "t.subject", "t.predicate", "t.object", "batch_id",
-        (F.col("first_seq") + F.col("t.slot")).alias("seq"),
+    return df.selectExpr(f"inline(array({', '.join(structs)}))").where(
+        "subject is not null and object is not null"
     )
 
 
@@ -60,21 +52,21 @@ def triples_from_tables(parts: list[DataFrame]) -> DataFrame:
 
 
 def triples_from_links(
-    pages: DataFrame, subject: Column, html: str, predicate: str = "linksTo"
+    pages: DataFrame, subject: str, html: str, predicate: str = "linksTo"
 ) -> DataFrame:
     """One triple per href of a page; the position in the page is the ``seq``."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*)"'), F.lit(1))
-    return pages.select(subject.alias("subject"), F.posexplode(hrefs).alias("seq", "object")).select(
+    return pages.select(F.expr(subject).alias("subject"), F.posexplode(hrefs).alias("seq", "object")).select(
         "subject", F.lit(predicate).alias("predicate"), "object", F.col("seq").cast("long").alias("seq")
     )
 
 
 def triples_from_json(
-    df: DataFrame, subject: Column, json: str, prefix: str = "has"
+    df: DataFrame, subject: str, json: str, prefix: str = "has"
 ) -> DataFrame:
     """One triple per key of a flat JSON object: (subject, hasKey, value)."""
     entries = F.explode(F.map_entries(F.from_json(F.col(json), "map<string,string>"))).alias("e")
-    return df.select(subject.alias("subject"), entries).select(
+    return df.select(F.expr(subject).alias("subject"), entries).select(
         "subject",
         F.concat(F.lit(prefix), F.initcap("e.key")).alias("predicate"),
         F.col("e.value").alias("object"),
@@ -82,14 +74,14 @@ def triples_from_json(
 
 
 def triples_from_pattern(
-    docs: DataFrame, subject: Column, text: str, predicate: str, pattern: str, group: int = 1,
+    docs: DataFrame, subject: str, text: str, predicate: str, pattern: str, group: int = 1,
     as_entity: bool = True,
 ) -> DataFrame:
     """One triple per match of a rule in the whole text of a document."""
     found = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias("m")
     value = to_snake_case("m") if as_entity else F.col("m")
     return (
-        docs.select(subject.alias("subject"), found)
+        docs.select(F.expr(subject).alias("subject"), found)
         .select("subject", F.lit(predicate).alias("predicate"), value.alias("object"))
         .where("object != ''")
     )

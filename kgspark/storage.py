@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -62,6 +64,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def pin(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Save a frame unless it is a scratch table already."""
+        return df if hasattr(df, "_scratch_path") else self.save(df, name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of finished loop rounds."""
         for table in tables:
@@ -69,3 +75,14 @@ class Scratch:
             if path and path.startswith(self.path):
                 fs, jpath = hadoop_path(self.spark, path)
                 fs.delete(jpath, True)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-sized table whose exact size Catalyst knows.
+
+    Passed as an Arrow table it becomes a local relation; a plain list would
+    become an RDD of unknown size, and joins with it would shuffle both sides.
+    """
+    struct = T.StructType.fromDDL(schema)
+    data = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(struct)), struct)
