@@ -217,7 +217,11 @@ def judge_classes(
 def check_classes(
     onto: Ontology, classes: DataFrame, policy: SkewPolicy = DEFAULT_SKEW
 ) -> DataFrame:
-    judged = judge_classes(onto, classes, policy).where("code is not null")
+    return class_issues(judge_classes(onto, classes, policy))
+
+
+def class_issues(judged: DataFrame) -> DataFrame:
+    judged = judged.where("code is not null")
     exists = F.col("code") == "class_already_exists"
     return _issues(
         judged,
@@ -303,8 +307,11 @@ def check_subclass_relations(
     onto: Ontology, known: DataFrame, relations: DataFrame, supers: DataFrame,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
+    return relation_issues(judge_relations(onto, known, relations, supers, policy))
+
+
+def relation_issues(judged: DataFrame) -> DataFrame:
     """Issues of the relation rules; a row can have two (repeated and one more)."""
-    judged = judge_relations(onto, known, relations, supers, policy)
     codes = F.array_compact(F.array(
         F.when(F.col("earlier").isNotNull(), F.lit("subclass_already_has_superclass")), F.col("code")
     ))
@@ -463,35 +470,33 @@ class DeltaResult:
     ontology: Ontology
 
 
-def delta_issues(
-    onto: Ontology, delta: Ontology, closure: str = "direct", scratch: Scratch | None = None,
+def try_add_concepts(
+    onto: Ontology, delta: Ontology, scratch: Scratch, closure: str = "direct",
     policy: SkewPolicy = DEFAULT_SKEW,
-) -> tuple[DataFrame, DataFrame]:
-    """(class issues, other issues); the second only counts if the first is empty."""
-    class_issues = check_classes(onto, delta.classes, policy)
-    grown = replace(onto, classes=onto.classes.unionByName(accepted_classes(onto, delta.classes, policy)))
-    known = class_names(grown)
-    supers = superclass_sets(grown, closure, scratch)
-    relations = judge_relations(onto, known, delta.subclass_of, supers, policy)
+) -> DeltaResult:
+    """All or nothing: the extended ontology if there is no issue, else the old one.
+
+    Issues of classes end the check; else the relation, root and property rules
+    are applied. Verdicts that later rules read are written in between.
+    """
+    classes = scratch.save(judge_classes(onto, delta.classes, policy), "judged_classes")
+    issues = class_issues(classes)
+    if not issues.isEmpty():
+        return DeltaResult(False, issues, onto)
+    grown = replace(onto, classes=onto.classes.unionByName(delta.classes))
+    known = scratch.save(class_names(grown), "known")
+    supers = scratch.save(superclass_sets(grown, closure, scratch), "supers")
+    relations = scratch.save(
+        judge_relations(onto, known, delta.subclass_of, supers, policy), "judged_relations"
+    )
     accepted = relations.where("code is null").select("subclass", "superclass", "seq")
     after = replace(grown, subclass_of=onto.subclass_of.unionByName(accepted))
-    other = (
-        check_subclass_relations(onto, known, delta.subclass_of, supers, policy)
+    issues = scratch.save(
+        relation_issues(relations)
         .unionByName(check_roots(delta.classes, after))
-        .unionByName(check_properties(onto, known, delta.object_properties, delta.data_properties, policy))
+        .unionByName(check_properties(onto, known, delta.object_properties, delta.data_properties, policy)),
+        "issues",
     )
-    return class_issues, other
-
-
-def try_add_concepts(
-    onto: Ontology, delta: Ontology, scratch: Scratch, closure: str = "direct",
-    policy: SkewPolicy = DEFAULT_SKEW,
-) -> DeltaResult:
-    """All or nothing: the extended ontology if there is no issue, else the old one."""
-    class_issues, other = delta_issues(onto, delta, closure, scratch, policy)
-    issues = scratch.save(class_issues, "issues")
-    if issues.isEmpty():
-        issues = scratch.save(other, "issues")
     valid = issues.isEmpty()
     return DeltaResult(valid, issues, extend(onto, delta) if valid else onto)
 

@@ -9,14 +9,15 @@ shuffle per triple end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark import schemas
 from kgspark.functions.scalars import is_snake_case, triple_to_string
 from kgspark.operators.ontology import Ontology, all_properties, class_names, superclass_sets
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_keys, lookup_join
-from kgspark.storage import Scratch, local_table
+from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_ends, lookup_join
+from kgspark.storage import Scratch
 
 SPO = ["subject", "predicate", "object"]
 IS_A = "isA"
@@ -70,6 +71,23 @@ def is_valid_for(subject_supers: Column, object_supers: Column, domain: Column,
 
 # --------------------------------------------------------------- validation
 
+@dataclass(frozen=True)
+class Rules:
+    """What validation asks of an ontology, as three written lookup tables."""
+
+    names: DataFrame
+    properties: DataFrame
+    supers: DataFrame
+
+
+def prepare_rules(onto: Ontology, scratch: Scratch, closure: str = "direct") -> Rules:
+    return Rules(
+        scratch.save(class_names(onto).select("name_key"), "names"),
+        scratch.save(all_properties(onto).withColumnRenamed("name", "predicate"), "properties"),
+        scratch.save(superclass_sets(onto, closure, scratch), "supers"),
+    )
+
+
 # Joins with ontology tables are plain: these are schema-sized, Spark measures
 # them and broadcasts them if they are small, else adaptive execution splits the
 # skewed parts. Joins with the types of entities grow with the graph, and use
@@ -82,10 +100,9 @@ def _flag(df: DataFrame, column: str, names: DataFrame, out: str) -> DataFrame:
     return marked.withColumn(out, F.coalesce(out, F.lit(False))).drop("name_key")
 
 
-def _with_class_flags(triples: DataFrame, onto: Ontology) -> DataFrame:
-    names = class_names(onto)
-    rows = _flag(triples, "subject", names, "subject_is_class")
-    return _flag(rows, "object", names, "object_is_class")
+def _with_class_flags(triples: DataFrame, rules: Rules) -> DataFrame:
+    rows = _flag(triples, "subject", rules.names, "subject_is_class")
+    return _flag(rows, "object", rules.names, "object_is_class")
 
 
 def _defining(rows: DataFrame) -> DataFrame:
@@ -95,13 +112,8 @@ def _defining(rows: DataFrame) -> DataFrame:
     )
 
 
-def _join_property(rows: DataFrame, onto: Ontology) -> DataFrame:
-    properties = all_properties(onto).withColumnRenamed("name", "predicate")
-    return rows.join(properties, "predicate", "left")
-
-
-def _join_supers(rows: DataFrame, supers: DataFrame, column: str, out: str) -> DataFrame:
-    table = supers.select(F.col("class_name").alias(column), F.col("supers").alias(out))
+def _join_supers(rows: DataFrame, rules: Rules, column: str, out: str) -> DataFrame:
+    table = rules.supers.select(F.col("class_name").alias(column), F.col("supers").alias(out))
     return rows.join(table, column, "left")
 
 
@@ -139,18 +151,19 @@ def _property_code() -> Column:
     )
 
 
-def _prior_types(prior: DataFrame | None, like: DataFrame) -> DataFrame:
-    if prior is None:
-        return local_table(like.sparkSession, [], "subject string, prior_class string")
+BEFORE_ALL = -(1 << 62)  # batch of a type that was known beforehand
+
+
+def _prior_types(prior: DataFrame) -> DataFrame:
     return entity_types(prior).withColumnRenamed("class_name", "prior_class")
 
 
 def validate(
     triples: DataFrame,
-    onto: Ontology | None,
+    onto: Ontology | Rules | None,
+    scratch: Scratch,
     prior: DataFrame | None = None,
     closure: str = "direct",
-    scratch: Scratch | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Row mode: every row judged on its own; ``error_code`` is null if accepted.
@@ -164,13 +177,12 @@ def validate(
         triples = new_triples(triples, prior)
     if onto is None:
         return triples.withColumn("error_code", F.lit(None).cast("string"))
-    if scratch is not None:
-        # The rows are read for types, hot keys and verdicts: write them once.
-        triples = scratch.pin(triples, "triples")
+    rules = onto if isinstance(onto, Rules) else prepare_rules(onto, scratch, closure)
     columns = triples.columns
-    rows = _with_class_flags(triples, onto)
-    supers = superclass_sets(onto, closure, scratch)
-    hot = {end: hot_keys(triples, end, policy) for end in ("subject", "object")}
+    # The rows are read three times (hot keys, types, verdicts), each time only the
+    # columns needed. A caller whose input is costly to compute pins it first.
+    rows = _with_class_flags(triples, rules)
+    hot = hot_ends(triples, ["subject", "object"], scratch, policy)
 
     first = (
         _defining(rows)
@@ -178,12 +190,17 @@ def validate(
         .agg(F.min(F.struct("batch_id", "seq", "object")).alias("d"))
         .select("subject", "d.batch_id", "d.seq", F.col("d.object").alias("class"))
     )
-    types = first.join(_prior_types(prior, triples), "subject", "full_outer").select(
-        "subject",
-        F.when(F.col("prior_class").isNotNull(), F.lit(-(1 << 62))).otherwise(F.col("batch_id")).alias("def_batch"),
-        F.when(F.col("prior_class").isNotNull(), F.lit(-1)).otherwise(F.col("seq")).alias("def_seq"),
-        F.coalesce("prior_class", "class").alias("def_class"),
-    )
+    if prior is None:
+        types = first.toDF("subject", "def_batch", "def_seq", "def_class")
+    else:
+        given = F.col("prior_class").isNotNull()
+        types = first.join(_prior_types(prior), "subject", "full_outer").select(
+            "subject",
+            F.when(given, F.lit(BEFORE_ALL)).otherwise(F.col("batch_id")).alias("def_batch"),
+            F.when(given, F.lit(-1)).otherwise(F.col("seq")).alias("def_seq"),
+            F.coalesce("prior_class", "class").alias("def_class"),
+        )
+    types = scratch.save(types, "types")
 
     isa = lookup_join(rows.where(F.col("predicate") == IS_A), types, "subject", hot=hot["subject"])
     place = F.struct("batch_id", "seq")
@@ -203,10 +220,10 @@ def validate(
         ),
     )
     isa = isa.withColumn("object_class", F.col("object"))
-    isa = _join_supers(isa, supers, "object_class", "object_type_supers")
+    isa = _join_supers(isa, rules, "object_class", "object_type_supers")
     isa = isa.select(*columns, _isa_code().alias("error_code"))
 
-    facts = _join_property(rows.where(F.col("predicate") != IS_A), onto)
+    facts = rows.where(F.col("predicate") != IS_A).join(rules.properties, "predicate", "left")
     for end in ("subject", "object"):
         seen = types.select(
             F.col("subject").alias(end),
@@ -217,7 +234,7 @@ def validate(
         facts = facts.withColumn(
             f"{end}_type", F.when(F.col("seen_from") <= F.col("batch_id"), F.col("seen_class"))
         ).drop("seen_from", "seen_class")
-        facts = _join_supers(facts, supers, f"{end}_type", f"{end}_supers")
+        facts = _join_supers(facts, rules, f"{end}_type", f"{end}_supers")
     facts = facts.select(*columns, _property_code().alias("error_code"))
     return isa.unionByName(facts)
 
@@ -276,7 +293,7 @@ def validation_report(judged: DataFrame) -> DataFrame:
 
 def accept_batches(
     triples: DataFrame,
-    onto: Ontology | None,
+    onto: Ontology | Rules | None,
     scratch: Scratch,
     prior: DataFrame | None = None,
     closure: str = "direct",
@@ -296,13 +313,10 @@ def accept_batches(
     if onto is None:
         judged = triples.withColumn("error_code", F.lit(None).cast("string"))
         return judged, triples.select("batch_id").distinct().withColumn("accepted", F.lit(True))
-    triples = scratch.pin(triples, "triples")
+    rules = onto if isinstance(onto, Rules) else prepare_rules(onto, scratch, closure)
     columns = triples.columns
-    rows = _with_class_flags(triples, onto)
-    supers = superclass_sets(onto, closure, scratch)
-    hot = {
-        end: scratch.save(hot_keys(triples, end, policy), "hot") for end in ("subject", "object")
-    }
+    rows = _with_class_flags(triples, rules)
+    hot = hot_ends(triples, ["subject", "object"], scratch, policy)
 
     # Definers within each batch do not depend on what is accepted.
     own = scratch.save(
@@ -311,33 +325,32 @@ def accept_batches(
         ).select("subject", "batch_id", F.col("d.seq").alias("own_seq"), F.col("d.object").alias("own_class")),
         "own_types",
     )
-    prior_types = _prior_types(prior, triples)
-
     isa = rows.where(F.col("predicate") == IS_A).join(own, ["subject", "batch_id"], "left")
     isa = isa.withColumn("object_class", F.col("object"))
-    isa = scratch.save(_join_supers(isa, supers, "object_class", "object_type_supers"), "isa")
+    isa = scratch.save(_join_supers(isa, rules, "object_class", "object_type_supers"), "isa")
 
-    facts = _join_property(rows.where(F.col("predicate") != IS_A), onto)
+    facts = rows.where(F.col("predicate") != IS_A).join(rules.properties, "predicate", "left")
     for end in ("subject", "object"):
         mine = own.select(F.col("subject").alias(end), "batch_id", F.col("own_class").alias(f"{end}_own"))
         facts = facts.join(mine, [end, "batch_id"], "left")
     facts = scratch.save(facts, "facts")
-    batch_ids = scratch.save(triples.select("batch_id").distinct(), "batches")
+    batch_ids = rows.select("batch_id").distinct()
 
     state = scratch.save(batch_ids.withColumn("accepted", F.lit(True)), "accepted")
     for _ in range(max_rounds):
         first = own.join(state.where("accepted"), "batch_id").groupBy("subject").agg(
             F.min(F.struct("batch_id", "own_class")).alias("d")
         ).select("subject", F.col("d.batch_id").alias("from_batch"), F.col("d.own_class").alias("from_class"))
-        types = scratch.save(
-            first.join(prior_types, "subject", "full_outer").select(
+        if prior is None:
+            types = first.toDF("subject", "def_batch", "earlier_class")
+        else:
+            types = first.join(_prior_types(prior), "subject", "full_outer").select(
                 "subject",
-                F.when(F.col("prior_class").isNotNull(), F.lit(-(1 << 62)))
+                F.when(F.col("prior_class").isNotNull(), F.lit(BEFORE_ALL))
                 .otherwise(F.col("from_batch")).alias("def_batch"),
                 F.coalesce("prior_class", "from_class").alias("earlier_class"),
-            ),
-            "types",
-        )
+            )
+        types = scratch.save(types, "types")
 
         typed = lookup_join(isa, types, "subject", hot=hot["subject"])
         earlier = F.coalesce(F.col("def_batch") < F.col("batch_id"), F.lit(False))
@@ -361,10 +374,10 @@ def accept_batches(
                 F.when(F.col("def_batch") < F.col("batch_id"), F.col("earlier_class"))
                 .otherwise(F.col(f"{end}_own")),
             ).drop("def_batch", "earlier_class")
-            typed = _join_supers(typed, supers, f"{end}_type", f"{end}_supers")
+            typed = _join_supers(typed, rules, f"{end}_type", f"{end}_supers")
         judged_facts = typed.select(*columns, _property_code().alias("error_code"))
 
-        judged = scratch.save(judged_isa.unionByName(judged_facts), "judged")
+        judged = judged_isa.unionByName(judged_facts)
         verdicts = judged.groupBy("batch_id").agg(
             F.bool_and(F.col("error_code").isNull()).alias("accepted")
         )
@@ -374,7 +387,7 @@ def accept_batches(
         )
         if changed.isEmpty():
             return judged, after
-        scratch.drop(state, judged, types)
+        scratch.drop(state, types)
         state = after
     raise RuntimeError("batch acceptance did not settle")
 
@@ -389,7 +402,7 @@ def accepted_batch_triples(judged: DataFrame, batches: DataFrame) -> DataFrame:
 
 def run_epochs(
     extract: Callable[[DataFrame, int], DataFrame],
-    spark_empty: DataFrame,
+    empty: DataFrame,
     onto: Ontology | None,
     scratch: Scratch,
     epochs: int = 3,
@@ -400,12 +413,13 @@ def run_epochs(
     ``extract(kg, epoch)`` returns candidate triples. Returns (kg, progress) with
     progress rows (epoch, batch_id, candidates, new_triples, total).
     """
-    kg = scratch.save(spark_empty, "kg")
+    kg = scratch.save(empty, "kg")
+    rules = None if onto is None else prepare_rules(onto, scratch)
     progress = []
     for epoch in range(epochs):
         candidates = extract(kg, epoch)
         judged = scratch.save(
-            validate(candidates, onto, prior=kg, scratch=scratch, policy=policy), "judged"
+            validate(candidates, rules, scratch, prior=kg if epoch else None, policy=policy), "judged"
         )
         found = scratch.save(accumulate_first(accepted(judged)), "found")
         log = (

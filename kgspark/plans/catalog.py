@@ -5,7 +5,7 @@ from importlib import import_module
 from kgspark.plans.registry import ORACLES, QUERIES
 
 MODULES = [
-    "scalar_queries", "text_queries", "question_queries", "triple_queries",
+    "scalar_queries", "text_queries", "question_queries", "triple_queries", "ontology_queries",
 ]
 
 

@@ -57,7 +57,8 @@ v AS MATERIALIZED (
 
 def judged_raw(t, prior=True):
     given = prior_triples(t) if prior else None
-    return T.validate(raw_triples(t), star_ontology(t.spark), given, scratch=t.scratch)
+    raw = t.scratch.save(raw_triples(t), "raw")
+    return T.validate(raw, star_ontology(t.spark), t.scratch, given)
 
 
 @query("T1_new_triples", f"""WITH {SQL_RAW}, {SQL_PRIOR}
@@ -129,14 +130,15 @@ acc AS (SELECT b, CASE WHEN b < 4 THEN NOT bad ELSE
   NOT EXISTS (SELECT 1 FROM own x WHERE x.b BETWEEN own.b - (own.b - 4) % 4 AND own.b AND x.bad AND x.b >= 4) END AS accepted FROM own)
 SELECT accepted, count(*) AS n, CAST(sum(b) AS BIGINT) AS batch_sum FROM acc GROUP BY 1""")
 def t7(t):
-    _, batches = T.accept_batches(raw_triples(t), star_ontology(t.spark), t.scratch)
+    raw = t.scratch.save(raw_triples(t), "raw")
+    _, batches = T.accept_batches(raw, star_ontology(t.spark), t.scratch)
     return batches.groupBy("accepted").agg(N, F.sum("batch_id").alias("batch_sum"))
 
 
 @query("T8_no_ontology_mode", f"""WITH {SQL_RAW}
 SELECT p AS predicate, count(*) AS n, CAST(0 AS BIGINT) AS n_errors FROM kg GROUP BY 1""")
 def t8(t):
-    judged = T.validate(raw_triples(t), None)
+    judged = T.validate(raw_triples(t), None, t.scratch)
     return judged.groupBy("predicate").agg(N, F.count("error_code").alias("n_errors"))
 
 

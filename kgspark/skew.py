@@ -61,6 +61,26 @@ def hot_keys(
     )
 
 
+def hot_ends(
+    df: DataFrame, columns: list[str], scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW
+) -> dict[str, DataFrame]:
+    """Hot keys of several columns, found in one pass and written as a tiny table."""
+    rows = df.sample(fraction=policy.sample, seed=7) if policy.sample < 1.0 else df
+    tagged = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("hot_key")) for c in columns
+    ])).alias("k")).select("k.*").where("hot_key is not null")
+    n = F.col("n") / F.lit(min(policy.sample, 1.0))
+    counts = tagged.groupBy("column", "hot_key").agg(F.count(F.lit(1)).alias("n")).where(n >= policy.min_rows)
+    found = scratch.save(
+        counts.orderBy(F.desc("n"), "column", "hot_key").limit(policy.max_keys).select(
+            "column", "hot_key",
+            F.least(F.ceil(n / policy.rows_per_split), F.lit(policy.max_splits)).cast("int").alias("splits"),
+        ),
+        "hot",
+    )
+    return {c: found.where(F.col("column") == c).select("hot_key", "splits") for c in columns}
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
