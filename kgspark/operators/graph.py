@@ -304,16 +304,16 @@ def fuzzy_search(
 
 
 def search_graph(
-    node_table: DataFrame, edges: DataFrame, query: str, scope: str = "all", k: int = 10
+    node_table: DataFrame, edges: DataFrame, query: str, scope: str = "all", threshold: float = 0.3, k: int = 10
 ) -> DataFrame:
     """Search nodes (label, group) and edges (label, ends): (kind, item, score)."""
     parts = []
     if scope in ("all", "nodes"):
-        hits = fuzzy_search(node_table.select("node", "group"), ["node", "group"], query, k=k)
+        hits = fuzzy_search(node_table.select("node", "group"), ["node", "group"], query, threshold, k)
         parts.append(hits.select(F.lit("node").alias("kind"), F.col("node").alias("item"), "score"))
     if scope in ("all", "edges"):
         hits = fuzzy_search(
-            edges.select("source", "label", "target").distinct(), ["label", "source", "target"], query, k=k
+            edges.select("source", "label", "target").distinct(), ["label", "source", "target"], query, threshold, k
         )
         item = F.concat_ws(" ", "source", "label", "target").alias("item")
         parts.append(hits.select(F.lit("edge").alias("kind"), item, "score"))

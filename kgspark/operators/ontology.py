@@ -512,14 +512,17 @@ def build_incremental(
     """
     spark = concept_batches.sparkSession
     batches = scratch.save(concept_batches, "concepts")
-    log = []
+    base, accepted, log = onto, [], []
     for row in batches.select("batch_id").distinct().orderBy("batch_id").toLocalIterator():
         batch_id = row["batch_id"]
         delta = split_concepts(batches.where(F.col("batch_id") == batch_id))
         result = try_add_concepts(onto, delta, scratch, closure, policy)
-        if result.valid:
-            onto = result.ontology.pinned(scratch)
         log.append((batch_id, result.valid, 0 if result.valid else result.issues.count()))
+        if result.valid:
+            # The state is a filter on the concept table, so plans do not grow.
+            accepted.append((batch_id,))
+            taken = local_table(spark, accepted, "batch_id long")
+            onto = extend(base, split_concepts(batches.join(taken, "batch_id", "left_semi")))
     return onto, local_table(spark, log, "batch_id long, valid boolean, n_issues long")
 
 

@@ -6,6 +6,7 @@ from kgspark.plans.registry import ORACLES, QUERIES
 
 MODULES = [
     "scalar_queries", "text_queries", "question_queries", "triple_queries", "ontology_queries",
+    "hierarchy_queries", "graph_queries",
 ]
 
 
