@@ -12,12 +12,12 @@ from kgspark.skew import DEFAULT_SKEW, SkewPolicy, dense_index, lookup_join
 from kgspark.storage import Scratch, local_table
 
 
-def _star(edges: DataFrame, policy: SkewPolicy) -> DataFrame:
+def _star(edges: DataFrame, policy: SkewPolicy, rows: int) -> DataFrame:
     """Join each row (node, other) with (node, low): the least id next to node."""
     lows = edges.groupBy("node").agg(
         F.least(F.col("node"), F.min("other")).alias("low"), F.count(F.lit(1)).alias("n")
     )
-    return lookup_join(edges, lows, "node", how="inner", policy=policy, weight="n")
+    return lookup_join(edges, lows, "node", how="inner", policy=policy, weight="n", rows=rows)
 
 
 def connected_components(
@@ -33,50 +33,48 @@ def connected_components(
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where(
         "node is not null and other is not null"
     )
-    loops = scratch.save(pairs.select("node").union(pairs.select("other")).distinct(), "nodes")
+    nodes = scratch.save(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "nodes")
     links = scratch.save(
         pairs.where("node != other").select(
             F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")
         ).distinct(),
         "links",
     )
-
-    def mark(table: DataFrame) -> tuple:
-        row = table.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "other"))
-        ).first()
-        return tuple(row)
-
-    state = mark(links)
     for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        large = _star(both, policy).where("other > node and other != low").select(
+        if _is_star_forest(links):
+            return nodes.join(links, "node", "left").select(
+                "node", F.coalesce("other", "node").alias("component")
+            )
+        n = links.count()
+        both = links.select(F.explode(F.array(
+            F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))
+        )).alias("e")).select("e.*")
+        large = _star(both, policy, 2 * n).where("other > node and other != low").select(
             F.col("other").alias("node"), F.col("low").alias("other")
         ).distinct()
         large = scratch.save(large, "large")
-        small = _star(large, policy)
-        small = small.select(F.explode(F.array(
+        small = _star(large, policy, n).select(F.explode(F.array(
             F.struct(F.col("other").alias("node"), F.col("low").alias("other")),
             F.struct(F.col("node").alias("node"), F.col("low").alias("other")),
         )).alias("e")).select("e.*").where("node != other").distinct()
         small = scratch.save(small, "links")
         scratch.drop(links, large)
         links = small
-        after = mark(links)
-        if after == state and _is_star_forest(links):
-            return loops.join(links, "node", "left").select(
-                "node", F.coalesce("other", "node").alias("component")
-            )
-        state = after
     raise RuntimeError("components did not settle")
 
 
 def _is_star_forest(links: DataFrame) -> bool:
-    """Every leaf has one centre, and no centre is itself a leaf."""
-    if not links.groupBy("node").count().where("count > 1").isEmpty():
-        return False
-    centres = links.select(F.col("other").alias("node")).distinct()
-    return links.join(centres, "node", "left_semi").isEmpty()
+    """Every leaf has one centre, and no centre is itself a leaf.
+
+    Links point from greater to lesser ids and keep the components of the graph,
+    so once they are stars the centre of a star is the least node of a component.
+    """
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("node").alias("id"), F.lit(1).alias("leaf")),
+        F.struct(F.col("other").alias("id"), F.lit(0).alias("leaf")),
+    )).alias("e")).select("e.*")
+    roles = ends.groupBy("id").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return roles.where("leaves > 1 or (leaves = 1 and least = 0)").isEmpty()
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -99,7 +97,9 @@ def find_isolated_clusters(onto: Ontology, scratch: Scratch, policy: SkewPolicy
     ranked = dense_index(sizes, [F.desc("size"), F.asc("component")], "rank", scratch, start=1)
     ranked = ranked.select("component", F.col("rank").cast("int").alias("cluster_index"), F.col("size").alias("n"))
     return scratch.save(
-        lookup_join(members, ranked, "component", how="inner", policy=policy, weight="n").select(
+        lookup_join(
+            members, ranked, "component", how="inner", policy=policy, weight="n", rows=members.count()
+        ).select(
             F.col("node").alias("class_name"), "cluster_index"
         ),
         "clusters",

@@ -73,9 +73,22 @@ def map_model(
 
 
 def parse_response(df: DataFrame, schema: str, response: str = "response", out: str = "parsed") -> tuple[DataFrame, DataFrame]:
-    """(parsed, quarantine): typed replies, and those that do not fit the schema."""
-    parsed = df.withColumn(out, F.from_json(response, schema, {"mode": "PERMISSIVE"}))
-    return parsed.where(F.col(out).isNotNull()), parsed.where(F.col(out).isNull()).drop(out)
+    """(parsed, quarantine): typed replies, and those that do not fit the schema.
+
+    ``schema`` is a struct or array type. A broken list parses as null; a broken
+    object is told by its corrupt-record field.
+    """
+    if not schema.startswith("struct<"):
+        parsed = df.withColumn(out, F.from_json(response, schema))
+        return parsed.where(F.col(out).isNotNull()), parsed.where(F.col(out).isNull()).drop(out)
+    marked = f"{schema[:-1]},_corrupt_record:string>"
+    value = F.from_json(response, marked, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = df.withColumn(out, value)
+    good = F.coalesce(F.col(out).isNotNull() & F.col(f"{out}._corrupt_record").isNull(), F.lit(False))
+    return (
+        parsed.where(good).withColumn(out, F.col(out).dropFields("_corrupt_record")),
+        parsed.where(~good).drop(out),
+    )
 
 
 def validate_and_retry(

@@ -182,7 +182,7 @@ def _quoted(c: str | Column) -> Column:
 
 
 def judge_classes(
-    onto: Ontology, classes: DataFrame, policy: SkewPolicy = DEFAULT_SKEW
+    onto: Ontology, classes: DataFrame, policy: SkewPolicy = DEFAULT_SKEW, rows: int | None = None
 ) -> DataFrame:
     """Delta classes with ``code`` (null: accepted) and the class they repeat.
 
@@ -190,16 +190,16 @@ def judge_classes(
     the ontology has the name; rows after it repeat it, rows before it only fail
     the naming rule. One aggregate per name replaces the ordered scan.
     """
-    rows = classes.withColumn("name_key", F.lower("name")).withColumn(
+    named = classes.withColumn("name_key", F.lower("name")).withColumn(
         "named_well", starts_uppercase("name")
     )
-    accepted = rows.groupBy("name_key").agg(
+    accepted = named.groupBy("name_key").agg(
         F.min(F.when(F.col("named_well"), F.struct("seq", "name"))).alias("first"),
         F.count(F.lit(1)).alias("n"),
     )
     known = class_names(onto).withColumnRenamed("class_name", "known")
     firsts = accepted.join(known, "name_key", "left")
-    judged = lookup_join(rows, firsts, "name_key", policy=policy, weight="n")
+    judged = lookup_join(named, firsts, "name_key", policy=policy, weight="n", rows=rows)
     first_seq = F.col("first.seq")
     return judged.withColumn(
         "existing",
@@ -254,7 +254,7 @@ RELATION_CODES = [
 
 def judge_relations(
     onto: Ontology, known: DataFrame, relations: DataFrame, supers: DataFrame,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW, n_rows: int | None = None,
 ) -> DataFrame:
     """Delta relations with ``code`` (null: accepted) and ``earlier``.
 
@@ -290,7 +290,7 @@ def judge_relations(
     ).join(
         first_superclasses(onto).withColumnRenamed("superclass", "given"), "subclass", "left"
     )
-    rows = lookup_join(rows, firsts, "subclass", policy=policy, weight="n")
+    rows = lookup_join(rows, firsts, "subclass", policy=policy, weight="n", rows=n_rows)
     reached = F.col("code").isNull() | ~F.col("code").isin("subclass_not_found", "superclass_not_found")
     return rows.withColumn(
         "earlier",
@@ -410,7 +410,7 @@ def _missing_names(properties: DataFrame, column: str, known: DataFrame, out: st
 
 def judge_properties(
     onto: Ontology, known: DataFrame, object_properties: DataFrame, data_properties: DataFrame,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW, n_rows: int | None = None,
 ) -> DataFrame:
     """(seq, name, kind, code, missing): both delta tables, judged in ``seq`` order."""
     both = object_properties.select("seq", "name", F.lit("object").alias("kind"), "domain", "range").unionByName(
@@ -433,7 +433,7 @@ def judge_properties(
         F.min(F.when(F.col("own_code").isNull(), F.col("seq"))).alias("first_seq"),
         F.count(F.lit(1)).alias("n"),
     ).join(given, "name", "left")
-    rows = lookup_join(rows, firsts, "name", policy=policy, weight="n")
+    rows = lookup_join(rows, firsts, "name", policy=policy, weight="n", rows=n_rows)
     repeated = F.col("given").isNotNull() | F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False))
     return rows.select(
         "seq", "name", "kind",
@@ -444,9 +444,9 @@ def judge_properties(
 
 def check_properties(
     onto: Ontology, known: DataFrame, object_properties: DataFrame, data_properties: DataFrame,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW, n_rows: int | None = None,
 ) -> DataFrame:
-    judged = judge_properties(onto, known, object_properties, data_properties, policy)
+    judged = judge_properties(onto, known, object_properties, data_properties, policy, n_rows)
     repeated = F.col("code") == "property_already_exists"
     domain = F.col("code") == "domain_classes_not_found"
     return _issues(
@@ -472,14 +472,15 @@ class DeltaResult:
 
 def try_add_concepts(
     onto: Ontology, delta: Ontology, scratch: Scratch, closure: str = "direct",
-    policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW, n_rows: int | None = None,
 ) -> DeltaResult:
     """All or nothing: the extended ontology if there is no issue, else the old one.
 
     Issues of classes end the check; else the relation, root and property rules
-    are applied. Verdicts that later rules read are written in between.
+    are applied. Verdicts that later rules read are written in between. ``n_rows``
+    is a bound on the rows of the delta, if the caller knows one.
     """
-    classes = scratch.save(judge_classes(onto, delta.classes, policy), "judged_classes")
+    classes = scratch.save(judge_classes(onto, delta.classes, policy, n_rows), "judged_classes")
     issues = class_issues(classes)
     if not issues.isEmpty():
         return DeltaResult(False, issues, onto)
@@ -487,14 +488,14 @@ def try_add_concepts(
     known = scratch.save(class_names(grown), "known")
     supers = scratch.save(superclass_sets(grown, closure, scratch), "supers")
     relations = scratch.save(
-        judge_relations(onto, known, delta.subclass_of, supers, policy), "judged_relations"
+        judge_relations(onto, known, delta.subclass_of, supers, policy, n_rows), "judged_relations"
     )
     accepted = relations.where("code is null").select("subclass", "superclass", "seq")
     after = replace(grown, subclass_of=onto.subclass_of.unionByName(accepted))
     issues = scratch.save(
         relation_issues(relations)
         .unionByName(check_roots(delta.classes, after))
-        .unionByName(check_properties(onto, known, delta.object_properties, delta.data_properties, policy)),
+        .unionByName(check_properties(onto, known, delta.object_properties, delta.data_properties, policy, n_rows)),
         "issues",
     )
     valid = issues.isEmpty()
@@ -512,11 +513,12 @@ def build_incremental(
     """
     spark = concept_batches.sparkSession
     batches = scratch.save(concept_batches, "concepts")
+    n_rows = batches.count()
     base, accepted, log = onto, [], []
     for row in batches.select("batch_id").distinct().orderBy("batch_id").toLocalIterator():
         batch_id = row["batch_id"]
         delta = split_concepts(batches.where(F.col("batch_id") == batch_id))
-        result = try_add_concepts(onto, delta, scratch, closure, policy)
+        result = try_add_concepts(onto, delta, scratch, closure, policy, n_rows)
         log.append((batch_id, result.valid, 0 if result.valid else result.issues.count()))
         if result.valid:
             # The state is a filter on the concept table, so plans do not grow.

@@ -174,7 +174,8 @@ def validate(
     in ``prior`` are left out, not judged. Without an ontology all rows pass.
     """
     if prior is not None:
-        triples = new_triples(triples, prior)
+        # Read several times below, and the product of a join: written once.
+        triples = scratch.save(new_triples(triples, prior), "new")
     if onto is None:
         return triples.withColumn("error_code", F.lit(None).cast("string"))
     rules = onto if isinstance(onto, Rules) else prepare_rules(onto, scratch, closure)
@@ -309,7 +310,7 @@ def accept_batches(
     Returns (judged rows, batches (batch_id, accepted)).
     """
     if prior is not None:
-        triples = new_triples(triples, prior)
+        triples = scratch.save(new_triples(triples, prior), "new")
     if onto is None:
         judged = triples.withColumn("error_code", F.lit(None).cast("string"))
         return judged, triples.select("batch_id").distinct().withColumn("accepted", F.lit(True))
@@ -417,7 +418,8 @@ def run_epochs(
     rules = None if onto is None else prepare_rules(onto, scratch)
     progress = []
     for epoch in range(epochs):
-        candidates = extract(kg, epoch)
+        # An extractor may call a model, so its rows are written before any use.
+        candidates = scratch.save(extract(kg, epoch), "candidates")
         judged = scratch.save(
             validate(candidates, rules, scratch, prior=kg if epoch else None, policy=policy), "judged"
         )

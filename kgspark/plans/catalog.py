@@ -6,7 +6,8 @@ from kgspark.plans.registry import ORACLES, QUERIES
 
 MODULES = [
     "scalar_queries", "text_queries", "question_queries", "triple_queries", "ontology_queries",
-    "hierarchy_queries", "graph_queries",
+    "hierarchy_queries", "graph_queries", "view_queries", "model_queries",
+    "io_queries", "stream_queries",
 ]
 
 

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from kgspark.operators import graph as G
 from kgspark.operators import views as V
 from kgspark.plans.ontology_queries import SQL_PROFILE, induced_ontology
-from kgspark.plans.registry import query
+from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import SQL_RAW, SQL_STAR, SUBCLASS_OF, raw_triples, star_triples
 
-N = F.count(F.lit(1)).alias("n")
 
 SQL_ENDS = "ends AS (SELECT s AS node FROM kg UNION ALL SELECT o FROM kg)"
 SQL_DEG = f"{SQL_ENDS}, deg AS (SELECT node, count(*) AS degree FROM ends GROUP BY node)"
@@ -182,7 +181,7 @@ def g19(t):
     rows = G.filter_kg(
         kg(t), ["isA", "locatedIn", "shippedBy", "partOf", "hasStatus"], ["Supplier", "Nation"], ["nation_3", "supplier_5"]
     )
-    return rows.groupBy("predicate").agg(N, F.sum("seq").alias("seq_sum"))
+    return rows.groupBy("predicate").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 def _sql_score(column: str, query_text: str) -> str:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from kgspark import schemas
 from kgspark.operators import hierarchy as H
 from kgspark.operators import ontology as O
-from kgspark.plans.registry import query
+from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import make_ontology
 from kgspark.storage import local_table
 
-N = F.count(F.lit(1)).alias("n")
 _SEGMENT = "initcap(c_mktsegment)"
 
 

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from kgspark import schemas
 from kgspark.operators import ontology as O
 from kgspark.operators.triples import entity_types
-from kgspark.plans.registry import query
+from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import SQL_STAR, SUBCLASS_OF, star_ontology, star_triples
 from kgspark.storage import local_table
 
-N = F.count(F.lit(1)).alias("n")
 FIRST = 1_000_000  # seq of the first concept of the delta
 NULL_GUIDE = f"cast(null as {schemas.GUIDELINE}) AS usage_guideline"
 
@@ -95,7 +94,7 @@ def o1(t):
     out = None
     for kind, table, name in parts:
         rows = table.groupBy(F.lit(kind).alias("kind")).agg(
-            N, F.min(name).alias("first_name"), F.sum("seq").alias("seq_sum")
+            n_rows(), F.min(name).alias("first_name"), F.sum("seq").alias("seq_sum")
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -107,7 +106,7 @@ def o2(t):
     onto = brand_ontology(t)
     grown = O.extend(onto, O.Ontology("delta", class_delta(t), onto.subclass_of.limit(0),
                                       onto.object_properties, onto.data_properties.limit(0)))
-    return grown.classes.groupBy("name").agg(N, F.min("seq").alias("first_seq"))
+    return grown.classes.groupBy("name").agg(n_rows(), F.min("seq").alias("first_seq"))
 
 
 @query("O3_check_classes", f"""WITH {SQL_CLASS_DELTA}
@@ -116,7 +115,7 @@ SELECT code, CASE WHEN old IS NOT NULL THEN 'class:' ELSE '' END || name AS path
 FROM jc WHERE code IS NOT NULL GROUP BY ALL""")
 def o3(t):
     issues = O.check_classes(brand_ontology(t), class_delta(t))
-    return issues.groupBy("code", "path", "context").agg(N, F.sum("seq").alias("seq_sum"))
+    return issues.groupBy("code", "path", "context").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 def accepted_delta(t):
@@ -166,7 +165,7 @@ def o4(t):
     grown = O.Ontology("grown", onto.classes.unionByName(accepted), onto.subclass_of,
                        onto.object_properties, onto.data_properties)
     issues = O.check_subclass_relations(onto, O.class_names(grown), relation_delta(t), O.superclass_sets(grown))
-    return issues.groupBy("code", "path", "message").agg(N, F.sum("seq").alias("seq_sum"))
+    return issues.groupBy("code", "path", "message").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 @query("O5_check_roots", f"""WITH {SQL_RELATION_DELTA},
@@ -224,7 +223,7 @@ def o6(t):
     known = O.class_names(O.Ontology("grown", onto.classes.unionByName(accepted), onto.subclass_of,
                                      onto.object_properties, onto.data_properties))
     issues = O.check_properties(onto, known, *property_delta(t))
-    return issues.groupBy("code", "path", "context").agg(N, F.sum("seq").alias("seq_sum"))
+    return issues.groupBy("code", "path", "context").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 def clean_delta(t):

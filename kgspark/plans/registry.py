@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kgspark.storage import Scratch
 
@@ -32,6 +32,10 @@ class Tables:
         return self._scratch
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -4,15 +4,13 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import triples as T
 from kgspark.operators.ontology import all_properties, induced_properties, superclass_sets
-from kgspark.plans.registry import query
+from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import (
     SQL_ONTOLOGY, SQL_PRIOR, SQL_RAW, SQL_STAR, dimension_triples, line_triples, order_triples,
     prior_triples, raw_triples, star_ontology, star_triples,
 )
 from kgspark.sources import mapping as M
 
-N = F.count(F.lit(1)).alias("n")
-
 
 def sql_judge(prior: bool) -> str:
     """Row-by-row verdicts in SQL: relation ``v`` (s, p, o, b, q, code)."""
@@ -66,7 +64,7 @@ SELECT p AS predicate, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum FROM kg
 WHERE NOT EXISTS (SELECT 1 FROM prior x WHERE x.s = kg.s AND x.p = kg.p AND x.o = kg.o) GROUP BY 1""")
 def t1(t):
     fresh = T.new_triples(raw_triples(t), prior_triples(t))
-    return fresh.groupBy("predicate").agg(N, F.sum("seq").alias("seq_sum"))
+    return fresh.groupBy("predicate").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 @query("T2_entity_types", f"""WITH {SQL_RAW}, {sql_judge(False)},
@@ -75,7 +73,7 @@ SELECT cl AS class_name, count(*) AS n, min(s) AS first_entity, max(s) AS last_e
 def t2(t):
     types = T.entity_types(T.accepted(judged_raw(t, prior=False)))
     return types.groupBy("class_name").agg(
-        N, F.min("subject").alias("first_entity"), F.max("subject").alias("last_entity")
+        n_rows(), F.min("subject").alias("first_entity"), F.max("subject").alias("last_entity")
     )
 
 
@@ -83,14 +81,14 @@ def t2(t):
 SELECT code AS error_code, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum FROM v WHERE p = 'isA' GROUP BY 1""")
 def t3(t):
     isa = judged_raw(t).where("predicate = 'isA'")
-    return isa.groupBy("error_code").agg(N, F.sum("seq").alias("seq_sum"))
+    return isa.groupBy("error_code").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 @query("T4_validate_property", f"""WITH {SQL_RAW}, {SQL_PRIOR}, {sql_judge(True)}
 SELECT code AS error_code, p AS predicate, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum FROM v WHERE p <> 'isA' GROUP BY 1, 2""")
 def t4(t):
     facts = judged_raw(t).where("predicate != 'isA'")
-    return facts.groupBy("error_code", "predicate").agg(N, F.sum("seq").alias("seq_sum"))
+    return facts.groupBy("error_code", "predicate").agg(n_rows(), F.sum("seq").alias("seq_sum"))
 
 
 @query("T5_is_valid_for", f"""WITH {SQL_STAR}, {SQL_ONTOLOGY},
@@ -132,14 +130,14 @@ SELECT accepted, count(*) AS n, CAST(sum(b) AS BIGINT) AS batch_sum FROM acc GRO
 def t7(t):
     raw = t.scratch.save(raw_triples(t), "raw")
     _, batches = T.accept_batches(raw, star_ontology(t.spark), t.scratch)
-    return batches.groupBy("accepted").agg(N, F.sum("batch_id").alias("batch_sum"))
+    return batches.groupBy("accepted").agg(n_rows(), F.sum("batch_id").alias("batch_sum"))
 
 
 @query("T8_no_ontology_mode", f"""WITH {SQL_RAW}
 SELECT p AS predicate, count(*) AS n, CAST(0 AS BIGINT) AS n_errors FROM kg GROUP BY 1""")
 def t8(t):
     judged = T.validate(raw_triples(t), None, t.scratch)
-    return judged.groupBy("predicate").agg(N, F.count("error_code").alias("n_errors"))
+    return judged.groupBy("predicate").agg(n_rows(), F.count("error_code").alias("n_errors"))
 
 
 @query("T9_accumulate", f"""WITH {SQL_RAW}, {SQL_PRIOR}
@@ -148,7 +146,7 @@ FROM (SELECT s, p, o FROM kg UNION SELECT s, p, o FROM prior) GROUP BY 1""")
 def t9(t):
     kg = T.accumulate(raw_triples(t), prior_triples(t))
     return kg.groupBy("predicate").agg(
-        N, F.min("object").alias("first_object"), F.max("object").alias("last_object")
+        n_rows(), F.min("object").alias("first_object"), F.max("object").alias("last_object")
     )
 
 
@@ -170,7 +168,7 @@ FROM (SELECT DISTINCT s, p, o FROM kg) GROUP BY 1""")
 def t10(t):
     kg, _ = epochs(t)
     return kg.groupBy("predicate").agg(
-        N, F.min("subject").alias("first_subject"), F.max("object").alias("last_object")
+        n_rows(), F.min("subject").alias("first_subject"), F.max("object").alias("last_object")
     )
 
 
@@ -196,7 +194,7 @@ SELECT p AS predicate, count(*) AS n, min(s) AS first_subject, max(o) AS last_ob
   CAST(sum(q) AS BIGINT) AS seq_sum, CAST(sum(b) AS BIGINT) AS batch_sum FROM kg GROUP BY 1""")
 def t13(t):
     return raw_triples(t).groupBy("predicate").agg(
-        N, F.min("subject").alias("first_subject"), F.max("object").alias("last_object"),
+        n_rows(), F.min("subject").alias("first_subject"), F.max("object").alias("last_object"),
         F.sum("seq").alias("seq_sum"), F.sum("batch_id").alias("batch_sum"),
     )
 
@@ -217,7 +215,7 @@ def t14(t):
         t.documents, M.entity("document", "doc_id"), "text", "mentions", r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)"
     )
     rows = M.triples_from_tables([links, props, mentions]).where("object != ''")
-    return rows.groupBy("predicate", "object").agg(N, F.min("subject").alias("first_subject"))
+    return rows.groupBy("predicate", "object").agg(n_rows(), F.min("subject").alias("first_subject"))
 
 
 def replies(t):
@@ -239,9 +237,9 @@ UNION ALL SELECT '(quarantine)', count(*), CAST(sum(k) AS BIGINT), NULL FROM k W
 def t15(t):
     rows, bad = T.parse_triples(replies(t))
     return rows.groupBy("predicate").agg(
-        N, F.sum("batch_id").alias("batch_sum"), F.max("object").alias("last_object")
+        n_rows(), F.sum("batch_id").alias("batch_sum"), F.max("object").alias("last_object")
     ).unionByName(bad.select(
         F.lit("(quarantine)").alias("predicate"), "request_id"
     ).groupBy("predicate").agg(
-        N, F.sum("request_id").alias("batch_sum"), F.lit(None).cast("string").alias("last_object")
+        n_rows(), F.sum("request_id").alias("batch_sum"), F.lit(None).cast("string").alias("last_object")
     ))

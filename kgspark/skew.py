@@ -25,6 +25,19 @@ class SkewPolicy:
 
 
 DEFAULT_SKEW = SkewPolicy()
+NO_HOT_KEYS = object()  # stands for a table too small to hold a hot key
+
+
+def too_small(df: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> bool:
+    """True if a written table has fewer rows than a single hot key.
+
+    Counting a scratch table reads file footers only; other frames are not counted.
+    """
+    if not hasattr(df, "_scratch_path"):
+        return False
+    if not hasattr(df, "_scratch_rows"):
+        df._scratch_rows = df.count()
+    return df._scratch_rows < policy.min_rows
 
 
 def hot_keys(
@@ -65,6 +78,8 @@ def hot_ends(
     df: DataFrame, columns: list[str], scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW
 ) -> dict[str, DataFrame]:
     """Hot keys of several columns, found in one pass and written as a tiny table."""
+    if too_small(df, policy):
+        return {c: NO_HOT_KEYS for c in columns}
     rows = df.sample(fraction=policy.sample, seed=7) if policy.sample < 1.0 else df
     tagged = rows.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("hot_key")) for c in columns
@@ -88,7 +103,8 @@ def lookup_join(
     how: str = "left",
     policy: SkewPolicy = DEFAULT_SKEW,
     weight: str | None = None,
-    hot: DataFrame | None = None,
+    hot: DataFrame | object | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of many rows with a lookup table of one row per key.
 
@@ -96,7 +112,11 @@ def lookup_join(
     the matching lookup rows are repeated once per part. The hot table holds at
     most ``max_keys`` rows by construction, so it alone is broadcast. Whether
     the lookup side itself is broadcast is left to Spark, which measures it.
+    ``rows`` is a bound on the rows of ``left``: below ``min_rows`` no key can be
+    hot, and the join is a plain one.
     """
+    if hot is NO_HOT_KEYS or (rows is not None and rows < policy.min_rows):
+        return left.join(right.drop(weight) if weight else right, key, how)
     if hot is None:
         hot = (
             hot_keys(right, key, policy, weight)
