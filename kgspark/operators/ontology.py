@@ -388,16 +388,16 @@ def check_roots(classes: DataFrame, after: Ontology) -> DataFrame:
 
 
 def _missing_names(properties: DataFrame, column: str, known: DataFrame, out: str) -> DataFrame:
-    """(seq, out): names in a list column that no class has, quoted, in list order.
+    """(kind, seq, out): names in a list column that no class has, quoted, in list order.
 
     The grouping is by property row, so a group is one list.
     """
-    items = properties.select("seq", F.posexplode(column).alias("pos", "item")).withColumn(
+    items = properties.select("kind", "seq", F.posexplode(column).alias("pos", "item")).withColumn(
         "name_key", F.lower("item")
     )
     names = known.select("name_key", F.lit(True).alias("found"))
     missing = items.join(names, "name_key", "left").where("found is null")
-    return missing.groupBy("seq").agg(
+    return missing.groupBy("kind", "seq").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("pos", "item"))),
@@ -421,7 +421,8 @@ def judge_properties(
     )
     no_domain = _missing_names(both, "domain", known, "missing_domain")
     no_range = _missing_names(both, "range", known, "missing_range")
-    rows = both.select("seq", "name", "kind").join(no_domain, "seq", "left").join(no_range, "seq", "left")
+    row_id = ["kind", "seq"]
+    rows = both.select("seq", "name", "kind").join(no_domain, row_id, "left").join(no_range, row_id, "left")
     rows = rows.withColumn(
         "own_code",
         F.when(F.col("missing_domain").isNotNull(), F.lit("domain_classes_not_found")).when(
