@@ -30,22 +30,17 @@ def scan_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     """(documents (path, text), skipped (path)): a folder tree, one row per file.
 
     Files with an unknown suffix are left out; those that need a decoder are
-    listed in ``skipped``. A file without readable text gives an empty text.
+    listed in ``skipped``. Spark does not list files of length 0: an empty file
+    gives no row, which is what dropping empty documents would do to it.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .select("path", "length")
-        .withColumn("suffix", _suffix(F.col("path")))
-    )
     texts = (
         spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .where(_suffix(F.col("path")).isin(TEXT_SUFFIXES) & (F.length("text") > 0))
-    )
-    empty = listed.where((F.col("length") == 0) & F.col("suffix").isin(TEXT_SUFFIXES)).select(
-        "path", F.lit("").alias("text")
+        .where(_suffix(F.col("path")).isin(TEXT_SUFFIXES))
     )
-    return texts.unionByName(empty), listed.where(F.col("suffix").isin(BINARY_SUFFIXES)).select("path")
+    # Only names are read here, the content column is pruned.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return texts, listed.where(_suffix(F.col("path")).isin(BINARY_SUFFIXES))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
