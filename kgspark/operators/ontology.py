@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kgspark import schemas
 from kgspark.functions.scalars import starts_uppercase
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_keys, lookup_join
+from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_ends, lookup_join
 from kgspark.storage import Scratch, local_table
 
 
@@ -542,7 +542,8 @@ def ontology_metrics(onto: Ontology) -> DataFrame:
 # -------------------------------------------------------- derived ontologies
 
 def induced_properties(
-    triples: DataFrame, types: DataFrame, distinct: bool = True, policy: SkewPolicy = DEFAULT_SKEW
+    triples: DataFrame, types: DataFrame, scratch: Scratch, distinct: bool = True,
+    policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Profile of a typed graph: (predicate, domain class, range class, n_triples).
 
@@ -551,17 +552,21 @@ def induced_properties(
     counts copies of a triple once.
     """
     facts = triples.where("predicate != 'isA'")
+    hot = hot_ends(facts, ["subject", "object"], scratch, policy)
     if distinct:
         facts = facts.select("subject", "predicate", "object").distinct()
     rows = lookup_join(
         facts, types.select("subject", F.col("class_name").alias("domain_class")), "subject",
-        how="inner", hot=hot_keys(triples, "subject", policy),
+        how="inner", hot=hot["subject"],
     )
     rows = lookup_join(
         rows, types.select(F.col("subject").alias("object"), F.col("class_name").alias("range_class")),
-        "object", hot=hot_keys(triples, "object", policy),
+        "object", hot=hot["object"],
+    )
+    counts = rows.groupBy("predicate", "domain_class", "range_class").agg(
+        F.count(F.lit(1)).alias("n_triples")
     )
-    return rows.groupBy("predicate", "domain_class", "range_class").agg(F.count(F.lit(1)).alias("n_triples"))
+    return scratch.save(counts, "profile")  # schema-sized, and read for each kind of property
 
 
 def ontology_from_profile(name: str, classes: DataFrame, subclass_of: DataFrame, profile: DataFrame) -> Ontology:

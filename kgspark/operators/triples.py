@@ -304,9 +304,9 @@ def accept_batches(
     """Batch mode: a batch with any error is rejected whole.
 
     Whether a batch is accepted depends only on accepted earlier batches. All
-    batches are judged at once, again and again, each time against the batches
-    accepted in the round before, until the set no longer changes; a wrongly
-    rejected batch may come back. Rounds needed: depth of the dependencies.
+    batches are judged at once against the types of all batches; then, round by
+    round, those that use a type whose defining batch was rejected or came back,
+    until the set no longer changes. Rounds needed: depth of the dependencies.
     Returns (judged rows, batches (batch_id, accepted)).
     """
     if prior is not None:
@@ -337,8 +337,8 @@ def accept_batches(
     facts = scratch.save(facts, "facts")
     batch_ids = rows.select("batch_id").distinct()
 
-    state = scratch.save(batch_ids.withColumn("accepted", F.lit(True)), "accepted")
-    for _ in range(max_rounds):
+    def types_before(state: DataFrame) -> DataFrame:
+        """(subject, def_batch, earlier_class): first type by an accepted batch."""
         first = own.join(state.where("accepted"), "batch_id").groupBy("subject").agg(
             F.min(F.struct("batch_id", "own_class")).alias("d")
         ).select("subject", F.col("d.batch_id").alias("from_batch"), F.col("d.own_class").alias("from_class"))
@@ -351,9 +351,10 @@ def accept_batches(
                 .otherwise(F.col("from_batch")).alias("def_batch"),
                 F.coalesce("prior_class", "from_class").alias("earlier_class"),
             )
-        types = scratch.save(types, "types")
+        return scratch.save(types, "types")
 
-        typed = lookup_join(isa, types, "subject", hot=hot["subject"])
+    def judge(isa_rows: DataFrame, fact_rows: DataFrame, types: DataFrame) -> DataFrame:
+        typed = lookup_join(isa_rows, types, "subject", hot=hot["subject"])
         earlier = F.coalesce(F.col("def_batch") < F.col("batch_id"), F.lit(False))
         judged_isa = typed.withColumn("is_earlier", earlier).withColumn(
             "is_definer", ~F.col("is_earlier") & F.coalesce(F.col("seq") == F.col("own_seq"), F.lit(False))
@@ -365,31 +366,52 @@ def accept_batches(
                 F.col("seq") >= F.col("own_seq"), F.col("own_class")
             ),
         ).select(*columns, _isa_code().alias("error_code"))
-
-        typed = facts
+        typed = fact_rows
         for end in ("subject", "object"):
-            seen = types.withColumnRenamed("subject", end)
-            typed = lookup_join(typed, seen, end, hot=hot[end])
+            typed = lookup_join(typed, types.withColumnRenamed("subject", end), end, hot=hot[end])
             typed = typed.withColumn(
                 f"{end}_type",
                 F.when(F.col("def_batch") < F.col("batch_id"), F.col("earlier_class"))
                 .otherwise(F.col(f"{end}_own")),
             ).drop("def_batch", "earlier_class")
             typed = _join_supers(typed, rules, f"{end}_type", f"{end}_supers")
-        judged_facts = typed.select(*columns, _property_code().alias("error_code"))
+        return judged_isa.unionByName(typed.select(*columns, _property_code().alias("error_code")))
 
-        judged = judged_isa.unionByName(judged_facts)
-        verdicts = judged.groupBy("batch_id").agg(
-            F.bool_and(F.col("error_code").isNull()).alias("accepted")
-        )
-        after = scratch.save(verdicts, "accepted")
+    def verdicts(judged: DataFrame) -> DataFrame:
+        return judged.groupBy("batch_id").agg(F.bool_and(F.col("error_code").isNull()).alias("verdict"))
+
+    state = scratch.save(batch_ids.withColumn("accepted", F.lit(True)), "accepted")
+    types = types_before(state)
+    after = scratch.save(verdicts(judge(isa, facts, types)).withColumnRenamed("verdict", "accepted"), "accepted")
+    ends = isa.select(F.col("subject").alias("entity"), "batch_id").unionByName(
+        facts.select(F.explode(F.array("subject", "object")).alias("entity"), "batch_id")
+    )
+    for _ in range(max_rounds):
         changed = after.join(state.withColumnRenamed("accepted", "before"), "batch_id").where(
             "accepted != before"
         )
         if changed.isEmpty():
-            return judged, after
-        scratch.drop(state, types)
-        state = after
+            return judge(isa, facts, types), after
+        scratch.drop(state)
+        state, old = after, types
+        types = types_before(state)
+        # Only batches that name an entity whose earlier type moved can change.
+        moved = types.join(old.toDF("subject", "old_batch", "old_class"), "subject", "full_outer").where(
+            "not (def_batch <=> old_batch and earlier_class <=> old_class)"
+        ).select(F.col("subject").alias("entity"))
+        touched = scratch.save(
+            ends.join(scratch.save(moved, "moved"), "entity", "left_semi").select("batch_id").distinct(), "touched"
+        )
+        again = verdicts(judge(
+            isa.join(touched, "batch_id", "left_semi"), facts.join(touched, "batch_id", "left_semi"), types
+        ))
+        after = scratch.save(
+            state.join(again, "batch_id", "left").select(
+                "batch_id", F.coalesce("verdict", "accepted").alias("accepted")
+            ),
+            "accepted",
+        )
+        scratch.drop(old)
     raise RuntimeError("batch acceptance did not settle")
 
 

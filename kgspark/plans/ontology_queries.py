@@ -361,9 +361,10 @@ def o11(t):
 
 
 def star_profile(t):
-    kg = t.scratch.save(star_triples(t), "kg")
+    # The mapping is a narrow projection: reading it again is cheaper than writing it.
+    kg = star_triples(t)
     types = t.scratch.save(entity_types(kg), "types")
-    return O.induced_properties(kg, types)
+    return O.induced_properties(kg, types, t.scratch, distinct=False)
 
 
 SQL_PROFILE = """ty AS (SELECT s, o AS cl FROM kg WHERE p = 'isA'),

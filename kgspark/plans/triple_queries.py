@@ -55,8 +55,7 @@ v AS MATERIALIZED (
 
 def judged_raw(t, prior=True):
     given = prior_triples(t) if prior else None
-    raw = t.scratch.save(raw_triples(t), "raw")
-    return T.validate(raw, star_ontology(t.spark), t.scratch, given)
+    return T.validate(raw_triples(t), star_ontology(t.spark), t.scratch, given)
 
 
 @query("T1_new_triples", f"""WITH {SQL_RAW}, {SQL_PRIOR}
@@ -100,9 +99,9 @@ JOIN ups ua ON ua.c = a.cl JOIN ups ub ON ub.c = b.cl GROUP BY ALL""")
 def t5(t):
     kg, onto = star_triples(t), star_ontology(t.spark)
     # The rule depends on classes only: profile the graph first, then test pairs.
-    types = T.entity_types(kg)
+    types = t.scratch.save(T.entity_types(kg), "types")
     supers = superclass_sets(onto)
-    profile = induced_properties(kg, types, distinct=False).where("range_class is not null")
+    profile = induced_properties(kg, types, t.scratch, distinct=False).where("range_class is not null")
     judged = (
         profile.join(all_properties(onto).where("kind = 'object'").withColumnRenamed("name", "predicate"), "predicate")
         .join(supers.select(F.col("class_name").alias("domain_class"), F.col("supers").alias("ss")), "domain_class")
