@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Letters in lower case, digits (super- and subscript ones too) and single inner
-# underscores.
-SNAKE_CASE = (
-    r"^(?!_)(?!.*__)(?!.*_\z)"
-    r"[\p{IsLowercase}\p{Nd}²³¹⁰⁴-⁹₀-₉_]+\z"
-)
+# Runs of lower-case letters and digits (super- and subscript ones too) with single
+# underscores between them. Possessive, so a name is read once without backtracking.
+_RUN = r"[a-z0-9\p{IsLowercase}\p{Nd}²³¹⁰⁴-⁹₀-₉]++"
+SNAKE_CASE = rf"\A{_RUN}(?:_{_RUN})*+\z"
 
 # Personas per group priority.
 PRIORITY_QUOTA = {"high": 3, "medium": 2, "low": 1}
