@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.skew import dense_index
+from kgspark.skew import dense_index, hot_ends, lookup_join
 from kgspark.storage import Scratch
 
 # Defaults of the text steps.
@@ -141,12 +141,14 @@ def tree_merge(
 
     for _ in range(max_rounds):
         counts = state.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        counts = scratch.save(counts, "open")
         if counts.isEmpty():
             return state.select(F.col("g").alias(group), F.col("t").alias(text), "rounds")
         # Finished groups stay as they are; open ones are merged by (group, six).
-        finished = state.join(counts, "g", "left_anti")
+        hot = hot_ends(state, ["g"], scratch)["g"]
+        finished = lookup_join(state, counts, "g", "left_anti", hot=hot)
         merged = (
-            state.join(counts, "g", "left_semi")
+            lookup_join(state, counts, "g", "left_semi", hot=hot)
             .groupBy("g", F.floor(F.col("s") / fan_in).alias("six"))
             .applyInPandas(lambda pdf: merge_group(pdf), state.schema)
         )

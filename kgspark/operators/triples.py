@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kgspark import schemas
 from kgspark.functions.scalars import is_snake_case, triple_to_string
 from kgspark.operators.ontology import Ontology, all_properties, class_names, superclass_sets
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_ends, lookup_join
+from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_ends, lookup_join, too_small
 from kgspark.storage import Scratch
 
 SPO = ["subject", "predicate", "object"]
@@ -25,9 +25,12 @@ IS_A = "isA"
 
 # ------------------------------------------------------------------ set ops
 
-def new_triples(triples: DataFrame, kg: DataFrame) -> DataFrame:
-    """Rows whose triple is not in the graph yet."""
-    return triples.join(kg.select(*SPO).distinct(), SPO, "left_anti")
+def new_triples(triples: DataFrame, kg: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Rows whose triple is not in the graph yet; copies of a hot triple are spread."""
+    keyed = triples.withColumn("_triple", F.struct(*SPO))
+    known = kg.select(F.struct(*SPO).alias("_triple")).distinct()
+    hot = NO_HOT_KEYS if too_small(triples, policy) else None
+    return lookup_join(keyed, known, "_triple", "left_anti", policy, hot=hot).select(triples.columns)
 
 
 def accumulate(*parts: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def validate(
     """
     if prior is not None:
         # Read several times below, and the product of a join: written once.
-        triples = scratch.save(new_triples(triples, prior), "new")
+        triples = scratch.save(new_triples(triples, prior, policy), "new")
     if onto is None:
         return triples.withColumn("error_code", F.lit(None).cast("string"))
     rules = onto if isinstance(onto, Rules) else prepare_rules(onto, scratch, closure)
@@ -310,7 +313,7 @@ def accept_batches(
     Returns (judged rows, batches (batch_id, accepted)).
     """
     if prior is not None:
-        triples = scratch.save(new_triples(triples, prior), "new")
+        triples = scratch.save(new_triples(triples, prior, policy), "new")
     if onto is None:
         judged = triples.withColumn("error_code", F.lit(None).cast("string"))
         return judged, triples.select("batch_id").distinct().withColumn("accepted", F.lit(True))
@@ -318,6 +321,7 @@ def accept_batches(
     columns = triples.columns
     rows = _with_class_flags(triples, rules)
     hot = hot_ends(triples, ["subject", "object"], scratch, policy)
+    hot |= hot_ends(triples, ["batch_id"], scratch, policy)
 
     # Definers within each batch do not depend on what is accepted.
     own = scratch.save(
@@ -403,7 +407,8 @@ def accept_batches(
             ends.join(scratch.save(moved, "moved"), "entity", "left_semi").select("batch_id").distinct(), "touched"
         )
         again = verdicts(judge(
-            isa.join(touched, "batch_id", "left_semi"), facts.join(touched, "batch_id", "left_semi"), types
+            lookup_join(isa, touched, "batch_id", "left_semi", hot=hot["batch_id"]),
+            lookup_join(facts, touched, "batch_id", "left_semi", hot=hot["batch_id"]), types
         ))
         after = scratch.save(
             state.join(again, "batch_id", "left").select(
@@ -417,8 +422,8 @@ def accept_batches(
 
 def accepted_batch_triples(judged: DataFrame, batches: DataFrame) -> DataFrame:
     """Set of triples of the accepted batches."""
-    kept = judged.drop("error_code").join(batches.where("accepted"), "batch_id", "left_semi")
-    return accumulate(kept)
+    good = batches.where("accepted").select("batch_id")
+    return accumulate(lookup_join(judged.drop("error_code"), good, "batch_id", "left_semi"))
 
 
 # ------------------------------------------------------------------- epochs

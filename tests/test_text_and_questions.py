@@ -152,3 +152,7 @@ def test_salted_join_equals_plain_join(spark):
         salted = lookup_join(left, right, "key", how, policy).select("id", "key", "v")
         plain = left.join(right, "key", how).select("id", "key", "v")
         assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    for how in ("left_semi", "left_anti"):
+        salted = lookup_join(left, right.select("key"), "key", how, policy).select("id")
+        plain = left.join(right, "key", how).select("id")
+        assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
