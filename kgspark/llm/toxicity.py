@@ -1,6 +1,6 @@
 """Toxicity score: a factorization machine over hashed terms.
 
-A document's terms are its distinct words (A-Z lower-cased) and the first 4 and 5
+A document's terms are its distinct words (A-Z lower-cased) and the first 4 to 7
 letters of each, hashed into 2^18 places. The score is the logistic function of
 
     bias + sum of w_t + sum over pairs t < u of <v_t, v_u>
@@ -11,8 +11,10 @@ so besides linear weights it has one for every pair of terms, through vectors of
 The model is fitted to a bounded sample of labelled documents: at most
 ``SAMPLE_PER_CLASS`` rows of each label, those with the least hash of the id. Their
 term numbers (bounded by the number of places per document) come to the driver,
-where numpy fits the machine by Adam steps on the whole sample; terms of fewer
-than ``MIN_DOCS`` sample documents get no weight. The bias is then moved from the
+where numpy fits the machine by Adam steps on the whole sample, the linear
+weights first; terms of fewer
+than ``MIN_DOCS`` sample documents, or whose share of toxic documents lies within ``SURE``
+standard deviations of the sample's, get no weight. The bias is then moved from the
 sample's label balance to that of all training labels. Weights are a table of
 fixed size and go to the tasks as a broadcast; scoring shuffles nothing. As every
 word adds fixed numbers to the sums, these are kept per word in a worker.
@@ -37,7 +39,9 @@ from kgspark.llm.decontaminate import words
 PLACES = 1 << 18
 FACTORS = 8
 SAMPLE_PER_CLASS = 4096
-MIN_DOCS = 2
+MIN_DOCS = 3
+SURE = 4.0  # standard deviations
+PRIOR = 1.0  # what a weight of 1 costs, in documents
 STEPS = 60
 THRESHOLD = 0.3
 KEPT_WORDS = 200_000
@@ -51,7 +55,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def terms(word: bytes) -> list[int]:
     """Places of a word and of its beginnings, in letters, not bytes."""
     letters = word.decode("utf-8", "replace")
-    parts = [b"w" + word, *(f"{k}{letters[:k]}".encode() for k in (4, 5) if len(letters) >= k)]
+    parts = [b"w" + word, *(f"{k}{letters[:k]}".encode() for k in (4, 5, 6, 7) if len(letters) >= k)]
     return [zlib.crc32(p) % PLACES for p in parts]
 
 
@@ -79,7 +83,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
     term = np.concatenate(rows).astype(np.int64)
     pair, count = np.unique(doc * PLACES + term, return_counts=True)
     doc, term = pair // PLACES, pair % PLACES
-    used = np.flatnonzero(np.bincount(term, minlength=PLACES) >= MIN_DOCS)
+    # Only terms whose toxic documents are too many or too few for chance get a weight.
+    seen = np.bincount(term, minlength=PLACES)
+    excess = np.bincount(term, labels[doc], minlength=PLACES) - seen * share
+    used = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(excess) >= SURE * np.sqrt(seen * share * (1 - share))))
     keep = np.isin(term, used)
     doc, term, x = doc[keep], np.searchsorted(used, term[keep]), count[keep].astype(np.float32)
     by_term = np.argsort(term, kind="stable")
@@ -94,10 +101,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
 
     rng = np.random.default_rng(seed)
     n, m = len(rows), len(used)
-    params = [np.zeros(1, np.float32), np.zeros(m, np.float32), rng.normal(0, 0.01, (m, FACTORS)).astype(np.float32)]
+    params = [np.zeros(1, np.float32), np.zeros(m, np.float32), rng.normal(0, 0.005, (m, FACTORS)).astype(np.float32)]
     moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = labels.astype(np.float32)
-    for step in range(1, steps + 1):
+    for step in range(1, 2 * steps + 1):
         b, w, v = params
         xv = x[:, None] * v[term]
         s = sums(xv, doc, n)
@@ -107,14 +114,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
         grad_v = (e[:, None] * (s[doc] - v[term]))[by_term]
         grads = [
             error.sum(keepdims=True),
-            sums(e[by_term], term[by_term], m) + 1e-5 * w,
-            sums(grad_v, term[by_term], m) + 1e-5 * v,
+            sums(e[by_term], term[by_term], m) + PRIOR * w / n,
+            sums(grad_v, term[by_term], m) + 10 * PRIOR * v / n,
         ]
         for k, grad in enumerate(grads):
             moment[k] = 0.9 * moment[k] + 0.1 * grad
             square[k] = 0.99 * square[k] + 0.01 * grad ** 2
             move = moment[k] / (1 - 0.9 ** step) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
-            params[k] = params[k] - (0.05 if k < 2 else 0.01) * move
+            # Linear weights come first, the vectors then learn what is left to pairs.
+            params[k] = params[k] - (0.05 if k < 2 else 0.002 * (step > steps)) * move
     rate = min(max(rate, 1e-6), 1 - 1e-6)
     bias = float(params[0][0]) + np.log(rate / (1 - rate)) - np.log(share / (1 - share))
     weights[used], vectors[used] = params[1], params[2]
