@@ -81,11 +81,12 @@ NOT_MAIN = frozenset(
     "comment comments respond reply replies disqus pagination pager toolbar skip contentinfo form".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre dl dt dd table tr td th tbody thead figure figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "named", "plain", "children", "noise", "main")
+    """An element; ``noise`` and ``main`` hold for all below, too. The root's ``main`` tells whether the page has one."""
+
+    __slots__ = ("tag", "path", "named", "children", "noise", "main")
 
     def __init__(self, tag: str, path: str, named: bool, noise: bool, main: bool):
         self.tag, self.path, self.named, self.noise, self.main = tag, path, named, noise, main
@@ -98,7 +99,7 @@ def _words(value: str) -> set[str]:
 
 def parse(html: str) -> Node:
     """The tree of a page; markup that is never text is left out."""
-    root = Node("", "", False, False, False)
+    root, any_main = Node("", "", False, False, False), False
     stack, at, n = [root], 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
@@ -126,16 +127,18 @@ def parse(html: str) -> Node:
             _close(stack, same.split(), within)
         node = _open(tag, m[3] or "", stack[-1])
         stack[-1].children.append(node)
+        any_main = any_main or node.main and not node.noise
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
             at = end.end() if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
+    root.main = any_main
     return root
 
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
-    named, noise, main, label = False, tag in NO_TEXT, tag in MAIN_TAGS, ""
+    named, noise, main, label = False, parent.noise or tag in NO_TEXT, tag in MAIN_TAGS, ""
     # A header of an article holds its title; elsewhere it is the page's.
     if tag == "header" and not parent.main:
         noise = True
@@ -163,16 +166,12 @@ def _close(stack: list[Node], tags, within) -> None:
             return
 
 
-def _has_main(node: Node) -> bool:
-    return any(isinstance(c, Node) and not c.noise and (c.main or _has_main(c)) for c in node.children)
-
-
 def judged_nodes(root: Node) -> Iterator[tuple[Node, str, str]]:
     """(node, own content, child tags): nodes the style tree may remove.
 
     Branches that are removed anyway and plain blocks of the article are left out.
     """
-    only_main = _has_main(root)
+    only_main = root.main
     waiting = [root]
     while waiting:
         node = waiting.pop()
@@ -182,7 +181,7 @@ def judged_nodes(root: Node) -> Iterator[tuple[Node, str, str]]:
             continue
         if node.main and not node.named and node.tag in BLOCK | {"b", "i", "em", "strong", "a", "span", "br"}:
             continue
-        if node.tag in BLOCK:
+        if node.tag in BLOCK and node.path.count("/") < MAX_DEPTH:
             yield node, " ".join(blocks(node, False, frozenset())), " ".join(c.tag for c in kids)
 
 
@@ -208,7 +207,7 @@ def blocks(root: Node, only_main: bool, low: frozenset[int]) -> list[str]:
             if node.tag in BLOCK:
                 end()
         elif isinstance(child, str):
-            if node.main or not only_main:
+            if not only_main or node.main and node is not root:
                 now.append(child)
         elif child.noise or low and path_key(child.path) in low:
             now.append(" ")
@@ -231,7 +230,7 @@ def path_key(path: str) -> int:
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     """Main text of a page; ``low`` has the paths its host's tree found unimportant."""
     root = parse(html)
-    return "\n".join(blocks(root, _has_main(root), low))
+    return "\n".join(blocks(root, root.main, low))
 
 
 def host(url: str = "url"):

@@ -42,6 +42,9 @@ SAMPLE_PER_CLASS = 4096
 MIN_DOCS = 3
 SURE = 4.0  # standard deviations
 PRIOR = 1.0  # what a weight of 1 costs, in documents
+PAIR_PRIOR = 10.0
+PAIR_RATE = 0.02
+FREQUENT = 0.25
 STEPS = 60
 THRESHOLD = 0.3
 KEPT_WORDS = 200_000
@@ -86,7 +89,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
     # Only terms whose toxic documents are too many or too few for chance get a weight.
     seen = np.bincount(term, minlength=PLACES)
     excess = np.bincount(term, labels[doc], minlength=PLACES) - seen * share
-    used = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(excess) >= SURE * np.sqrt(seen * share * (1 - share))))
+    beyond_chance = np.abs(excess) >= SURE * np.sqrt(seen * share * (1 - share))
+    used = np.flatnonzero((seen >= MIN_DOCS) & beyond_chance | (seen >= FREQUENT * len(rows)))
     keep = np.isin(term, used)
     doc, term, x = doc[keep], np.searchsorted(used, term[keep]), count[keep].astype(np.float32)
     by_term = np.argsort(term, kind="stable")
@@ -115,14 +119,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
         grads = [
             error.sum(keepdims=True),
             sums(e[by_term], term[by_term], m) + PRIOR * w / n,
-            sums(grad_v, term[by_term], m) + 10 * PRIOR * v / n,
+            sums(grad_v, term[by_term], m) + PAIR_PRIOR * v / n,
         ]
         for k, grad in enumerate(grads):
             moment[k] = 0.9 * moment[k] + 0.1 * grad
             square[k] = 0.99 * square[k] + 0.01 * grad ** 2
             move = moment[k] / (1 - 0.9 ** step) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
             # Linear weights come first, the vectors then learn what is left to pairs.
-            params[k] = params[k] - (0.05 if k < 2 else 0.002 * (step > steps)) * move
+            params[k] = params[k] - (0.05 if k < 2 else PAIR_RATE * (step > steps)) * move
     rate = min(max(rate, 1e-6), 1 - 1e-6)
     bias = float(params[0][0]) + np.log(rate / (1 - rate)) - np.log(share / (1 - share))
     weights[used], vectors[used] = params[1], params[2]
