@@ -7,6 +7,8 @@ window and no cross join occurs.
 
 from __future__ import annotations
 
+from itertools import count
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -168,22 +170,23 @@ def hub_node(degrees: DataFrame) -> DataFrame:
 
 
 def bfs_levels(
-    triples: DataFrame, start: str, scratch: Scratch, max_level: int = 1000,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    triples: DataFrame, start: str, scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """(node, level): undirected hops from ``start``; unreachable nodes are absent.
 
+    There is no limit on levels: the search ends with the first empty one. A start
+    that is only linked to itself has level 0; one that is no node gives no rows.
     Each level is written once; hub nodes, found once, are split in every join.
     """
     spark = triples.sparkSession
     edges = triples.select(F.col("subject").alias("node"), F.col("object").alias("other"))
     edges = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    first = scratch.save(edges.where(F.col("node") == start).select("node").limit(1), "start")
     edges = scratch.save(edges.where("node != other").distinct(), "edges")
     hot = scratch.save(hot_keys(edges, "node", policy), "hot")
     path = scratch.new_path("levels")
-    first = edges.where(F.col("node") == start).select("node").limit(1)
     first.write.parquet(f"{path}/level=0")
-    for level in range(max_level):
+    for level in count():
         frontier = spark.read.schema("node string").parquet(f"{path}/level={level}")
         visited = spark.read.schema("node string, level int").parquet(path)
         reached = lookup_join(edges, frontier, "node", how="inner", hot=hot).select(

@@ -22,7 +22,7 @@ def _star(edges: DataFrame, policy: SkewPolicy, rows: int) -> DataFrame:
 
 def connected_components(
     edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b",
-    max_rounds: int = 100, policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """(node, component) of an undirected edge table; component = least node.
 
@@ -40,7 +40,7 @@ def connected_components(
         ).distinct(),
         "links",
     )
-    for _ in range(max_rounds):
+    while True:
         if _is_star_forest(links):
             return nodes.join(links, "node", "left").select(
                 "node", F.coalesce("other", "node").alias("component")
@@ -60,7 +60,6 @@ def connected_components(
         small = scratch.save(small, "links")
         scratch.drop(links, large)
         links = small
-    raise RuntimeError("components did not settle")
 
 
 def _is_star_forest(links: DataFrame) -> bool:

@@ -108,12 +108,12 @@ def superclass_pairs(onto: Ontology) -> DataFrame:
 
 
 def transitive_superclass_pairs(
-    onto: Ontology, scratch: Scratch, max_rounds: int = 64
+    onto: Ontology, scratch: Scratch
 ) -> DataFrame:
     """As above over any number of steps; paths double in length each round."""
     closure = scratch.save(superclass_pairs(onto), "closure")
     size = closure.count()
-    for _ in range(max_rounds):
+    while True:
         left = closure.select("class_name", F.col("super").alias("mid"))
         right = closure.select(F.col("class_name").alias("mid"), "super")
         grown = scratch.save(
@@ -125,7 +125,6 @@ def transitive_superclass_pairs(
         if grown_size == size:
             return closure
         size = grown_size
-    raise RuntimeError("superclass closure did not settle")
 
 
 def superclass_sets(onto: Ontology, closure: str = "direct", scratch: Scratch | None = None) -> DataFrame:
@@ -154,14 +153,22 @@ def split_concepts(concepts: DataFrame) -> Ontology:
 
 
 def extend(onto: Ontology, delta: Ontology) -> Ontology:
-    """Append without checks; delta rows are ordered after the existing ones."""
-    return replace(
-        onto,
-        classes=onto.classes.unionByName(delta.classes),
-        subclass_of=onto.subclass_of.unionByName(delta.subclass_of),
-        object_properties=onto.object_properties.unionByName(delta.object_properties),
-        data_properties=onto.data_properties.unionByName(delta.data_properties),
-    )
+    """Append without checks; delta rows are ordered after the existing ones.
+
+    ``seq`` of the delta is moved behind the greatest of the ontology, one number
+    read from its four tables.
+    """
+    tables = ("classes", "subclass_of", "object_properties", "data_properties")
+    ends = [getattr(onto, name).select("seq") for name in tables]
+    last = ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]).agg(F.max("seq")).first()[0]
+    starts = [getattr(delta, name).select("seq") for name in tables]
+    first = starts[0].unionAll(starts[1]).unionAll(starts[2]).unionAll(starts[3]).agg(F.min("seq")).first()[0]
+    move = 0 if last is None or first is None or first > last else last + 1 - first
+    return replace(onto, **{
+        name: getattr(onto, name).unionByName(
+            getattr(delta, name).withColumn("seq", (F.col("seq") + F.lit(move)).cast("long"))
+        ) for name in tables
+    })
 
 
 def _issues(rows: DataFrame, code: Column | str, path: Column, message: Column,
@@ -577,7 +584,8 @@ def ontology_from_profile(name: str, classes: DataFrame, subclass_of: DataFrame,
     )
     null_guide = F.lit(None).cast(schemas.GUIDELINE).alias("usage_guideline")
     no_traits = F.array().cast("array<string>").alias("characteristics")
-    seq = F.xxhash64("predicate").alias("seq")
+    # Far from the ends of a long, so that a delta can be ordered behind it.
+    seq = F.pmod(F.xxhash64("predicate"), F.lit(1 << 60)).alias("seq")
     described = F.concat(F.lit("induced from use of "), "predicate").alias("description")
     objects = grouped.where("size(range) > 0").select(
         F.col("predicate").alias("name"), described, "domain", "range", no_traits, null_guide, seq
@@ -598,6 +606,13 @@ XSD_OF_TYPE = {
 }
 
 
+def xsd_of(dtype: str) -> str:
+    """Datatype of a column: decimals by their scale; types without one are text."""
+    if dtype.startswith("decimal"):
+        return "xsd:integer" if dtype.endswith(",0)") else "xsd:float"
+    return XSD_OF_TYPE.get(dtype, "xsd:string")
+
+
 def ontology_from_tables(
     spark: SparkSession, tables: dict[str, DataFrame], foreign_keys: dict[tuple[str, str], str],
     name: str = "catalog", top: str = "Thing",
@@ -613,12 +628,12 @@ def ontology_from_tables(
         classes.append((cls, f"row of {table}", None, seq))
         relations.append((cls, top, seq))
         for pos, (column, dtype) in enumerate(df.dtypes):
-            at = seq * 1000 + pos
+            at = (seq << 32) + pos
             if (table, column) in foreign_keys:
                 target = pascal(foreign_keys[(table, column)])
                 objects.append((column, f"{table}.{column}", [cls], [target], [], None, at))
-            elif dtype in XSD_OF_TYPE:
-                data.append((column, f"{table}.{column}", [cls], XSD_OF_TYPE[dtype], [], None, at))
+            else:
+                data.append((column, f"{table}.{column}", [cls], xsd_of(dtype), [], None, at))
     return Ontology(
         name,
         local_table(spark, classes, schemas.CLASSES),

@@ -118,14 +118,18 @@ def merge_distinct_lines(docs: DataFrame, group: str, seq: str, text: str) -> Da
 
 def tree_merge(
     docs: DataFrame, group: str, seq: str, text: str,
-    merge: Callable[[list[str]], str], scratch: Scratch, fan_in: int = FAN_IN, max_rounds: int = 64,
+    merge: Callable[[list[str]], str], scratch: Scratch, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(group, text, rounds): one document per group by a user's merge function.
 
     Each round merges ``fan_in`` consecutive documents, so a call never sees more
     than that many; a group of one passes through unmerged. ``seq`` counts the
-    documents of a group 0, 1, 2...
+    documents of a group 0, 1, 2... The size of a merged document is up to the
+    merge function (a summary is bounded, a concatenation is not); to keep all
+    lines of many documents use ``merge_distinct_lines``, whose result is a table.
     """
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
     state = docs.select(
         F.col(group).alias("g"), F.col(seq).cast("long").alias("s"), F.col(text).alias("t"), F.lit(0).alias("rounds")
     )
@@ -139,7 +143,7 @@ def tree_merge(
             "rounds": [int(pdf["rounds"].max()) + 1],
         })
 
-    for _ in range(max_rounds):
+    while True:
         counts = state.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
         counts = scratch.save(counts, "open")
         if counts.isEmpty():
@@ -155,7 +159,6 @@ def tree_merge(
         after = scratch.save(finished.select(state.columns).unionByName(merged), "merge")
         scratch.drop(state)
         state = after
-    raise RuntimeError("merge did not come down to one document per group")
 
 
 def check_min_length(df: DataFrame, text: str, minimum: int = MIN_SCOPE_LENGTH) -> tuple[DataFrame, DataFrame]:

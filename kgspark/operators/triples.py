@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kgspark import schemas
 from kgspark.functions.scalars import is_snake_case, triple_to_string
 from kgspark.operators.ontology import Ontology, all_properties, class_names, superclass_sets
 from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_ends, lookup_join, too_small
-from kgspark.storage import Scratch
+from kgspark.storage import Scratch, local_table
 
 SPO = ["subject", "predicate", "object"]
 IS_A = "isA"
@@ -49,11 +49,15 @@ def accumulate_first(triples: DataFrame) -> DataFrame:
 
 
 def entity_types(triples: DataFrame) -> DataFrame:
-    """(subject, class_name): the first accepted isA row of each entity."""
+    """(subject, class_name): the first accepted isA row of each entity.
+
+    First by (epoch, batch_id, seq); a table without epochs is one epoch.
+    """
+    order = [c for c in ("epoch", "batch_id", "seq") if c in triples.columns]
     return (
         triples.where(F.col("predicate") == IS_A)
         .groupBy("subject")
-        .agg(F.min(F.struct("batch_id", "seq", "object")).alias("first"))
+        .agg(F.min(F.struct(*order, "object")).alias("first"))
         .select("subject", F.col("first.object").alias("class_name"))
     )
 
@@ -154,6 +158,21 @@ def _property_code() -> Column:
     )
 
 
+def _by_kind(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of object properties, and the others: only the first ask for the object's type.
+
+    Literals repeat a lot; they are neither shuffled by object nor looked up.
+    """
+    is_object = F.coalesce(F.col("kind") == "object", F.lit(False))
+    return facts.where(is_object), facts.where(~is_object)
+
+
+def _untyped_object(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("object_type", F.lit(None).cast("string")).withColumn(
+        "object_supers", F.lit(None).cast("array<string>")
+    )
+
+
 BEFORE_ALL = -(1 << 62)  # batch of a type that was known beforehand
 
 
@@ -227,8 +246,7 @@ def validate(
     isa = _join_supers(isa, rules, "object_class", "object_type_supers")
     isa = isa.select(*columns, _isa_code().alias("error_code"))
 
-    facts = rows.where(F.col("predicate") != IS_A).join(rules.properties, "predicate", "left")
-    for end in ("subject", "object"):
+    def typed(facts: DataFrame, end: str) -> DataFrame:
         seen = types.select(
             F.col("subject").alias(end),
             F.col("def_batch").alias("seen_from"),
@@ -238,7 +256,11 @@ def validate(
         facts = facts.withColumn(
             f"{end}_type", F.when(F.col("seen_from") <= F.col("batch_id"), F.col("seen_class"))
         ).drop("seen_from", "seen_class")
-        facts = _join_supers(facts, rules, f"{end}_type", f"{end}_supers")
+        return _join_supers(facts, rules, f"{end}_type", f"{end}_supers")
+
+    facts = rows.where(F.col("predicate") != IS_A).join(rules.properties, "predicate", "left")
+    links, others = _by_kind(facts)
+    facts = typed(typed(links, "subject"), "object").unionByName(_untyped_object(typed(others, "subject")))
     facts = facts.select(*columns, _property_code().alias("error_code"))
     return isa.unionByName(facts)
 
@@ -301,7 +323,6 @@ def accept_batches(
     scratch: Scratch,
     prior: DataFrame | None = None,
     closure: str = "direct",
-    max_rounds: int = 1000,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> tuple[DataFrame, DataFrame]:
     """Batch mode: a batch with any error is rejected whole.
@@ -335,10 +356,25 @@ def accept_batches(
     isa = scratch.save(_join_supers(isa, rules, "object_class", "object_type_supers"), "isa")
 
     facts = rows.where(F.col("predicate") != IS_A).join(rules.properties, "predicate", "left")
-    for end in ("subject", "object"):
-        mine = own.select(F.col("subject").alias(end), "batch_id", F.col("own_class").alias(f"{end}_own"))
-        facts = facts.join(mine, [end, "batch_id"], "left")
-    facts = scratch.save(facts, "facts")
+
+    def with_own(facts: DataFrame, end: str) -> DataFrame:
+        """The class that the row's own batch gives the entity; hot entities are split."""
+        mine = own.select(F.col("subject").alias("own_key"), F.col("batch_id").alias("own_batch"), "own_class")
+        keyed = facts.withColumn("_own", F.struct(F.col(end).alias("entity"), "batch_id"))
+        mine = mine.select(
+            F.struct(F.col("own_key").alias("entity"), F.col("own_batch").alias("batch_id")).alias("_own"),
+            F.col("own_class").alias(f"{end}_own"),
+        )
+        unsplit = NO_HOT_KEYS if hot[end] is NO_HOT_KEYS else None
+        return lookup_join(keyed, mine, "_own", policy=policy, hot=unsplit).drop("_own")
+
+    links, others = _by_kind(facts)
+    facts = scratch.save(
+        with_own(with_own(links, "subject"), "object").unionByName(
+            with_own(others, "subject").withColumn("object_own", F.lit(None).cast("string"))
+        ),
+        "facts",
+    )
     batch_ids = rows.select("batch_id").distinct()
 
     def types_before(state: DataFrame) -> DataFrame:
@@ -370,15 +406,20 @@ def accept_batches(
                 F.col("seq") >= F.col("own_seq"), F.col("own_class")
             ),
         ).select(*columns, _isa_code().alias("error_code"))
-        typed = fact_rows
-        for end in ("subject", "object"):
-            typed = lookup_join(typed, types.withColumnRenamed("subject", end), end, hot=hot[end])
-            typed = typed.withColumn(
+
+        def with_type(facts: DataFrame, end: str) -> DataFrame:
+            facts = lookup_join(facts, types.withColumnRenamed("subject", end), end, hot=hot[end])
+            facts = facts.withColumn(
                 f"{end}_type",
                 F.when(F.col("def_batch") < F.col("batch_id"), F.col("earlier_class"))
                 .otherwise(F.col(f"{end}_own")),
             ).drop("def_batch", "earlier_class")
-            typed = _join_supers(typed, rules, f"{end}_type", f"{end}_supers")
+            return _join_supers(facts, rules, f"{end}_type", f"{end}_supers")
+
+        links, others = _by_kind(fact_rows)
+        typed = with_type(with_type(links, "subject"), "object").unionByName(
+            _untyped_object(with_type(others, "subject"))
+        )
         return judged_isa.unionByName(typed.select(*columns, _property_code().alias("error_code")))
 
     def verdicts(judged: DataFrame) -> DataFrame:
@@ -387,10 +428,12 @@ def accept_batches(
     state = scratch.save(batch_ids.withColumn("accepted", F.lit(True)), "accepted")
     types = types_before(state)
     after = scratch.save(verdicts(judge(isa, facts, types)).withColumnRenamed("verdict", "accepted"), "accepted")
-    ends = isa.select(F.col("subject").alias("entity"), "batch_id").unionByName(
-        facts.select(F.explode(F.array("subject", "object")).alias("entity"), "batch_id")
-    )
-    for _ in range(max_rounds):
+    # Entities whose types a batch asks for; each once per batch, so a hub is no hot key.
+    asked = F.when(F.col("kind") == "object", F.array("subject", "object")).otherwise(F.array("subject"))
+    ends = scratch.save(isa.select(F.col("subject").alias("entity"), "batch_id").unionByName(
+        facts.select(F.explode(asked).alias("entity"), "batch_id")
+    ).distinct(), "ends")
+    while True:
         changed = after.join(state.withColumnRenamed("accepted", "before"), "batch_id").where(
             "accepted != before"
         )
@@ -417,7 +460,6 @@ def accept_batches(
             "accepted",
         )
         scratch.drop(old)
-    raise RuntimeError("batch acceptance did not settle")
 
 
 def accepted_batch_triples(judged: DataFrame, batches: DataFrame) -> DataFrame:
@@ -435,45 +477,87 @@ def run_epochs(
     scratch: Scratch,
     epochs: int = 3,
     policy: SkewPolicy = DEFAULT_SKEW,
+    mode: str = "row",
 ) -> tuple[DataFrame, DataFrame]:
     """Up to ``epochs`` passes, each seeing the graph so far; stop when none is new.
 
-    ``extract(kg, epoch)`` returns candidate triples. Returns (kg, progress) with
-    progress rows (epoch, batch_id, candidates, new_triples, total).
+    ``extract(kg, epoch)`` returns candidate triples. ``mode`` tells whether single
+    rows or whole batches are rejected. Returns (kg, progress): the graph has the
+    epoch of each triple, so that a type stays the one of its first epoch; progress
+    rows are (epoch, batch_id, candidates, new_triples, total), with the size of the
+    graph after the batch.
     """
-    kg = scratch.save(empty, "kg")
+    kg = scratch.save(empty.select(*SPO, "batch_id", "seq").withColumn("epoch", F.lit(-1)), "kg")
+    size = kg.count()
     rules = None if onto is None else prepare_rules(onto, scratch)
     progress = []
     for epoch in range(epochs):
         # An extractor may call a model, so its rows are written before any use.
         candidates = scratch.save(extract(kg, epoch), "candidates")
-        judged = scratch.save(
-            validate(candidates, rules, scratch, prior=kg if epoch else None, policy=policy), "judged"
-        )
-        found = scratch.save(accumulate_first(accepted(judged)), "found")
+        judged, good = judge(candidates, rules, scratch, kg if size else None, mode, policy)
+        found = scratch.save(accumulate_first(good), "found")
         log = (
             judged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("candidates"))
             .join(found.groupBy("batch_id").agg(F.count(F.lit(1)).alias("new_triples")), "batch_id", "left")
             .select(F.lit(epoch).alias("epoch"), "batch_id", "candidates",
                     F.coalesce("new_triples", F.lit(0)).alias("new_triples"))
         )
+        log = running_total(scratch.save(log, "log"), size, scratch)
         progress.append(scratch.save(log, "progress"))
         n_new = found.count()
         if n_new == 0:
             break
+        size += n_new
         # The triples of a pass are disjoint from the graph: append, no shuffle.
-        kg = kg.unionByName(found.select(kg.columns))
+        kg = kg.unionByName(found.withColumn("epoch", F.lit(epoch)).select(kg.columns))
     table = progress[0]
     for part in progress[1:]:
         table = table.unionByName(part)
     return kg, table
 
 
+def judge(
+    triples: DataFrame, rules: Rules | None, scratch: Scratch, prior: DataFrame | None, mode: str,
+    policy: SkewPolicy = DEFAULT_SKEW,
+) -> tuple[DataFrame, DataFrame]:
+    """(judged, accepted rows) by ``mode``: "row" or "batch"."""
+    if mode == "row":
+        judged = scratch.save(validate(triples, rules, scratch, prior=prior, policy=policy), "judged")
+        return judged, accepted(judged)
+    if mode != "batch":
+        raise ValueError(f"no such mode: {mode}")
+    judged, batches = accept_batches(triples, rules, scratch, prior=prior, policy=policy)
+    judged = scratch.save(judged, "judged")
+    good = batches.where("accepted").select("batch_id")
+    return judged, lookup_join(judged.drop("error_code"), good, "batch_id", "left_semi")
+
+
+def running_total(log: DataFrame, before: int, scratch: Scratch) -> DataFrame:
+    """Add ``total``: the graph's size after each batch, in the order of batch ids.
+
+    Sums within ranges of ids, then over the ranges, whose sums (one per
+    partition) come to the driver.
+    """
+    within = Window.partitionBy("_part").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    parts = log.repartitionByRange("batch_id").withColumn("_part", F.spark_partition_id())
+    parts = scratch.save(parts, "log")
+    total, offsets = before, []
+    for row in parts.groupBy("_part").agg(F.sum("new_triples").alias("n")).orderBy("_part").collect():
+        offsets.append((row["_part"], total))
+        total += row["n"]
+    # One row per partition of the log.
+    table = F.broadcast(local_table(log.sparkSession, offsets, "_part int, _before long"))
+    return parts.withColumn("_sum", F.sum("new_triples").over(within)).join(table, "_part").select(
+        *log.columns, (F.col("_before") + F.col("_sum")).alias("total")
+    )
+
+
 def epoch_totals(progress: DataFrame) -> DataFrame:
     return progress.groupBy("epoch").agg(
         F.count(F.lit(1)).alias("batches"),
         F.sum("candidates").alias("candidates"),
         F.sum("new_triples").alias("new_triples"),
+        F.max("total").alias("total"),
     )
 
 

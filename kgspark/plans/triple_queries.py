@@ -176,7 +176,8 @@ k AS (SELECT *, CASE WHEN p IN ('containsPart', 'shippedBy') THEN 2 WHEN b >= 4
 f AS (SELECT e, count(*) AS fresh FROM (SELECT DISTINCT s, p, o, e FROM k) GROUP BY e),
 c AS (SELECT x.e, count(*) AS judged, count(DISTINCT k.b) AS batches FROM (VALUES (0), (1), (2), (3)) x(e)
       JOIN k ON k.e <= x.e AND NOT EXISTS (SELECT 1 FROM (VALUES (0)) z(z) WHERE k.e < x.e) GROUP BY x.e)
-SELECT CAST(e AS INTEGER) AS epoch, batches, judged AS candidates, coalesce(fresh, 0) AS new_triples FROM c LEFT JOIN f USING (e)""")
+SELECT CAST(e AS INTEGER) AS epoch, batches, judged AS candidates, coalesce(fresh, 0) AS new_triples,
+  CAST(sum(coalesce(fresh, 0)) OVER (ORDER BY e) AS BIGINT) AS total FROM c LEFT JOIN f USING (e)""")
 def t11(t):
     _, progress = epochs(t)
     return T.epoch_totals(progress).where("candidates > 0")

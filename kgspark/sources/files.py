@@ -44,11 +44,18 @@ def scan_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, line) of line files; a final line break gives one empty line."""
+    """(path, pos, line, after_end) of line files.
+
+    A final line break gives one more, empty line, marked ``after_end``, as does an
+    empty file; without that row the lines do not depend on the number of files.
+    """
     files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+        F.col("_metadata.file_path").alias("path"), F.split("value", "\n", -1).alias("lines")
+    )
+    lines = files.select("path", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    return lines.select(
+        "path", "pos", "line", ((F.col("pos") == F.col("n") - 1) & (F.col("line") == "")).alias("after_end")
     )
-    return files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
 
 
 def write_lines(df: DataFrame, text: str, path: str, order: list | None = None) -> None:
@@ -70,14 +77,18 @@ def _json_documents(spark: SparkSession, path: str, schema: str, lines: bool) ->
     ).drop("raw")
 
 
-def read_ontology(spark: SparkSession, path: str) -> tuple[Ontology, DataFrame]:
-    """(ontology, unreadable): an ontology document as four tables."""
-    docs = _json_documents(spark, path, schemas.ONTOLOGY_JSON, lines=False)
+def read_ontology(spark: SparkSession, path: str, lines: bool = False) -> tuple[Ontology, DataFrame]:
+    """(ontology, unreadable): an ontology as four tables.
+
+    One document per file, or with ``lines`` one per line, as ``write_ontology``
+    gives them. ``seq`` is the place in the document, after the line's own one.
+    """
+    docs = _json_documents(spark, path, "seq bigint, " + schemas.ONTOLOGY_JSON, lines=lines)
     good = docs.where("_corrupt_record is null")
 
     def rows(column: str) -> DataFrame:
-        return good.select(F.posexplode(column).alias("seq", "r")).select(
-            "r.*", F.col("seq").cast("long").alias("seq")
+        return good.select("seq", F.posexplode(column).alias("pos", "r")).select(
+            "r.*", (F.coalesce("seq", F.lit(0)) + F.col("pos")).cast("long").alias("seq")
         )
 
     first = good.select("name").first()
@@ -88,27 +99,46 @@ def read_ontology(spark: SparkSession, path: str) -> tuple[Ontology, DataFrame]:
     return onto, docs.where("_corrupt_record is not null").select("_corrupt_record")
 
 
-MAX_DOCUMENT_ROWS = 1_000_000
+# Field of an ontology document and attribute of the ontology it holds.
+SECTIONS = {
+    "classes": "classes", "subclass_relations": "subclass_of",
+    "object_properties": "object_properties", "data_properties": "data_properties",
+}
 
 
-def write_ontology(onto: Ontology, path: str, max_rows: int = MAX_DOCUMENT_ROWS) -> None:
-    """One JSON document. Its size is checked first: larger ones go to tables."""
+def write_ontology(onto: Ontology, path: str) -> None:
+    """JSON lines, one small document per concept, with its place; of any size.
+
+    Every line is an ontology document of one concept, so a reader of documents
+    can read each line by itself.
+    """
+    lines = None
+    for section, attribute in SECTIONS.items():
+        table = getattr(onto, attribute)
+        fields = F.struct(*[c for c in table.columns if c != "seq"])
+        line = F.to_json(
+            F.struct(F.lit(onto.name).alias("name"), F.col("seq"), F.array(fields).alias(section)),
+            {"ignoreNullFields": "false"},
+        )
+        part = table.select(line.alias("value"))
+        lines = part if lines is None else lines.unionAll(part)
     spark = onto.classes.sparkSession
-    tables = {
-        "classes": onto.classes, "subclass_relations": onto.subclass_of,
-        "object_properties": onto.object_properties, "data_properties": onto.data_properties,
-    }
-    for name, table in tables.items():
-        if table.limit(max_rows + 1).count() > max_rows:
-            raise ValueError(f"{name} has over {max_rows} rows; write the ontology as tables")
+    head = spark.range(1).select(F.to_json(F.struct(F.lit(onto.name).alias("name"))).alias("value"))
+    lines.unionAll(head).write.text(path)
+
+
+def write_ontology_document(onto: Ontology, path: str) -> None:
+    """One JSON document, as other programs exchange it. It is a single row: for
+    ontologies of any size use ``write_ontology``."""
     lists = []
-    for name, table in tables.items():
+    for section, attribute in SECTIONS.items():
+        table = getattr(onto, attribute)
         fields = [c for c in table.columns if c != "seq"]
         items = table.agg(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("row")))), lambda x: x["row"]
         ))
-        lists.append(items.scalar().alias(name))
-    document = spark.range(1).select(F.lit(onto.name).alias("name"), *lists)
+        lists.append(items.scalar().alias(section))
+    document = onto.classes.sparkSession.range(1).select(F.lit(onto.name).alias("name"), *lists)
     document.select(F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"})).write.text(path)
 
 

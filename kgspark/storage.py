@@ -64,6 +64,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def close(self) -> None:
+        """Delete the folder with all tables; nothing that reads them may be used later."""
+        fs, jpath = hadoop_path(self.spark, self.path)
+        fs.delete(jpath, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
     def pin(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Save a frame unless it is a scratch table already."""
         return df if hasattr(df, "_scratch_path") else self.save(df, name)

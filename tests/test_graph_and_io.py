@@ -10,6 +10,7 @@ from kgspark.operators import graph as G
 from kgspark.operators import models as U
 from kgspark.operators import triples as T
 from kgspark.operators import views as V
+from kgspark.plans.star import make_ontology
 from kgspark.sources import files as S
 from kgspark.streaming import ingest as I
 from kgspark.storage import local_table
@@ -114,12 +115,54 @@ def test_scan_text_files(spark, tmp_path):
 def test_lines_round_trip(spark, tmp_path):
     (tmp_path / "q.txt").write_text("b\na\n")
     rows = S.read_lines(spark, str(tmp_path / "q.txt")).orderBy("pos").collect()
-    assert [r["line"] for r in rows] == ["b", "a", ""]
+    assert [(r["line"], r["after_end"]) for r in rows] == [("b", False), ("a", False), ("", True)]
+
+
+@pytest.mark.parametrize("files", [1, 3, 8])
+def test_lines_do_not_depend_on_files(spark, tmp_path, files):
+    texts = ["a", "", "b\nc", "", "d"] * 3
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(files).write.text(str(tmp_path / "l"))
+    rows = S.read_lines(spark, str(tmp_path / "l")).where("not after_end").collect()
+    assert sorted(r["line"] for r in rows) == sorted("\n".join(texts).split("\n"))
+
+
+def test_ontology_lines_round_trip(spark, base, tmp_path):
+    S.write_ontology(base, str(tmp_path / "lines"))
+    back, broken = S.read_ontology(spark, str(tmp_path / "lines"), lines=True)
+    for name in ("classes", "subclass_of", "object_properties", "data_properties"):
+        rows = getattr(base, name)
+        assert sorted(map(str, getattr(back, name).select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert back.name == base.name and broken.isEmpty()
+
+
+def test_bfs_has_no_level_limit(spark, scratch):
+    chain = [(f"n{i}", "p", f"n{i + 1}", 0, i) for i in range(7)] + [("loop", "p", "loop", 0, 99)]
+    rows = local_table(spark, chain, COLUMNS)
+    assert {r["node"]: r["level"] for r in G.bfs_levels(rows, "n0", scratch).collect()} == {f"n{i}": i for i in range(8)}
+    assert [tuple(r) for r in G.bfs_levels(rows, "loop", scratch).collect()] == [("loop", 0)]
+    assert G.bfs_levels(rows, "none", scratch).isEmpty()
+
+
+@pytest.mark.parametrize("mode", ["row", "batch"])
+def test_stream_keeps_first_type(spark, scratch, tmp_path, mode):
+    """A type is the one of the first micro-batch, whatever the batch ids are; no scratch is left."""
+    onto = make_ontology(
+        spark, "o", ["Thing", "Person", "Employee", "Manager"],
+        [("Person", "Thing"), ("Employee", "Person"), ("Manager", "Person")], [], [],
+    )
+    arrivals = [("x", "isA", "Person", 5, 0), ("x", "isA", "Employee", 0, 0), ("x", "isA", "Manager", 0, 0)]
+    kg, ck, src = (str(tmp_path / n) for n in ("kg", "ck", "src"))
+    for row in arrivals:
+        part = local_table(spark, [row], COLUMNS)
+        part.write.mode("append").parquet(src)
+        I.stream_ingest(spark.readStream.schema(part.schema).parquet(src), kg, ck, onto, mode=mode).awaitTermination()
+    got = {(r["object"], r["epoch"]) for r in I.read_snapshot(spark, kg).collect()}
+    assert got == {("Person", 0), ("Employee", 1), ("Manager", 2)}
 
 
 def test_ontology_round_trip(spark, base, tmp_path):
     path = str(tmp_path / "onto")
-    S.write_ontology(base, path)
+    S.write_ontology_document(base, path)
     text = "".join(p.read_text() for p in (tmp_path / "onto").glob("part-*"))
     assert set(json.loads(text)) == {"name", "classes", "subclass_relations", "object_properties", "data_properties"}
     back, broken = S.read_ontology(spark, path)
@@ -127,8 +170,6 @@ def test_ontology_round_trip(spark, base, tmp_path):
     for table in ("classes", "subclass_of", "object_properties", "data_properties"):
         a, b = getattr(base, table), getattr(back, table)
         assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
-    with pytest.raises(ValueError):
-        S.write_ontology(base, str(tmp_path / "big"), max_rows=3)
 
 
 def test_kg_documents(spark, tmp_path):

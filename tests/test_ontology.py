@@ -172,3 +172,18 @@ def test_catalog_ontology(spark):
     assert {r["name"] for r in onto.classes.collect()} == {"Thing", "Nation", "Region"}
     assert [(r["domain"], r["range"]) for r in onto.object_properties.collect()] == [(["Nation"], ["Region"])]
     assert {r["name"]: r["range"] for r in onto.data_properties.collect()}["r_opened"] == "xsd:dateTime"
+
+
+def test_delta_is_ordered_after_the_ontology(spark):
+    first = make_ontology(spark, "a", ["Thing", "Other"], [("Other", "Thing")], [], [])
+    delta = make_ontology(spark, "b", ["Alpha"], [("Alpha", "Thing")], [], [])
+    both = O.extend(first, delta)
+    assert [r["name"] for r in both.classes.orderBy("seq").collect()] == ["Thing", "Other", "Alpha"]
+    assert both.classes.select("seq").distinct().count() == 3
+
+
+def test_every_column_becomes_a_property(spark):
+    table = spark.sql("select 1 as id, cast(1 as decimal(9,2)) as price, array(1) as tags, map('a', 1) as m, binary('x') as raw")
+    onto = O.ontology_from_tables(spark, {"thing": table}, {})
+    got = {r["name"]: r["range"] for r in onto.data_properties.collect()}
+    assert got == {"id": "xsd:integer", "price": "xsd:float", "tags": "xsd:string", "m": "xsd:string", "raw": "xsd:string"}

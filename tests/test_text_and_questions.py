@@ -78,6 +78,14 @@ def test_quota(spark):
     assert {tuple(r) for r in shortfall.collect()} == {("b", 1)}
 
 
+def test_quota_of_any_size(spark):
+    groups = spark.createDataFrame([("a", 5), ("b", 1)], "g string, quota int")
+    replies = spark.createDataFrame([("a", 1, i, f"p{i}") for i in range(10)], "g string, round int, seq int, name string")
+    members, shortfall = Q.fill_quota(groups, replies, "g")
+    assert {r["name"] for r in members.collect()} == {"p0", "p1", "p2", "p3", "p4"}
+    assert {tuple(r) for r in shortfall.collect()} == {("b", 1)}
+
+
 def test_shuffle_is_a_stable_permutation(spark, scratch):
     rows = spark.range(500).withColumnRenamed("id", "k")
     once = {r["k"]: r["position"] for r in Q.seeded_shuffle(rows, "k", scratch).collect()}

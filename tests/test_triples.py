@@ -6,6 +6,7 @@ import re
 import pytest
 
 from kgspark.operators import triples as T
+from kgspark.plans.star import make_ontology
 from kgspark.skew import SkewPolicy
 from kgspark.storage import local_table
 
@@ -238,4 +239,29 @@ def test_epochs_stop_when_nothing_is_new(spark, base, scratch):
 
     kg, progress = T.run_epochs(extract, frame(spark, {}), base, scratch, epochs=9)
     assert seen == [0, 3, 6] and kg.count() == 6
-    assert {(r["epoch"], r["new_triples"]) for r in T.epoch_totals(progress).collect()} == {(0, 3), (1, 3)}
+    totals = {(r["epoch"], r["new_triples"], r["total"]) for r in T.epoch_totals(progress).collect()}
+    assert totals == {(0, 3, 3), (1, 3, 6)}
+
+
+@pytest.mark.parametrize("mode", ["row", "batch"])
+def test_epochs_reject_rows_or_batches(spark, base, scratch, mode):
+    """A bad row takes its batch along in batch mode; the total counts up by batch."""
+    def extract(kg, epoch):
+        bad = ("rex", "isA", "Dog")
+        return frame(spark, {0: CLEAN[:2], 1: [("mia", "isA", "Person"), bad], 2: [("ann", "isA", "Person")]})
+
+    kg, progress = T.run_epochs(extract, frame(spark, {}), base, scratch, epochs=2, mode=mode)
+    mia = 0 if mode == "batch" else 1
+    got = {(r["batch_id"], r["new_triples"], r["total"]) for r in progress.where("epoch = 0").collect()}
+    assert got == {(0, 2, 2), (1, mia, 2 + mia), (2, 1, 3 + mia)}
+    assert kg.count() == 3 + mia
+
+
+def test_type_of_first_epoch_stays(spark, scratch):
+    onto = make_ontology(
+        spark, "o", ["Thing", "Person", "Employee", "Manager"],
+        [("Person", "Thing"), ("Employee", "Person"), ("Manager", "Person")], [], [],
+    )
+    steps = [{5: [("x", "isA", "Person")]}, {0: [("x", "isA", "Employee")]}, {0: [("x", "isA", "Manager")]}]
+    kg, _ = T.run_epochs(lambda kg, e: frame(spark, steps[e]), frame(spark, {}), onto, scratch)
+    assert {r["object"] for r in kg.collect()} == {"Person", "Employee", "Manager"}
