@@ -12,6 +12,7 @@ from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import (
     SQL_RAW, SQL_STAR, dimension_triples, line_triples, order_triples, raw_triples, star_triples,
 )
+from kgspark.skew import dense_index
 from kgspark.sources import files as S
 
 
@@ -43,9 +44,14 @@ def src3(t):
     path = t.scratch.new_path("ontology")
     S.write_ontology(part_ontology(t), path)
     onto, _ = S.read_ontology(t.spark, path, lines=True)
-    return onto.classes.select(F.lit("class").alias("kind"), "name", "seq").unionByName(
-        onto.data_properties.select(F.lit("property").alias("kind"), "name", "seq")
-    )
+    # Places count up with the order of the lines.
+    rows = [
+        dense_index(table.select("name", F.col("seq").alias("at")), [F.asc("at")], "seq", t.scratch).select(
+            F.lit(kind).alias("kind"), "name", "seq"
+        )
+        for kind, table in (("class", onto.classes), ("property", onto.data_properties))
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query("SRC4_read_kg", f"""WITH {SQL_STAR}
