@@ -15,13 +15,17 @@ more than six standard deviations below the limit. All others are confirmed on
 the full sets.
 
 Equal sets are one row from the start (a class), so copies cost one partial
-aggregate. Of the classes that share a band, each is first compared with the
-least one: that gives one candidate per class and band, never all pairs. The
-confirmed links make components. A band whose classes are then all in one
-component is done, as more links change nothing. In the others, the classes
-outside of the band's largest component are compared with all classes of the band,
-by registers, in blocks of bounded size; what may reach the limit is confirmed as
-well. So no pair of a band goes untested unless it is in one component already.
+aggregate. Each class is first compared with at most two others: of the least
+classes of its bands, the one it shares most bands with, and the least. The
+confirmed links make components. A band whose classes are then all in one component
+is done, as more links change nothing. In the others, the classes outside of the
+band's largest component are compared with all classes of the band by registers,
+in blocks of bounded size. Out of a block come only as many pairs as join what may
+be similar (a forest), never all of them. Components and forests make clusters.
+Within a cluster, the classes outside of its largest component are compared with all
+classes of the cluster on full sets, again in blocks and with a forest as result. So
+every pair of a band that may be similar is tested, unless it is in one
+component already, and no group's pairs are ever written out.
 
 Defined results: texts without words, and null texts, have an empty set, are
 linked with nothing and kept, as are rows with a null id; texts of fewer words
@@ -32,7 +36,6 @@ are copies; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -128,11 +131,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # ------------------------------------------------------------------ the job
 
-def sketches(docs: DataFrame, rule: NearDup, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set_key, n_shingles) of each document, and the classes of equal sets.
-
-    A class has sid (its number), set_key, first_id (least id), n_shingles, registers.
-    """
+def signatures(docs: DataFrame, rule: NearDup, scratch: Scratch) -> DataFrame:
+    """(doc_id, set_key, n_shingles, registers) of each document."""
     def sketch(rows):
         for doc_id, text in rows:
             found = shingles(text, rule.size)
@@ -140,15 +140,18 @@ def sketches(docs: DataFrame, rule: NearDup, scratch: Scratch) -> tuple[DataFram
             yield doc_id, key, len(found), registers(found).tobytes()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = scratch.save(map_rows(
+    return scratch.save(map_rows(
         docs.select("doc_id", utf8()), sketch,
         f"doc_id {kind}, set_key binary, n_shingles bigint, registers binary",
     ), "signed")
+
+
+def classes_of(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sid, set_key, n_shingles, registers, first_id): equal sets, numbered, with their least id."""
     sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles", "registers").agg(
         F.min("doc_id").alias("first_id")
     )
-    classes = scratch.save(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "classes")
-    return signed.drop("registers"), classes
+    return scratch.save(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "classes")
 
 
 def band_table(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,6 +172,28 @@ def band_table(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(rows.join(leaders.drop("n"), "band"), "shared")
 
 
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with two of the least classes of its bands, at most."""
+    met = shared.where("sid != leader").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("n"))
+    chosen = met.groupBy("sid").agg(F.max(F.struct("n", -F.col("leader"))).alias("most"), F.min("leader").alias("least"))
+    ends = F.explode(F.array_distinct(F.array(-F.col("most.col2"), F.col("least"))))
+    return chosen.select(ends.alias("a"), F.col("sid").alias("b"))
+
+
+def _full_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDup, scratch: Scratch) -> DataFrame:
+    """(sid, text) of the wanted classes, one text per class whatever the number of its copies."""
+    sides = wanted.select("sid").distinct().join(classes.select("sid", "first_id", "set_key"), "sid")
+    chosen = texts.join(sides, texts["doc_id"] == sides["first_id"]).select("sid", utf8(), "set_key")
+
+    def check_key(rows):
+        # An id that several texts share gives the text of the class.
+        for sid, text, key in rows:
+            if xxhash.xxh3_128_digest(shingles(text, rule.size).tobytes()) == key:
+                yield sid, text
+
+    return scratch.save(map_rows(chosen, check_key, "sid bigint, text binary").dropDuplicates(["sid"]), "texts")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDup, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the similarity.
 
@@ -189,19 +214,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDu
 
     hopeful = scratch.save(map_rows(met, estimate, "a bigint, b bigint"), "hopeful")
     ends = hopeful.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
-    # One text per class, whatever the number of its copies.
-    wanted = ends.select("sid").distinct().join(classes.select("sid", "first_id", "set_key"), "sid")
-    chosen = scratch.save(texts.join(wanted, texts["doc_id"] == wanted["first_id"]).select(
-        "sid", utf8(), "set_key"
-    ), "texts")
-
-    def check_key(rows):
-        for sid, text, key in rows:
-            if xxhash.xxh3_128_digest(shingles(text, rule.size).tobytes()) == key:
-                yield sid, text
-
-    # An id that several texts share gives the text of the class.
-    chosen = map_rows(chosen, check_key, "sid bigint, text binary").dropDuplicates(["sid"])
+    chosen = _full_texts(ends, classes, texts, rule, scratch)
     both = ends.join(chosen, "sid").repartition("a", "b").sortWithinPartitions("a", "b")
 
     def compare(rows):
@@ -212,54 +225,127 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDu
     return map_rows(both.select("a", "b", "text"), compare, "a bigint, b bigint")
 
 
-def other_pairs(shared: DataFrame, components: DataFrame, classes: DataFrame, rule: NearDup, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of a band that are in different components and may be similar.
+def open_groups(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(grp, sid, component, main, outer, inner) of groups with several components.
 
-    In each band that still has several components, the classes outside of its
-    largest one (few) are cut to blocks; each block meets all classes of the band,
-    which are cut to blocks too, and only pairs that may reach the limit come out.
+    ``members`` has (grp, sid). ``main`` is a group's largest component, ``outer`` and
+    ``inner`` the numbers of blocks of the other classes and of all classes.
     """
-    placed = shared.select("band", "sid").join(
-        components.select(F.col("node").alias("sid"), "component"), "sid", "left"
-    ).withColumn("component", F.coalesce("component", "sid"))
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(
+    placed = members.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
+        "component", F.coalesce("component", "sid")
+    )
+    sizes = placed.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("grp").agg(
         F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
     ).where("parts > 1").select(
-        "band", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("outer"),
+        "grp", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("outer"),
         F.ceil(F.col("n") / BLOCK).alias("inner"),
     )
-    open_bands = scratch.save(placed.join(largest, "band"), "open_bands")
-    sides = classes.select("sid", "n_shingles", "registers")
-    rows = open_bands.join(sides, "sid")
-    spread = F.pmod(F.xxhash64("sid"), F.col("inner"))
-    inner = rows.select(
-        "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outer") - 1)).alias("o"), spread.alias("i"),
-        F.lit(0).alias("side"), "sid", "component", "n_shingles", "registers",
-    )
+    return placed.join(largest, "grp")
+
+
+def forest(groups: DataFrame, payload: DataFrame, compare) -> DataFrame:
+    """(a, b): pairs of classes in different components that ``compare`` accepts.
+
+    Each group is cut to blocks; a block of the classes outside of the main component
+    meets each block of all classes. ``compare(block, rows)`` is a function of the
+    payloads of a block that gives, for one payload, a flag for each of the block.
+    Of a pair of blocks, only pairs that join components not yet joined there come out.
+    """
+    rows = groups.join(payload.select("sid", "payload"), "sid")
+    at = F.pmod(F.xxhash64("sid"), F.col("inner"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    inner = rows.select("grp", numbers("outer").alias("o"), at.alias("i"), F.lit(0).alias("side"), "sid", "component", "payload")
     outer = rows.where("component != main").select(
-        "band", F.pmod(F.xxhash64("sid"), F.col("outer")).alias("o"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("inner") - 1)).alias("i"),
-        F.lit(1).alias("side"), "sid", "component", "n_shingles", "registers",
+        "grp", F.pmod(F.xxhash64("sid"), F.col("outer")).alias("o"), numbers("inner").alias("i"),
+        F.lit(1).alias("side"), "sid", "component", "payload",
     )
-    block = ["band", "o", "i"]
-    blocks = inner.unionByName(outer).repartition(*block).sortWithinPartitions(*block)
+    key = ["grp", "o", "i"]
+    blocks = inner.unionByName(outer).repartition(*key).sortWithinPartitions(*key)
 
-    def compare(rows):
+    def run(rows):
         for _, group in runs(rows, lambda r: r[:3]):
-            halves = [[g for g in group if g[3] == s] for s in (0, 1)]
-            if not all(halves):
+            all_rows, few = ([g for g in group if g[3] == s] for s in (0, 1))
+            if not few or len(all_rows) < 2:
                 continue
-            sid, part, size, regs = zip(*((
-                np.array([g[4] for g in h]), np.array([g[5] for g in h]), np.array([g[6] for g in h]),
-                np.frombuffer(b"".join(g[7] for g in h), np.uint16).reshape(len(h), -1),
-            ) for h in halves))
-            for k in range(len(sid[1])):
-                hit = (part[0] != part[1][k]) & may_reach(regs[0], regs[1][k], size[0], size[1][k], rule.percent)
-                for s in sid[0][hit].tolist():
-                    yield min(s, int(sid[1][k])), max(s, int(sid[1][k]))
-
-    return map_rows(blocks, compare, "a bigint, b bigint").distinct()
+            parts = np.array([g[5] for g in all_rows])
+            accepts = compare([g[6] for g in all_rows])
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            for _, _, _, _, sid, component, data in few:
+                hits = np.flatnonzero(parts != component)
+                hits = hits[accepts(data, hits)] if len(hits) else hits
+                for part, k in zip(*np.unique(parts[hits], return_index=True)):
+                    x, y = root(int(part)), root(component)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        yield sid, all_rows[hits[k]][4]
+
+    return map_rows(blocks, run, "a bigint, b bigint")
+
+
+def may_be_similar(rule: NearDup):
+    """Comparison of payloads (size and registers) for ``forest``."""
+    def block(payloads):
+        sizes = np.array([int.from_bytes(p[:8]) for p in payloads])
+        table = np.frombuffer(b"".join(p[8:] for p in payloads), np.uint16).reshape(len(payloads), -1)
+
+        def accepts(payload, rows):
+            n, own = int.from_bytes(payload[:8]), np.frombuffer(payload[8:], np.uint16)
+            fits = np.minimum(n, sizes[rows]) * 100 >= rule.percent * np.maximum(n, sizes[rows])
+            out = np.zeros(len(rows), bool)
+            near = np.flatnonzero(fits)
+            out[near] = may_reach(table[rows[near]], own, sizes[rows[near]], n, rule.percent)
+            return out
+
+        return accepts
+
+    return block
+
+
+def are_similar(rule: NearDup):
+    """Comparison of payloads (texts) for ``forest``, on full sets by an inverted index of the block."""
+    def block(payloads):
+        sets = [shingles(p, rule.size) for p in payloads]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+
+        def accepts(payload, rows):
+            own = shingles(payload, rule.size)
+            first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            counts = last - first
+            places = np.repeat(first - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
+            both = np.bincount(owner[places], minlength=len(sets))[rows]
+            return 100 * both >= rule.percent * (len(own) + sizes[rows] - both)
+
+        return accepts
+
+    return block
+
+
+def more_links(
+    shared: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDup, scratch: Scratch
+) -> DataFrame:
+    """(a, b): links between components that the star pairs have not found."""
+    components = scratch.save(connected_components(links, scratch), "components")
+    bands = scratch.save(open_groups(shared.select(F.col("band").alias("grp"), "sid"), components), "open_bands")
+    size = F.unhex(F.lpad(F.hex("n_shingles"), 16, "0"))
+    sketch = classes.select("sid", F.concat(size, "registers").alias("payload"))
+    hopeful = scratch.save(forest(bands, sketch, may_be_similar(rule)), "hopeful")
+    clusters = scratch.save(connected_components(links.unionAll(hopeful), scratch), "clusters")
+    groups = scratch.save(
+        open_groups(clusters.select(F.col("component").alias("grp"), F.col("node").alias("sid")), components), "open_clusters"
+    )
+    payload = _full_texts(groups, classes, texts, rule, scratch).withColumnRenamed("text", "payload")
+    return forest(groups, payload, are_similar(rule))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, rule: NearDup = NearDup()) -> DataFrame:
@@ -268,24 +354,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, rule: NearDup = NearDup()
     ``component_id`` is the least id of the documents that links lead to.
     """
     texts = docs.select("doc_id", "text")
-    signed, classes = sketches(texts, rule, scratch)
-    shared = band_table(classes, scratch)
-    stars = shared.where("sid != leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
-    links = scratch.save(confirm(stars, classes, texts, rule, scratch), "links")
-    components = scratch.save(connected_components(links, scratch), "components")
-    rest = scratch.save(other_pairs(shared, components, classes, rule, scratch), "rest")
-    more = scratch.save(confirm(rest, classes, texts, rule, scratch), "more")
-    links = reduce(DataFrame.unionAll, [links, more])
-    components = scratch.save(connected_components(links, scratch), "components")
-    least = components.join(classes.select(F.col("sid").alias("node"), "first_id"), "node").groupBy("component").agg(
-        F.min("first_id").alias("component_id")
-    )
-    of_class = components.join(least, "component").select(F.col("node").alias("sid"), "component_id")
-    of_set = classes.join(of_class, "sid", "left").select(
-        "set_key", F.coalesce("component_id", "first_id").alias("component_id")
-    )
-    out = lookup_join(signed, scratch.save(of_set, "of_set"), "set_key", rows=None)
-    found = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    signed = signatures(texts, rule, scratch)
+    with Scratch(docs.sparkSession) as work:
+        classes = classes_of(signed, work)
+        shared = band_table(classes, work)
+        links = work.save(confirm(star_pairs(shared), classes, texts, rule, work), "links")
+        more = work.save(more_links(shared, links, classes, texts, rule, work), "more")
+        components = work.save(connected_components(links.unionAll(more), work), "components")
+        ids = classes.select(F.col("sid").alias("node"), "first_id")
+        least = components.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+        of_class = components.join(least, "component").select(F.col("node").alias("sid"), "component_id")
+        of_set = scratch.save(classes.join(of_class, "sid", "left").select(
+            "set_key", F.coalesce("component_id", "first_id").alias("component_id")
+        ), "of_set")
+    out = lookup_join(signed.drop("registers"), of_set, "set_key")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    found = F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", found.alias("component_id"),
         F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"),
