@@ -66,3 +66,29 @@ def runs(rows: Iterator[tuple], key: Callable[[tuple], object]) -> Iterator[tupl
         group.append(row)
     if group:
         yield now, group
+
+
+class Recent:
+    """Values of keys seen lately, at most twice ``size``: when one generation is full, it
+    becomes the old one, and keys that are asked for again move to the new one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        """Start a new generation if the young one is full."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that are not known; those that are known are young from now on."""
+        young, old, out = self.young, self.old, []
+        for key in keys.difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out

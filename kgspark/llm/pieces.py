@@ -29,13 +29,13 @@ import ahocorasick
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from kgspark.llm.common import map_rows, utf8
+from kgspark.llm.common import Recent, map_rows, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LEFT_OUT = -1e8  # control pieces and runs of marks have scores below this
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 300_000
+KEPT_WORDS = 250_000
 KEPT_LENGTH = 64
 RUN = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -67,7 +67,7 @@ class Pieces:
                     lowest = min(lowest, score)
         self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.known: dict[str, tuple[bytes, float]] = {}
+        self.known = Recent(KEPT_WORDS)
 
     def best_path(self, text: str) -> tuple[bytes, float]:
         """Ids (packed 32-bit) and score of the best path of a text in marks."""
@@ -107,13 +107,9 @@ class Pieces:
             back[i + 1] = (1, None)
 
     def _word(self, word: str) -> tuple[bytes, float]:
-        found = self.known.get(word)
-        if found is None:
-            found = self.best_path(word.replace(" ", MARK))
-            if len(word) <= KEPT_LENGTH:
-                if len(self.known) >= KEPT_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+        found = self.known.old.get(word) or self.best_path(word.replace(" ", MARK))
+        if len(word) <= KEPT_LENGTH:
+            self.known.young[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, float]:
@@ -122,7 +118,8 @@ class Pieces:
             return b"", 0.0
         out, scores = [], 0.0
         marks = array("I", (self.byte_ids[b] for b in MARK.encode())).tobytes()
-        known = self.known.get
+        self.known.turn()
+        known = self.known.young.get
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
                 out.append(marks)

@@ -42,7 +42,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from kgspark.llm.common import map_rows, shuffle_partitions
+from kgspark.llm.common import Recent, map_rows, shuffle_partitions
 from kgspark.storage import Scratch, local_table
 
 END_ID = 2
@@ -72,22 +72,20 @@ class Encoder:
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.code = {2: "H", 4: "I"}[width]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Recent(KEPT_WORDS), Recent(KEPT_WORDS)
 
-    def _learn(self, table: dict[str, bytes], pieces: set[str], before: str) -> dict[str, bytes]:
-        """Ids of pieces that the table lacks; short ones are added to it."""
-        new = [p for p in pieces if p not in table]
+    def _learn(self, known: Recent, pieces: set[str], before: str) -> dict[str, bytes]:
+        """Ids of at least these pieces; short ones are kept for other texts."""
+        known.turn()
+        new = known.missing(pieces)
         if not new:
-            return table
+            return known.young
         batch = self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
         got = {p: array(self.code, e.ids).tobytes() for p, e in zip(new, batch)}
-        if len(table) + len(got) > KEPT_WORDS:
-            known = {p: table[p] for p in pieces if p in table}
-            table.clear()
-            table.update(known)
-        table.update((p, ids) for p, ids in got.items() if len(p) <= KEPT_LENGTH)
-        return table if all(len(p) <= KEPT_LENGTH for p in got) else {p: got.get(p) or table[p] for p in pieces}
+        known.young.update((p, ids) for p, ids in got.items() if len(p) <= KEPT_LENGTH)
+        if all(len(p) <= KEPT_LENGTH for p in got):
+            return known.young
+        return {p: got[p] if p in got else known.young[p] for p in pieces}
 
     def encode(self, text: str) -> bytes:
         if not text:
