@@ -66,8 +66,8 @@ def _digest(column: str = "text"):
     return F.unhex(F.md5(column))
 
 
-def _distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tid, text): each text once, bucketed by tid; texts come as bytes."""
+def _distinct_texts(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """(tid, text): each text once, as a table bucketed by tid; texts come as bytes."""
     def once(rows):
         seen = set()
         for tid, text in rows:
@@ -79,7 +79,6 @@ def _distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     n = shuffle_partitions(docs)
     here = map_rows(docs.select("tid", "text"), once, schema)
     there = map_rows(here.repartition(n, "tid"), once, schema)
-    name = f"texts_{uuid.uuid4().hex}"
     there.write.bucketBy(n, "tid").option("path", scratch.new_path("texts")).option("compression", "zstd").saveAsTable(name)
     return docs.sparkSession.table(name)
 
@@ -231,21 +230,20 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def repeated_spans(docs: DataFrame, alphabet: Alphabet, scratch: Scratch, max_group: int = 8192):
-    """Texts, copies and spans: (tid, text) bucketed; (doc rows with tid); (tid, spans).
+def repeated_spans(texts: DataFrame, alphabet: Alphabet, scratch: Scratch, max_group: int = 8192) -> DataFrame:
+    """(tid, spans): what distinct texts (tid, text) repeat of other places.
 
-    ``spans`` are those repeated against other places of distinct texts; a text
-    that has copies is repeated as a whole besides.
+    A text that has copies is repeated as a whole besides; that is not asked here.
     """
-    texts = _distinct_texts(docs, scratch)
     placed = _anchors(texts, alphabet, scratch)
-    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written, so that the join reads two shuffles and Spark can split the rows of a hot key.
+    keys = scratch.save(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     shared = scratch.save(placed.join(keys, "key"), "shared")
     scratch.drop(placed)
     contexts = scratch.save(shared.groupBy("key", "ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "at", "ends")).alias("one")
     ), "contexts")
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    several = scratch.save(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
     wanted = contexts.join(several, "key").select("key", "ctx", "one.*")
     units = scratch.save(_fetch(wanted, texts, alphabet), "units")
     partial = _repeated_in_groups(units, alphabet, scratch, max_group)
@@ -258,8 +256,7 @@ def repeated_spans(docs: DataFrame, alphabet: Alphabet, scratch: Scratch, max_gr
         "tid", (F.col("at") - F.floor(F.col("ends") / PLACE)).alias("start"),
         (F.col("at") + F.col("ends") % PLACE).alias("end"),
     )
-    spans = single.unionByName(whole).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts, spans
+    return single.unionByName(whole).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, alphabet: Alphabet, scratch: Scratch, max_group: int = 8192) -> DataFrame:
@@ -267,9 +264,9 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, scratch: Scratch, max_gr
 
     ``kept`` are the units that stay, as bytes; null if all stay.
     """
+    spark, window = docs.sparkSession, alphabet.window
     sources = docs.select("doc_id", utf8()).withColumn("tid", _digest())
-    texts, spans = repeated_spans(sources.select("tid", "text"), alphabet, scratch, max_group)
-    window = alphabet.window
+    refs = scratch.save(sources.select("doc_id", "tid"), "refs")
 
     def cut(rows):
         for tid, text, spans in rows:
@@ -286,18 +283,18 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet, scratch: Scratch, max_gr
                 whole if removed else None,
             )
 
-    judged = map_rows(
-        texts.join(spans, "tid", "left").select("tid", "text", "spans"), cut,
-        "tid binary, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary",
-    )
-    return _with_copies(sources.select("doc_id", "tid"), judged, window, scratch)
-
-
-def _with_copies(refs: DataFrame, judged: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Give each document its text's result; texts with copies go as a whole if they have a window."""
-    refs = scratch.save(refs, "refs")
     copies = refs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"))
-    results = scratch.save(judged.join(copies, "tid"), "judged")
+    name = f"texts_{uuid.uuid4().hex}"
+    with Scratch(spark) as work:
+        texts = _distinct_texts(sources.select("tid", "text"), name, work)
+        spans = repeated_spans(texts, alphabet, work, max_group)
+        judged = map_rows(
+            texts.join(spans, "tid", "left").select("tid", "text", "spans"), cut,
+            "tid binary, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary",
+        )
+        results = scratch.save(judged.join(copies, "tid"), "judged")
+        spark.sql(f"DROP TABLE {name}")
+    # A text with copies goes as a whole if it has a window.
     out = lookup_join(refs, results, "tid", how="inner")
     gone = (F.col("copies") > 1) & (F.col("n_units") >= window)
     return out.select(
