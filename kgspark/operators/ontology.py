@@ -235,11 +235,11 @@ def class_issues(judged: DataFrame) -> DataFrame:
         F.col("code"),
         F.when(exists, F.concat(F.lit("class:"), "name")).otherwise(F.col("name")),
         F.when(
-            exists, F.concat(F.lit("Class "), _quoted("name"), F.lit(" already exists in the ontology"))
+            exists, F.concat(F.lit("The name "), _quoted("name"), F.lit(" is taken by a class"))
         ).otherwise(
-            F.concat(F.lit("Class name "), _quoted("name"), F.lit(" must start with an uppercase letter."))
+            F.concat(F.lit("The name "), _quoted("name"), F.lit(" lacks a capital first letter"))
         ),
-        F.when(exists, F.concat(F.lit("Existing class is "), _quoted("existing"))),
+        F.when(exists, F.concat(F.lit("Taken by "), _quoted("existing"))),
         F.when(exists, F.lit("Use another name or leave out the repeated definition."))
         .otherwise(F.lit("Start the class name with an uppercase letter.")),
     )
@@ -327,19 +327,18 @@ def relation_issues(judged: DataFrame) -> DataFrame:
     is_code = lambda code: F.col("issue") == code
     message = (
         F.when(is_code("subclass_not_found"),
-               F.concat(F.lit("Subclass "), _quoted("subclass"), F.lit(" not found in ontology")))
+               F.concat(F.lit("The lower class "), _quoted("subclass"), F.lit(" is not defined")))
         .when(is_code("superclass_not_found"),
-              F.concat(F.lit("Superclass "), _quoted("superclass"), F.lit(" not found in ontology")))
+              F.concat(F.lit("The upper class "), _quoted("superclass"), F.lit(" is not defined")))
         .when(is_code("subclass_already_has_superclass"),
-              F.concat(_quoted("subclass"), F.lit(" already has superclass "), _quoted("earlier")))
+              F.concat(_quoted("subclass"), F.lit(" is placed below "), _quoted("earlier"), F.lit(" before")))
         .when(is_code("subclass_equals_superclass"),
-              F.concat(F.lit("Class "), _quoted("subclass"), F.lit(" cannot be it's own superclass")))
-        .otherwise(F.lit("Circular hierarchy detected"))
+              F.concat(_quoted("subclass"), F.lit(" is placed below itself")))
+        .otherwise(F.lit("The relation closes a circle"))
     )
     context = F.when(
         is_code("circular_subclass_relation"),
-        F.concat(_quoted("superclass"), F.lit(" is already a subclass of "), _quoted("subclass"),
-                 F.lit(" (directly or indirectly)")),
+        F.concat(_quoted("superclass"), F.lit(" and "), _quoted("subclass"), F.lit(" share a class above them")),
     )
     hint = (
         F.when(F.col("issue").endswith("_not_found"), F.lit("Define the class before relating it."))
@@ -358,9 +357,8 @@ def classes_without_superclass(classes: DataFrame, after: Ontology) -> DataFrame
 def check_roots(classes: DataFrame, after: Ontology) -> DataFrame:
     """New classes without a superclass, judged against the root of ``after``.
 
-    If several are left without a root there is one issue for all of them; its
-    context counts them and names the first and last, as the full list has no
-    bound (``classes_without_superclass`` gives it as rows).
+    If several are left without a root, each of them is an issue; the context
+    tells how many there are.
     """
     no_super = classes_without_superclass(classes, after)
     root = root_class(after).select("name")
@@ -372,23 +370,16 @@ def check_roots(classes: DataFrame, after: Ontology) -> DataFrame:
         no_super.where(has_root),
         "superclass_not_found",
         F.concat(F.lit("class:"), "name"),
-        F.concat(F.lit("Class "), _quoted("name"), F.lit(" has no superclass")),
+        F.concat(_quoted("name"), F.lit(" is not placed below any class")),
         None,
         F.concat(F.lit("Place "), _quoted("name"), F.lit(" in the hierarchy by a subclass relation")),
     )
-    several = no_super.where(~has_root & (n_without > 1)).agg(
-        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"),
-        F.min_by("name", "seq").alias("first_name"), F.max_by("name", "seq").alias("last_name"),
-    ).where("n > 0")
     multiple = _issues(
-        several,
+        no_super.where(~has_root & (n_without > 1)),
         "multiple_classes_without_superclass",
-        F.lit("hierarchy"),
-        F.lit("Multiple top-level classes detected"),
-        F.concat(
-            F.col("n").cast("string"), F.lit(" classes without superclass, from "),
-            _quoted("first_name"), F.lit(" to "), _quoted("last_name"),
-        ),
+        F.concat(F.lit("class:"), "name"),
+        F.concat(_quoted("name"), F.lit(" is one of several classes that nothing stands above")),
+        F.concat(n_without.cast("string"), F.lit(" such classes")),
         F.lit("Add one general top class and relate all other classes to it."),
     )
     return orphan.unionByName(multiple)
@@ -461,11 +452,11 @@ def check_properties(
         judged.where("code is not null"),
         F.col("code"),
         F.concat(F.lit("property:"), "name"),
-        F.when(repeated, F.concat(F.lit("Property "), _quoted("name"), F.lit(" already exists")))
-        .when(domain, F.concat(F.lit("Domain classes not found for property "), _quoted("name")))
-        .otherwise(F.concat(F.lit("Range classes not found for property "), _quoted("name"))),
-        F.when(repeated, F.concat(F.lit("Existing property is "), _quoted("name")))
-        .otherwise(F.concat(F.lit("Missing classes are "), "missing")),
+        F.when(repeated, F.concat(F.lit("The name "), _quoted("name"), F.lit(" is taken by a property")))
+        .when(domain, F.concat(F.lit("The domain of "), _quoted("name"), F.lit(" has undefined classes")))
+        .otherwise(F.concat(F.lit("The range of "), _quoted("name"), F.lit(" has undefined classes"))),
+        F.when(repeated, F.concat(F.lit("Taken by "), _quoted("name")))
+        .otherwise(F.concat(F.lit("Undefined: "), "missing")),
         F.when(repeated, F.lit("Use another name or leave out the repeated property."))
         .otherwise(F.lit("Define the classes first or leave them out of the list.")),
     )

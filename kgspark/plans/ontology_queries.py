@@ -111,7 +111,7 @@ def o2(t):
 
 @query("O3_check_classes", f"""WITH {SQL_CLASS_DELTA}
 SELECT code, CASE WHEN old IS NOT NULL THEN 'class:' ELSE '' END || name AS path,
-  'Existing class is ''' || old || '''' AS context, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum
+  'Taken by ''' || old || '''' AS context, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum
 FROM jc WHERE code IS NOT NULL GROUP BY ALL""")
 def o3(t):
     issues = O.check_classes(brand_ontology(t), class_delta(t))
@@ -152,12 +152,12 @@ je AS (SELECT jr.*, coalesce(br1.b, CASE WHEN fr.q < jr.q THEN fr.b END) AS earl
 
 @query("O4_check_subclass_relations", f"""WITH {SQL_RELATION_DELTA},
 i AS (SELECT code, 'relation:' || a || '->' || b AS path, CASE code
-        WHEN 'subclass_not_found' THEN 'Subclass ''' || a || ''' not found in ontology'
-        WHEN 'superclass_not_found' THEN 'Superclass ''' || b || ''' not found in ontology'
-        WHEN 'subclass_equals_superclass' THEN 'Class ''' || a || ''' cannot be it''s own superclass'
-        ELSE 'Circular hierarchy detected' END AS message, q FROM je WHERE code IS NOT NULL
+        WHEN 'subclass_not_found' THEN 'The lower class ''' || a || ''' is not defined'
+        WHEN 'superclass_not_found' THEN 'The upper class ''' || b || ''' is not defined'
+        WHEN 'subclass_equals_superclass' THEN '''' || a || ''' is placed below itself'
+        ELSE 'The relation closes a circle' END AS message, q FROM je WHERE code IS NOT NULL
       UNION ALL SELECT 'subclass_already_has_superclass', 'relation:' || a || '->' || b,
-        '''' || a || ''' already has superclass ''' || earlier || '''', q FROM je
+        '''' || a || ''' is placed below ''' || earlier || ''' before', q FROM je
       WHERE earlier IS NOT NULL AND coalesce(code, '') NOT IN ('subclass_not_found', 'superclass_not_found'))
 SELECT code, path, message, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum FROM i GROUP BY ALL""")
 def o4(t):
@@ -175,8 +175,8 @@ root AS (SELECT name FROM allc WHERE name NOT IN (SELECT b FROM alls) ORDER BY q
 orph AS (SELECT name, q FROM ac WHERE name NOT IN (SELECT a FROM alls))
 SELECT 'with_root' AS scenario, 'superclass_not_found' AS code, 'class:' || name AS path, NULL AS context FROM orph
   WHERE EXISTS (SELECT 1 FROM root WHERE name NOT IN (SELECT name FROM ac))
-UNION ALL SELECT 'no_root', 'multiple_classes_without_superclass', 'hierarchy',
-  count(*) || ' classes without superclass, from ''' || arg_min(name, q) || ''' to ''' || arg_max(name, q) || '''' FROM ac HAVING count(*) > 1""")
+UNION ALL SELECT 'no_root', 'multiple_classes_without_superclass', 'class:' || name,
+  (SELECT count(*) FROM ac) || ' such classes' FROM ac WHERE (SELECT count(*) FROM ac) > 1""")
 def o5(t):
     onto, accepted = brand_ontology(t), accepted_delta(t)
     grown = O.Ontology("grown", onto.classes.unionByName(accepted), onto.subclass_of,
@@ -215,7 +215,7 @@ dp AS (SELECT 'has' || CASE WHEN k % 4 = 0 THEN brand ELSE noun END AS name, q +
 ok AS (SELECT name, min(q) AS q FROM dp WHERE md IS NULL AND mr IS NULL GROUP BY 1),
 jp AS (SELECT dp.*, dp.name IN (SELECT 'has' || name FROM br) OR coalesce(ok.q < dp.q, FALSE) AS again FROM dp LEFT JOIN ok USING (name))
 SELECT CASE WHEN again THEN 'property_already_exists' WHEN md IS NOT NULL THEN 'domain_classes_not_found' ELSE 'range_classes_not_found' END AS code,
-  'property:' || name AS path, CASE WHEN again THEN 'Existing property is ''' || name || '''' ELSE 'Missing classes are ' || coalesce(md, mr) END AS context,
+  'property:' || name AS path, CASE WHEN again THEN 'Taken by ''' || name || '''' ELSE 'Undefined: ' || coalesce(md, mr) END AS context,
   count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum
 FROM jp WHERE again OR md IS NOT NULL OR mr IS NOT NULL GROUP BY ALL""")
 def o6(t):

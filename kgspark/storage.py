@@ -45,7 +45,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 class Scratch:
-    """A folder of scratch tables that belongs to one job."""
+    """A folder of scratch tables that belongs to one job.
+
+    It is deleted by ``close``, at the end of a ``with`` block, or else when the
+    driver's JVM ends, as a result may be read until then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -53,6 +57,10 @@ class Scratch:
         self._count = 0
 
     def new_path(self, name: str = "t") -> str:
+        if not self._count:
+            fs, jpath = hadoop_path(self.spark, self.path)
+            fs.mkdirs(jpath)
+            fs.deleteOnExit(jpath)
         self._count += 1
         return f"{self.path}/{name}-{self._count}"
 

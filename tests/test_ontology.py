@@ -58,7 +58,8 @@ def test_delta_rules(spark, base, scratch, i):
 def test_two_tops_without_a_root(spark, scratch):
     empty = O.empty_ontology(spark)
     result = O.try_add_concepts(empty, delta(spark, classes=["A", "B"]), scratch)
-    assert [r["code"] for r in result.issues.collect()] == ["multiple_classes_without_superclass"]
+    issues = {(r["code"], r["path"], r["context"]) for r in result.issues.collect()}
+    assert issues == {("multiple_classes_without_superclass", f"class:{c}", "2 such classes") for c in "AB"}
     assert O.try_add_concepts(empty, delta(spark, classes=["A"]), scratch).valid
 
 
