@@ -473,7 +473,7 @@ def accepted_batch_triples(judged: DataFrame, batches: DataFrame) -> DataFrame:
 def run_epochs(
     extract: Callable[[DataFrame, int], DataFrame],
     empty: DataFrame,
-    onto: Ontology | None,
+    onto: Ontology | Rules | None,
     scratch: Scratch,
     epochs: int = 3,
     policy: SkewPolicy = DEFAULT_SKEW,
@@ -489,7 +489,7 @@ def run_epochs(
     """
     kg = scratch.save(empty.select(*SPO, "batch_id", "seq").withColumn("epoch", F.lit(-1)), "kg")
     size = kg.count()
-    rules = None if onto is None else prepare_rules(onto, scratch)
+    rules = onto if onto is None or isinstance(onto, Rules) else prepare_rules(onto, scratch)
     progress = []
     for epoch in range(epochs):
         # An extractor may call a model, so its rows are written before any use.

@@ -6,6 +6,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from kgspark.operators.generate import generate_kg
 from kgspark.operators import models as U
 from kgspark.operators import text as X
 from kgspark.operators import triples as T
@@ -130,6 +131,37 @@ def u4(t):
     return both.groupBy("outcome", "attempt").agg(n_rows(), F.sum("request_id").alias("key_sum"))
 
 
+def term_model():
+    """Names long words as terms, and gives the length of those it is told are known."""
+    def make():
+        def reply(request):
+            request = json.loads(request)
+            known = {k["subject"] for k in json.loads(request["known"])}
+            terms = {w for w in re.split(r"\W+", request["text"]) if re.fullmatch("[a-z]{14,}", w)}
+            return json.dumps(
+                [{"subject": w, "predicate": "isA", "object": "Term"} for w in sorted(terms)]
+                + [{"subject": w, "predicate": "hasLength", "object": str(len(w))} for w in sorted(terms & known)]
+            )
+
+        return lambda batch: batch["request"].map(reply)
+
+    return make
+
+
+@query("U6_generate_kg", r"""
+WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\p{L}\p{Nd}_]+')) AS w FROM documents),
+t AS (SELECT w FROM w WHERE regexp_full_match(w, '[a-z]{14,}'))
+SELECT 0 AS epoch, 'isA' AS predicate, count(*) AS n, min('Term') AS least, max(w) AS last_subject FROM t
+UNION ALL SELECT 1, 'hasLength', count(*), min(CAST(length(w) AS VARCHAR)), max(w) FROM t""")
+def u6(t):
+    onto = make_ontology(t.spark, "o", ["Term"], [], [], [("hasLength", ["Term"])])
+    path = t.scratch.new_path("kg")
+    generate_kg(t.documents, "doc_id", "text", onto, term_model(), t.scratch, epochs=4, tries=2, path=path, delay=0.0)
+    return t.spark.read.parquet(path).groupBy("epoch", "predicate").agg(
+        n_rows(), F.min("object").alias("least"), F.max("subject").alias("last_subject")
+    )
+
+
 def line_merger():
     """A user's merge function: distinct lines of several documents, in order."""
     return lambda texts: "\n".join(dict.fromkeys(line for text in texts for line in text.split("\n")))

@@ -209,10 +209,10 @@ WITH r AS (
     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1)) AS m FROM documents))
 SELECT p AS predicate, o AS object, count(*) AS n, min(s) AS first_subject FROM r WHERE o <> '' GROUP BY 1, 2""")
 def t14(t):
-    links = M.triples_from_links(t.pages, M.entity("page", "page_id"), "html").drop("seq")
-    props = M.triples_from_json(t.events, M.entity("event", "event_id"), "props")
+    links = M.triples_from_links(t.pages, M.entity("page", "page_id"), "html", "page_id")
+    props = M.triples_from_json(t.events, M.entity("event", "event_id"), "props", "event_id")
     mentions = M.triples_from_pattern(
-        t.documents, M.entity("document", "doc_id"), "text", "mentions", r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)"
+        t.documents, M.entity("document", "doc_id"), "text", "mentions", r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)", "doc_id"
     )
     rows = M.triples_from_tables([links, props, mentions]).where("object != ''")
     return rows.groupBy("predicate", "object").agg(n_rows(), F.min("subject").alias("first_subject"))

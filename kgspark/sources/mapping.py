@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.functions.scalars import to_snake_case
 
@@ -52,36 +52,41 @@ def triples_from_tables(parts: list[DataFrame]) -> DataFrame:
 
 
 def triples_from_links(
-    pages: DataFrame, subject: str, html: str, predicate: str = "linksTo"
+    pages: DataFrame, subject: str, html: str, batch_id: str, predicate: str = "linksTo"
 ) -> DataFrame:
-    """One triple per href of a page; the position in the page is the ``seq``."""
+    """One triple per href of a page; the position in the page is the ``seq``.
+
+    ``batch_id`` is SQL, as ``subject``; so the rows of all three functions can be validated.
+    """
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*)"'), F.lit(1))
-    return pages.select(F.expr(subject).alias("subject"), F.posexplode(hrefs).alias("seq", "object")).select(
-        "subject", F.lit(predicate).alias("predicate"), "object", F.col("seq").cast("long").alias("seq")
-    )
+    found = pages.select(F.expr(subject).alias("subject"), _batch(batch_id), F.posexplode(hrefs).alias("seq", "object"))
+    return found.withColumn("predicate", F.lit(predicate)).transform(_triples)
 
 
 def triples_from_json(
-    df: DataFrame, subject: str, json: str, prefix: str = "has"
+    df: DataFrame, subject: str, json: str, batch_id: str, prefix: str = "has"
 ) -> DataFrame:
-    """One triple per key of a flat JSON object: (subject, hasKey, value)."""
-    entries = F.explode(F.map_entries(F.from_json(F.col(json), "map<string,string>"))).alias("e")
-    return df.select(F.expr(subject).alias("subject"), entries).select(
-        "subject",
-        F.concat(F.lit(prefix), F.initcap("e.key")).alias("predicate"),
-        F.col("e.value").alias("object"),
-    )
+    """One triple per key of a flat JSON object: (subject, hasKey, value); the key's place is the ``seq``."""
+    entries = F.posexplode(F.map_entries(F.from_json(F.col(json), "map<string,string>"))).alias("seq", "e")
+    return df.select(F.expr(subject).alias("subject"), _batch(batch_id), entries).withColumn(
+        "predicate", F.concat(F.lit(prefix), F.initcap("e.key"))
+    ).withColumn("object", F.col("e.value")).transform(_triples)
 
 
 def triples_from_pattern(
-    docs: DataFrame, subject: str, text: str, predicate: str, pattern: str, group: int = 1,
+    docs: DataFrame, subject: str, text: str, predicate: str, pattern: str, batch_id: str, group: int = 1,
     as_entity: bool = True,
 ) -> DataFrame:
-    """One triple per match of a rule in the whole text of a document."""
-    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias("m")
+    """One triple per match of a rule in the whole text of a document; matches count up the ``seq``."""
+    found = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias("seq", "m")
     value = to_snake_case("m") if as_entity else F.col("m")
-    return (
-        docs.select(F.expr(subject).alias("subject"), found)
-        .select("subject", F.lit(predicate).alias("predicate"), value.alias("object"))
-        .where("object != ''")
-    )
+    rows = docs.select(F.expr(subject).alias("subject"), _batch(batch_id), found)
+    return rows.withColumn("predicate", F.lit(predicate)).withColumn("object", value).transform(_triples).where("object != ''")
+
+
+def _triples(rows: DataFrame) -> DataFrame:
+    return rows.select("subject", "predicate", "object", "batch_id", F.col("seq").cast("long").alias("seq"))
+
+
+def _batch(batch_id: str) -> Column:
+    return F.expr(batch_id).cast("long").alias("batch_id")

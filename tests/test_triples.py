@@ -8,6 +8,7 @@ import pytest
 from kgspark.operators import triples as T
 from kgspark.plans.star import make_ontology
 from kgspark.skew import SkewPolicy
+from kgspark.sources import mapping as M
 from kgspark.storage import local_table
 
 COLUMNS = "subject string, predicate string, object string, batch_id long, seq long"
@@ -265,3 +266,19 @@ def test_type_of_first_epoch_stays(spark, scratch):
     steps = [{5: [("x", "isA", "Person")]}, {0: [("x", "isA", "Employee")]}, {0: [("x", "isA", "Manager")]}]
     kg, _ = T.run_epochs(lambda kg, e: frame(spark, steps[e]), frame(spark, {}), onto, scratch)
     assert {r["object"] for r in kg.collect()} == {"Person", "Employee", "Manager"}
+
+
+def test_text_rules_give_rows_to_validate(spark, base, scratch):
+    docs = spark.createDataFrame([(1, "by Jane Roe and by Max", '{"title": "x", "year": "1"}'), (2, "none", None)], "id long, text string, props string")
+    people = M.triples_from_pattern(docs, "concat('book_', id)", "text", "hasAuthor", "by ([A-Z][a-z]+)", "id")
+    props = M.triples_from_json(docs, "concat('book_', id)", "props", "id")
+    rows = M.triples_from_tables([people, props])
+    assert {tuple(r) for r in rows.collect()} == {
+        ("book_1", "hasAuthor", "jane", 1, 0), ("book_1", "hasAuthor", "max", 1, 1),
+        ("book_1", "hasTitle", "x", 1, 0), ("book_1", "hasYear", "1", 1, 1),
+    }
+    prior = frame(spark, {0: [("book_1", "isA", "Book"), ("jane", "isA", "Person")]})
+    judged = T.validate(rows, base, scratch, prior=prior).collect()
+    assert {(r["object"], r["error_code"]) for r in judged} == {
+        ("jane", None), ("max", "object_untyped"), ("x", None), ("1", "unknown_property"),
+    }
