@@ -252,23 +252,28 @@ def auto_bridge(
 
 
 def fix_ontology(
-    onto: Ontology, scratch: Scratch, ops: DataFrame | None = None, policy: SkewPolicy = DEFAULT_SKEW
+    onto: Ontology, scratch: Scratch, ops: DataFrame | None = None, policy: SkewPolicy = DEFAULT_SKEW,
+    prune_below: int = 0,
 ) -> tuple[Ontology, DataFrame]:
     """Make the hierarchy one piece; returns it with the history of operations.
 
     With an ``ops`` table its rows are checked and applied in ``op_seq`` order
     until there is one cluster; a refused row is logged and skipped. Without one,
-    all bridges of ``auto_bridge`` are applied in a single set step.
+    all operations of ``auto_bridge`` are applied in a single set step: clusters of
+    at most ``prune_below`` classes are pruned, the others are bridged.
     """
     clusters = find_isolated_clusters(onto, scratch, policy)
     if ops is None:
         if cluster_count(clusters) == 0:
             return onto, local_table(clusters.sparkSession, [], schemas.OPS + ", error string")
-        plan = scratch.save(auto_bridge(onto, clusters), "ops")
+        plan = scratch.save(auto_bridge(onto, clusters, prune_below), "ops")
         relations = plan.select(F.explode("relations").alias("r"), "op_seq").select(
             "r.*", (F.lit(1 << 40) + F.col("op_seq")).alias("seq")
         )
-        fixed = apply_relations(onto, relations).pinned(scratch)
+        fixed = apply_relations(onto, relations)
+        if prune_below > 0:
+            fixed = apply_prune(fixed, plan.select(F.explode("classes").alias("class_name")))
+        fixed = fixed.pinned(scratch)
         return fixed, plan.withColumn("error", F.lit(None).cast("string"))
     history = []
     for op in ops.orderBy("op_seq").toLocalIterator():

@@ -164,6 +164,15 @@ def test_fix_makes_one_piece(spark, scratch):
     assert H.find_isolated_clusters(fixed, scratch).isEmpty()
 
 
+def test_fix_prunes_small_clusters(spark, scratch):
+    onto = split_ontology(spark)
+    sizes = {r["cluster_index"]: r["count"] for r in H.find_isolated_clusters(onto, scratch).groupBy("cluster_index").count().collect()}
+    fixed, history = H.fix_ontology(onto, scratch, prune_below=max(n for i, n in sizes.items() if i > 1))
+    assert {r["op"] for r in history.collect()} == {"prune"} and history.count() == len(sizes) - 1
+    assert H.find_isolated_clusters(fixed, scratch).isEmpty()
+    assert fixed.subclass_of.count() < onto.subclass_of.count()
+
+
 def test_catalog_ontology(spark):
     tables = {
         "nation": spark.createDataFrame([], "n_nationkey int, n_name string, n_regionkey int"),
