@@ -48,6 +48,7 @@ from kgspark.storage import Scratch, local_table
 END_ID = 2
 KEPT_WORDS = 400_000
 KEPT_LENGTH = 64
+MARKS = frozenset(".,:;!?")
 BESIDE_SPACE = re.compile(r" \s|\s ")
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 GAMMA = 2
@@ -71,8 +72,10 @@ class Encoder:
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.code = {2: "H", 4: "I"}[width]
         self.first, self.later = Recent(KEPT_WORDS), Recent(KEPT_WORDS)
+        self.marks: dict[str, bytes] = {}
 
     def _learn(self, known: Recent, pieces: set[str], before: str) -> dict[str, bytes]:
         """Ids of at least these pieces; short ones are kept for other texts."""
@@ -80,12 +83,38 @@ class Encoder:
         new = known.missing(pieces)
         if not new:
             return known.young
-        batch = self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
-        got = {p: array(self.code, e.ids).tobytes() for p, e in zip(new, batch)}
-        known.young.update((p, ids) for p, ids in got.items() if len(p) <= KEPT_LENGTH)
+        young, rest = known.young, []
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                rest.append(p)
+            elif p.isalpha():
+                young[p] = self._letters(before + p)
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                # The pattern ends a run of letters before a mark: two parts, each with ids of its own.
+                word = p[:-1]
+                ids = young.get(word) or known.old.get(word) or self._letters(before + word)
+                young[word] = ids
+                young[p] = ids + self._mark(p[-1])
+            else:
+                rest.append(p)
+        if not rest:
+            return young
+        batch = self.tokenizer.encode_batch_fast([before + p for p in rest], add_special_tokens=False)
+        got = {p: array(self.code, e.ids).tobytes() for p, e in zip(rest, batch)}
+        young.update((p, ids) for p, ids in got.items() if len(p) <= KEPT_LENGTH)
         if all(len(p) <= KEPT_LENGTH for p in got):
-            return known.young
-        return {p: got[p] if p in got else known.young[p] for p in pieces}
+            return young
+        return {p: got[p] if p in got else young[p] for p in pieces}
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of letters after at most one space: one match of the pattern, so the model alone decides."""
+        text = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._letters(mark)
+        return self.marks[mark]
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -100,6 +129,16 @@ class Encoder:
         return first + b"".join([later[p] for p in rest])
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign by which byte-level vocabularies write each byte: printable ones as they are, the
+    others, in order, from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_SIGNS = _byte_signs()
+
 _open: dict[tuple[str, int], Encoder] = {}
 
 

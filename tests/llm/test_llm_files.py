@@ -15,7 +15,7 @@ from kgspark.llm import pieces, site_style, snapshots, token_store
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = public_tokenizers.path(pieces.VOCABULARY)
-TEXTS = st.text(st.sampled_from("abthe .,\n  \t▁éß日#😀'sN1"), max_size=40)
+TEXTS = st.text(st.sampled_from("abthe .,\n  \t▁éß日#😀'sN1²٣"), max_size=40)
 
 
 # ------------------------------------------------------------------- pieces
