@@ -82,17 +82,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
     if not 0 < share < 1:
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return Machine(float(np.log(rate / (1 - rate))), weights, vectors)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    term = np.concatenate(rows).astype(np.int64)
-    pair, count = np.unique(doc * PLACES + term, return_counts=True)
-    doc, term = pair // PLACES, pair % PLACES
+    # Document by document, as all terms of the sample together take much memory.
+    seen, toxic = np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int64)
+    for row, label in zip(rows, labels):
+        once = np.unique(row)
+        seen[once] += 1
+        toxic[once] += label
     # Only terms whose toxic documents are too many or too few for chance get a weight.
-    seen = np.bincount(term, minlength=PLACES)
-    excess = np.bincount(term, labels[doc], minlength=PLACES) - seen * share
+    excess = toxic - seen * share
     beyond_chance = np.abs(excess) >= SURE * np.sqrt(seen * share * (1 - share))
     used = np.flatnonzero((seen >= MIN_DOCS) & beyond_chance | (seen >= FREQUENT * len(rows)))
-    keep = np.isin(term, used)
-    doc, term, x = doc[keep], np.searchsorted(used, term[keep]), count[keep].astype(np.float32)
+    is_used = np.zeros(PLACES, bool)
+    is_used[used] = True
+    parts = [np.unique(row[is_used[row]], return_counts=True) for row in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in parts])
+    term = np.searchsorted(used, np.concatenate([t for t, _ in parts]))
+    x = np.concatenate([c for _, c in parts]).astype(np.float32)
     by_term = np.argsort(term, kind="stable")
 
     def sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
