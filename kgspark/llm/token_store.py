@@ -49,7 +49,7 @@ END_ID = 2
 KEPT_WORDS = 400_000
 KEPT_LENGTH = 64
 MARKS = frozenset(".,:;!?")
-BESIDE_SPACE = re.compile(r" \s|\s ")
+TWO_SPACES = re.compile(r"\s\s")
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 GAMMA = 2
 NO_KEY = b"\x00null"
@@ -119,14 +119,20 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if BESIDE_SPACE.search(text):
-            pieces = BETWEEN_WORDS.split(text)
+        if text[0].isspace() or text[-1].isspace() or TWO_SPACES.search(text):
+            lines = [BETWEEN_WORDS.split(text)]
         else:
-            pieces = text.split(" ")
-        head, rest = pieces[0], pieces[1:]
-        first = self._learn(self.first, {head}, "")[head] if head else b""
-        later = self._learn(self.later, set(rest), " ")
-        return first + b"".join([later[p] for p in rest])
+            # A line break between two non-space characters is a match of its own.
+            lines = [line.split(" ") for line in text.split("\n")]
+        first = self._learn(self.first, {pieces[0] for pieces in lines if pieces[0]}, "")
+        later = self._learn(self.later, set().union(*(pieces[1:] for pieces in lines)), " ")
+        out = []
+        for pieces in lines:
+            out.append(first[pieces[0]] if pieces[0] else b"")
+            out.extend([later[p] for p in pieces[1:]])
+            out.append(self._mark("\n"))
+        out.pop()
+        return b"".join(out)
 
 
 def _byte_signs() -> dict[int, str]:
