@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ROWS_AT_ONCE = 256
+ITEM_BYTES = 40  # of a number in a list
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -30,7 +31,9 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
         out, size = [], 0
         for row in rows(values()):
             out.append(row)
-            size += sum(len(v) for v in row if isinstance(v, (bytes, str, list)))
+            size += sum(
+                len(v) * (ITEM_BYTES if isinstance(v, list) else 1) for v in row if isinstance(v, (bytes, str, list))
+            )
             if len(out) >= 8192 or size > 8 << 20:
                 yield _batch(out, arrow)
                 out, size = [], 0

@@ -35,7 +35,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LEFT_OUT = -1e8  # control pieces and runs of marks have scores below this
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 KEPT_LENGTH = 64
 RUN = re.compile(r" *[^ \n]+| +|\n+")
 

@@ -47,7 +47,7 @@ PAIR_RATE = 0.02
 FREQUENT = 0.25
 STEPS = 60
 THRESHOLD = 0.3
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
