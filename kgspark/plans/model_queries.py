@@ -1,4 +1,4 @@
-"""U1-U5: model calls, with a rule function in the place of a model."""
+"""U1-U6: model calls, with a rule function in the place of a model."""
 
 import json
 import re
