@@ -12,9 +12,12 @@ The model is fitted to a bounded sample of labelled documents: at most
 ``SAMPLE_PER_CLASS`` rows of each label, those with the least hash of the id. Their
 term numbers (bounded by the number of places per document) come to the driver,
 where numpy fits the machine by Adam steps on the whole sample, the linear
-weights first; terms of fewer
-than ``MIN_DOCS`` sample documents, or whose share of toxic documents lies within ``SURE``
-standard deviations of the sample's, get no weight. The bias is then moved from the
+weights first. These are for terms of at least ``MIN_DOCS`` sample documents whose share of
+toxic documents lies beyond ``SURE`` standard deviations of the sample's, and for frequent
+terms. Weights and vectors then are for these and for all terms of a pair that is
+toxic more or less often than the linear weights say, whatever the share of each term
+alone: pairs are tested by blocks of matrix products, with a limit that holds for all of
+them together (``beyond_linear``). The bias is then moved from the
 sample's label balance to that of all training labels. Weights are a table of
 fixed size and go to the tasks as a broadcast; scoring shuffles nothing. As every
 word adds fixed numbers to the sums, these are kept per word in a worker.
@@ -48,6 +51,9 @@ FREQUENT = 0.25
 STEPS = 60
 THRESHOLD = 0.3
 KEPT_WORDS = 150_000
+UNSURE = 0.02  # no linear score is trusted beyond this
+CHANCE = 0.05  # that any pair passes by chance
+PAIR_BLOCK = 1024
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -74,6 +80,119 @@ class Machine:
         return np.column_stack([self.weights, (self.vectors ** 2).sum(1), self.vectors]).astype(np.float32)
 
 
+def sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sum rows of sorted groups."""
+    out = np.zeros((n, *values.shape[1:]), np.float32)
+    first = np.flatnonzero(np.diff(groups, prepend=-1))
+    if len(first):
+        out[groups[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+@dataclass
+class _Sample:
+    """Term numbers of documents, for the places in use: document, term and count, sorted by document."""
+
+    used: np.ndarray
+    n: int
+    doc: np.ndarray
+    term: np.ndarray
+    x: np.ndarray
+
+    @staticmethod
+    def of(rows: list[np.ndarray], used: np.ndarray) -> _Sample:
+        at = np.full(PLACES, -1, np.int32)
+        at[used] = np.arange(len(used))
+        parts = [np.unique(found[found >= 0], return_counts=True) for found in (at[row] for row in rows)]
+        doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in parts])
+        x = np.concatenate([c for _, c in parts]).astype(np.float32)
+        return _Sample(used, len(rows), doc, np.concatenate([t for t, _ in parts]), x)
+
+    def descend(self, params: list[np.ndarray], rates: list[float], target: np.ndarray, steps: int) -> list[np.ndarray]:
+        """Adam steps of bias, linear weights and vectors, each with its rate; no vectors, no pairs."""
+        doc, term, x, n, m = self.doc, self.term, self.x, self.n, len(self.used)
+        by_term = np.argsort(term, kind="stable")
+        moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        for step in range(1, steps + 1):
+            v = params[2] if len(params) > 2 else None
+            raw, s = self.raw(params)
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - target) / n
+            e = error[doc] * x
+            grads = [error.sum(keepdims=True), sums(e[by_term], term[by_term], m) + PRIOR * params[1] / n]
+            if v is not None:
+                grad_v = (e[:, None] * (s[doc] - v[term]))[by_term]
+                grads.append(sums(grad_v, term[by_term], m) + PAIR_PRIOR * v / n)
+            for k, grad in enumerate(grads):
+                moment[k] = 0.9 * moment[k] + 0.1 * grad
+                square[k] = 0.99 * square[k] + 0.01 * grad ** 2
+                move = moment[k] / (1 - 0.9 ** step) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
+                params[k] = params[k] - rates[k] * move
+        return params
+
+    def raw(self, params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Scores before the logistic function, and the documents' sums of vectors."""
+        doc, term, x = self.doc, self.term, self.x
+        raw = params[0] + sums(x * params[1][term], doc, self.n)
+        if len(params) < 3:
+            return raw, None
+        v = params[2]
+        xv = x[:, None] * v[term]
+        s = sums(xv, doc, self.n)
+        return raw + 0.5 * ((s ** 2).sum(1) - sums((xv * v[term]).sum(1), doc, self.n)), s
+
+
+def beyond_linear(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Places that together with another one are toxic more or less often than linear weights say.
+
+    ``p`` has their probabilities. All pairs of places are tested that meet in enough
+    documents on the wrong side of 1/2 to tell them from chance, by the likelihood ratio of
+    their documents' labels; the limit is that of ``CHANCE`` over all pairs together.
+    """
+    p = np.clip(p, UNSURE, 1 - UNSURE).astype(np.float32)
+    out = np.zeros(PLACES, bool)
+    for mark in (1, 0):
+        missed = (labels == mark) & ((p >= 0.5) != mark)
+        often = np.zeros(PLACES, np.int64)
+        for row in (rows[i] for i in np.flatnonzero(missed)):
+            often[np.unique(row)] += 1
+        places = np.flatnonzero(often >= MIN_DOCS)
+        limit = np.log(max(1.0, len(places) * (len(places) - 1.0)) / CHANCE)
+        # Pairs of fewer such documents cannot reach the limit.
+        least = max(MIN_DOCS, int(np.ceil(limit / np.log(1 / UNSURE))))
+        places = np.flatnonzero(often >= least)
+        if len(places) < 2:
+            continue
+        sample = _Sample.of(rows, places)
+        by_term = np.argsort(sample.term, kind="stable")
+        term, doc = sample.term[by_term], sample.doc[by_term]
+        toxic = labels == 1
+
+        def block(start: int) -> np.ndarray:
+            at = slice(*np.searchsorted(term, [start, start + PAIR_BLOCK]))
+            dense = np.zeros((len(rows), min(PAIR_BLOCK, len(places) - start)), np.float32)
+            dense[doc[at], term[at] - start] = 1
+            return dense
+
+        for start in range(0, len(places), PAIR_BLOCK):
+            a = block(start)
+            weighed, a_toxic, a_missed = a * p[:, None], a[toxic], a[missed]
+            for other in range(start, len(places), PAIR_BLOCK):
+                b = a if other == start else block(other)
+                met = a_missed.T @ b[missed] >= least
+                if other == start:
+                    np.fill_diagonal(met, False)
+                i, j = np.nonzero(met)
+                if not len(i):
+                    continue
+                got, n, want = (a_toxic.T @ b[toxic])[i, j], (a.T @ b)[i, j], (weighed.T @ b)[i, j]
+                gain = sum(
+                    np.where(k > 0.5, k * np.log(np.maximum(k, 0.5) / of), 0) for k, of in ((got, want), (n - got, n - want))
+                )
+                sure = (gain >= limit) & ((got > want) == mark)
+                out[places[start + i[sure]]] = out[places[other + j[sure]]] = True
+    return np.flatnonzero(out)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = STEPS, seed: int = 7) -> Machine:
     """Fit to term numbers (with repeats) and 0/1 labels; ``rate`` is the rate of ones to assume."""
     weights = np.zeros(PLACES, np.float32)
@@ -88,54 +207,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float, steps: int = ST
         once = np.unique(row)
         seen[once] += 1
         toxic[once] += label
-    # Only terms whose toxic documents are too many or too few for chance get a weight.
+    # Terms whose toxic documents are too many or too few for chance, and frequent ones, get a weight.
     excess = toxic - seen * share
     beyond_chance = np.abs(excess) >= SURE * np.sqrt(seen * share * (1 - share))
-    used = np.flatnonzero((seen >= MIN_DOCS) & beyond_chance | (seen >= FREQUENT * len(rows)))
-    is_used = np.zeros(PLACES, bool)
-    is_used[used] = True
-    parts = [np.unique(row[is_used[row]], return_counts=True) for row in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in parts])
-    term = np.searchsorted(used, np.concatenate([t for t, _ in parts]))
-    x = np.concatenate([c for _, c in parts]).astype(np.float32)
-    by_term = np.argsort(term, kind="stable")
-
-    def sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-        """Sum rows of sorted groups."""
-        out = np.zeros((n, *values.shape[1:]), np.float32)
-        first = np.flatnonzero(np.diff(groups, prepend=-1))
-        if len(first):
-            out[groups[first]] = np.add.reduceat(values, first, axis=0)
-        return out
-
-    rng = np.random.default_rng(seed)
-    n, m = len(rows), len(used)
-    params = [np.zeros(1, np.float32), np.zeros(m, np.float32), rng.normal(0, 0.005, (m, FACTORS)).astype(np.float32)]
-    moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    alone = np.flatnonzero((seen >= MIN_DOCS) & beyond_chance | (seen >= FREQUENT * len(rows)))
     target = labels.astype(np.float32)
-    for step in range(1, 2 * steps + 1):
-        b, w, v = params
-        xv = x[:, None] * v[term]
-        s = sums(xv, doc, n)
-        raw = b + sums(x * w[term], doc, n) + 0.5 * ((s ** 2).sum(1) - sums((xv * v[term]).sum(1), doc, n))
-        error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - target) / n
-        e = error[doc] * x
-        grad_v = (e[:, None] * (s[doc] - v[term]))[by_term]
-        grads = [
-            error.sum(keepdims=True),
-            sums(e[by_term], term[by_term], m) + PRIOR * w / n,
-            sums(grad_v, term[by_term], m) + PAIR_PRIOR * v / n,
-        ]
-        for k, grad in enumerate(grads):
-            moment[k] = 0.9 * moment[k] + 0.1 * grad
-            square[k] = 0.99 * square[k] + 0.01 * grad ** 2
-            move = moment[k] / (1 - 0.9 ** step) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
-            # Linear weights come first, the vectors then learn what is left to pairs.
-            params[k] = params[k] - (0.05 if k < 2 else PAIR_RATE * (step > steps)) * move
+    sample = _Sample.of(rows, alone)
+    start = [np.zeros(1, np.float32), np.zeros(len(alone), np.float32)]
+    bias, linear = sample.descend(start, [0.05, 0.05], target, steps)
+    # A term whose own share is that of all documents may still matter next to another one.
+    paired = beyond_linear(rows, labels, 1 / (1 + np.exp(-np.clip(sample.raw([bias, linear])[0], -30, 30))))
+    used = np.union1d(alone, paired)
+    weights[alone] = linear
+    start = np.random.default_rng(seed).normal(0, 0.005, (len(used), FACTORS)).astype(np.float32)
+    # The vectors learn what linear weights leave to pairs.
+    bias, linear, pairs = _Sample.of(rows, used).descend([bias, weights[used], start], [0.05, 0.05, PAIR_RATE], target, steps)
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    bias = float(params[0][0]) + np.log(rate / (1 - rate)) - np.log(share / (1 - share))
-    weights[used], vectors[used] = params[1], params[2]
-    return Machine(float(bias), weights, vectors)
+    moved = float(bias[0]) + np.log(rate / (1 - rate)) - np.log(share / (1 - share))
+    weights[used], vectors[used] = linear, pairs
+    return Machine(float(moved), weights, vectors)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:

@@ -248,6 +248,33 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert got[5000]["score"] == got[5001]["score"] and got[None]["predicted"] == 1
 
 
+def test_toxicity_learns_rare_pairs():
+    """Two words of 2 % of the documents each, whose own shares of toxic documents say nothing."""
+    rng = random.Random(11)
+    base, rows, labels = ["n%d" % i for i in range(300)], [], []
+    for i in range(3000):
+        words = rng.sample(base, rng.randint(20, 60))
+        kind = i % 100
+        words += {0: ["mild", "group"], 1: ["mild"], 2: ["group"]}.get(kind, [])
+        toxic = kind == 0 or 3 <= kind < 50 and rng.random() < 0.9
+        rows.append(np.array([t for w in words + ["insult"] * (toxic and kind > 0) for t in toxicity.terms(w.encode())], np.int32))
+        labels.append(int(toxic))
+    labels = np.array(labels, np.int8)
+    place = lambda w: toxicity.terms(w.encode())[0]
+    for word in ("mild", "group"):
+        has = np.array([place(word) in r for r in rows])
+        share = labels.mean()
+        assert has.mean() == 0.02 and abs(labels[has].sum() - has.sum() * share) < 4 * (has.sum() * share * (1 - share)) ** 0.5
+    machine = toxicity.fit(rows, labels, labels.mean())
+    table = machine.table().astype(float)
+
+    def chance(text):
+        w, squares, *s = table[[t for x in text.split() for t in toxicity.terms(x.encode())]].sum(0)
+        return 1 / (1 + np.exp(-(machine.bias + w + 0.5 * (sum(f * f for f in s) - squares))))
+
+    assert chance("n1 n2 mild group") > 0.5 > toxicity.THRESHOLD > max(chance("n1 n2 mild"), chance("n1 n2 group"))
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows = toxic_rows()[:300]
     docs = frame(spark, [r[:2] for r in rows])
