@@ -5,7 +5,8 @@ Parquet and read as the next stage's ``docs``. All but the last return the colum
 of ``documents``:
 
 toxicity          documents with a score at or above the limit go
-near_dedup        of each group of near duplicates the one with the least id stays
+near_dedup        of each group of near duplicates (0.8 of shingles of five words) the one
+                  with the least id stays
 substring_dedup   words in repeated windows go from the texts; texts that lose words
                   have the others joined by one space, the others stay as they are
 decontamination   documents that hold a test string of the benchmark go
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kgspark.llm import decontaminate, near_dup, pieces, suffix_automaton, toxicity
 from kgspark.storage import Scratch
 
+NEAR = near_dup.NearDup(size=5)  # the four words of op5 are that query's contract
 ORACLE_SQL = None  # the fitted score and the ids cannot be expressed in SQL
 
 
@@ -45,7 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(docs, Scratch(spark))
+    found = near_dup.near_duplicates(docs, Scratch(spark), NEAR)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
