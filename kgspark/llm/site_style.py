@@ -81,24 +81,55 @@ NOT_MAIN = frozenset(
     "comment comments respond reply replies disqus pagination pager toolbar skip contentinfo form".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+# Of these, the ones that name lists whose entries may be articles of their own.
+LISTS = frozenset(
+    "comment comments respond reply replies disqus related recommended recommendations promo promoted sponsor sponsored "
+    "ad ads advert adverts advertisement advertising widget widgets aside sidebar nav navigation menu footer".split()
+)
+# What follows these in a class name or id says what a block has or lacks, not what it is.
+MODIFIER = re.compile(r"(?:(?<=[\s_-])|^)(?:has|with|without|no)[_-]\S*")
 
 
 class Node:
-    """An element; ``noise`` and ``main`` hold for all below, too. The root's ``main`` tells whether the page has one."""
+    """An element; ``noise`` and ``main`` hold for all below, too. The root's ``main`` tells whether the page has one.
+
+    ``wrapper``: noise by class words that may stand around an article; ``hard``: noise by anything
+    else, here or above.
+    """
 
-    __slots__ = ("tag", "path", "named", "children", "noise", "main")
+    __slots__ = ("tag", "path", "named", "children", "noise", "main", "wrapper", "hard")
 
-    def __init__(self, tag: str, path: str, named: bool, noise: bool, main: bool):
+    def __init__(self, tag: str, path: str, named: bool, noise: bool, main: bool, wrapper: bool = False, hard: bool = False):
         self.tag, self.path, self.named, self.noise, self.main = tag, path, named, noise, main
+        self.wrapper, self.hard = wrapper, hard
         self.children: list[Node | str] = []
 
 
 def _words(value: str) -> set[str]:
-    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+    spaced = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+    return set(re.split(r"[^a-z]+", MODIFIER.sub(" ", spaced)))
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; markup that is never text is left out."""
+    """The tree of a page; markup that is never text is left out.
+
+    Class words of elements around an article do not hide it, if it has most of the page's text.
+    """
+    root, wrappers = _parse(html, frozenset())
+    if not wrappers:
+        return root
+    other, _ = _parse(html, wrappers)
+    size = lambda r: sum(map(len, blocks(r, r.main, frozenset())))
+    return other if size(other) > 2 * size(root) else root
+
+
+def _parse(html: str, lifted: frozenset[int]) -> tuple[Node, frozenset[int]]:
+    """The tree, and the places of elements around a hidden article that hide it by class words alone.
+
+    Elements at the places ``lifted`` hide nothing by their class words.
+    """
+    places: dict[int, int] = {}
+    wrappers: set[int] = set()
     root, any_main = Node("", "", False, False, False), False
     stack, at, n = [root], 0, len(html)
     while at < n:
@@ -125,7 +156,12 @@ def parse(html: str) -> Node:
         if tag in ENDS_SAME:
             same, within = ENDS_SAME[tag]
             _close(stack, same.split(), within)
-        node = _open(tag, m[3] or "", stack[-1])
+        node = _open(tag, m[3] or "", stack[-1], m.start() in lifted)
+        if node.wrapper:
+            places[id(node)] = m.start()
+        if node.noise and (tag in MAIN_TAGS or node.main and not stack[-1].main):
+            if not node.hard:
+                wrappers.update(places[id(x)] for x in stack if x.wrapper)
         stack[-1].children.append(node)
         any_main = any_main or node.main and not node.noise
         if tag in RAW:
@@ -134,26 +170,29 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
     root.main = any_main
-    return root
+    return root, frozenset(wrappers)
 
 
-def _open(tag: str, attributes: str, parent: Node) -> Node:
-    named, noise, main, label = False, parent.noise or tag in NO_TEXT, tag in MAIN_TAGS, ""
+def _open(tag: str, attributes: str, parent: Node, lifted: bool = False) -> Node:
+    named, main, label = False, tag in MAIN_TAGS, ""
     # A header of an article holds its title; elsewhere it is the page's.
-    if tag == "header" and not parent.main:
-        noise = True
+    hard, wrapper = tag in NO_TEXT or tag == "header" and not parent.main, False
     if attributes.strip("/ "):
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
         names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         if names.strip():
             named, label = True, "." + found.get("class", found.get("id", ""))[:80]
-            noise = noise or (tag not in ("html", "body") and not main and bool(_words(names) & NOT_MAIN))
+            said = _words(names) & NOT_MAIN if tag not in ("html", "body") and not main else set()
+            # A list's entries may be articles; they are not the page's.
+            hard, wrapper = hard or bool(said & LISTS), bool(said - LISTS) and not lifted
         main = main or found.get("role") == "main"
-        noise = noise or "hidden" in found or found.get("aria-hidden") == "true" or bool(
+        hard = hard or "hidden" in found or found.get("aria-hidden") == "true" or bool(
             re.search(r"display\s*:\s*none", found.get("style", ""))
         )
     deep = parent.path.count("/") >= MAX_DEPTH
-    return Node(tag, parent.path if deep else f"{parent.path}/{tag}{label}", named, noise, main or parent.main)
+    path = parent.path if deep else f"{parent.path}/{tag}{label}"
+    hard = hard or parent.hard
+    return Node(tag, path, named, parent.noise or hard or wrapper, main or parent.main, wrapper, hard)
 
 
 def _close(stack: list[Node], tags, within) -> None:

@@ -117,6 +117,20 @@ def test_main_text():
     assert site_style.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content has-sidebar'>", "<div class='layout-with-nav'>", "<div class='no-comments'>", "<div id='search-results'>",
+    "<main><div class='content has-sidebar'>", "<main><div id='search-results'>", "<div class='pageHasSidebar'>",
+])
+def test_class_words_around_an_article(wrapper):
+    page = wrapper + "<p>Out</p><article><h1>Title</h1><p>Much of the text</p><div class=ad>Buy</div></article></div>"
+    assert site_style.main_text(page).endswith("Title\nMuch of the text")
+    for name in ("comments", "related-posts", "sidebar"):
+        aside = f"<article>Main text</article><div class={name}><article>{'An entry, long ' * 9}</article></div>"
+        assert site_style.main_text(aside) == "Main text"
+    assert site_style.main_text("<div class=share-buttons>x</div><article>y<div class=share>z</div></article>") == "y"
+    assert site_style.main_text("<p>Post of its own</p><div id=search><p>Find</p></div>") == "Post of its own"
+
+
 def test_site_style_trees(spark, scratch):
     """A block all pages of a host share goes, though nothing in its markup says so."""
     rows = [(i, f"https://Site.example/{i}", f"<body><div class=k1>Same words</div><div class=k2>Own words {i}</div>") for i in range(12)]
