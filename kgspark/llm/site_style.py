@@ -13,10 +13,12 @@ is judged from ``MIN_PAGES`` distinct pages on, repeated pages count once, and t
 things do not depend on it. Branches whose tag, role or class names a menu,
 header, footer, sidebar, notice, advert, form, script, style or comment list are
 removed on every page. Where a page marks its article, text outside of it
-is not main text, and plain text blocks in it are never removed for
-being alike, since hosts repeat whole passages.
+is not main text, and its plain paragraphs and headings are never removed for
+being alike, since hosts repeat whole passages. Plain groups in it (div, section,
+lists, tables) are nodes by their number among those of their parent, and are
+removed if alike on at least ``NEARLY_ALL`` of the host's distinct pages.
 
-Only the nodes that may be judged (not plain blocks of an article) are shuffled,
+Only the nodes that may be judged, and one row per page, are shuffled,
 as two hashes and counts; contents are counted by partial aggregates, so a host
 with a third of all pages is no hot task. The paths found unimportant go back to
 the pages with their host, as a list of bounded length (paths are tags and classes
@@ -44,6 +46,7 @@ from kgspark.storage import Scratch
 
 MIN_PAGES = 8
 LOW = 0.1
+NEARLY_ALL = 0.9  # of a host's pages
 MAX_DEPTH = 64
 
 TOKEN = re.compile(
@@ -81,6 +84,8 @@ NOT_MAIN = frozenset(
     "comment comments respond reply replies disqus pagination pager toolbar skip contentinfo form".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+# Plain elements of an article that group blocks; the tree judges them by their place.
+GROUPS = frozenset("div section ul ol dl table figure details blockquote center address menu".split())
 # Of these, the ones that name lists whose entries may be articles of their own.
 LISTS = frozenset(
     "comment comments respond reply replies disqus related recommended recommendations promo promoted sponsor sponsored "
@@ -97,11 +102,12 @@ class Node:
     else, here or above.
     """
 
-    __slots__ = ("tag", "path", "named", "children", "noise", "main", "wrapper", "hard")
+    __slots__ = ("tag", "path", "named", "children", "noise", "main", "wrapper", "hard", "counts")
 
     def __init__(self, tag: str, path: str, named: bool, noise: bool, main: bool, wrapper: bool = False, hard: bool = False):
         self.tag, self.path, self.named, self.noise, self.main = tag, path, named, noise, main
         self.wrapper, self.hard = wrapper, hard
+        self.counts: dict[str, int] = {}
         self.children: list[Node | str] = []
 
 
@@ -189,6 +195,9 @@ def _open(tag: str, attributes: str, parent: Node, lifted: bool = False) -> Node
         hard = hard or "hidden" in found or found.get("aria-hidden") == "true" or bool(
             re.search(r"display\s*:\s*none", found.get("style", ""))
         )
+    if not named and tag in GROUPS and parent.main:
+        k = parent.counts[tag] = parent.counts.get(tag, 0) + 1
+        label = f"[{k}]"
     deep = parent.path.count("/") >= MAX_DEPTH
     path = parent.path if deep else f"{parent.path}/{tag}{label}"
     hard = hard or parent.hard
@@ -208,7 +217,7 @@ def _close(stack: list[Node], tags, within) -> None:
 def judged_nodes(root: Node) -> Iterator[tuple[Node, str, str]]:
     """(node, own content, child tags): nodes the style tree may remove.
 
-    Branches that are removed anyway and plain blocks of the article are left out.
+    Branches that are removed anyway, and plain blocks of the article that group nothing, are left out.
     """
     only_main = root.main
     waiting = [root]
@@ -218,7 +227,7 @@ def judged_nodes(root: Node) -> Iterator[tuple[Node, str, str]]:
         waiting.extend(kids)
         if node is root or node.tag in ("html", "body") or node.tag in MAIN_TAGS or only_main and not node.main:
             continue
-        if node.main and not node.named and node.tag in BLOCK | {"b", "i", "em", "strong", "a", "span", "br"}:
+        if node.main and not node.named and node.tag not in GROUPS:
             continue
         if node.tag in BLOCK and node.path.count("/") < MAX_DEPTH:
             yield node, " ".join(blocks(node, False, frozenset())), " ".join(c.tag for c in kids)
@@ -266,6 +275,9 @@ def path_key(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path.encode()) - (1 << 63)
 
 
+ROOT = path_key("")
+
+
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     """Main text of a page; ``low`` has the paths its host's tree found unimportant."""
     root = parse(html)
@@ -278,36 +290,44 @@ def host(url: str = "url"):
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): a row per judged node of each host's tree."""
+    """(host, path, inside, pages, importance): a row per judged node of each host's tree.
+
+    ``inside`` tells plain groups of an article. The root's path is empty; its pages are those of the host.
+    """
     def nodes(rows):
         for name, html in rows:
             page = xxhash.xxh3_64_intdigest(html.encode()) - (1 << 63)
+            yield name, ROOT, False, page, page, page
             for node, text, tags in judged_nodes(parse(html)):
                 content, style = (xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in (text, tags))
-                yield name, path_key(node.path), page, content, style
+                yield name, path_key(node.path), node.main and not node.named, page, content, style
 
     seen = map_rows(
         pages.select("host", F.coalesce("html", F.lit("")).alias("html")), nodes,
-        "host string, path bigint, page bigint, content bigint, style bigint",
+        "host string, path bigint, inside boolean, page bigint, content bigint, style bigint",
     ).distinct()  # repeated pages, and repeated nodes of a page, count once
-    both = seen.select("host", "path", "page", F.explode(F.array(
+    both = seen.select("host", "path", "inside", "page", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")),
         F.struct(F.lit(1).alias("kind"), F.col("style").alias("value")),
-    )).alias("s")).select("host", "path", "s.*")
-    counts = both.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    )).alias("s")).select("host", "path", "inside", "s.*")
+    counts = both.groupBy("host", "path", "inside", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     n = F.sum("n")
     # Entropy of shares n_i / n over the greatest one, log n.
     entropy = (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)
-    return counts.groupBy("host", "path", "kind").agg(
+    return counts.groupBy("host", "path", "inside", "kind").agg(
         n.alias("pages"), F.when(n > 1, entropy).otherwise(F.lit(1.0)).alias("entropy")
-    ).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    ).groupBy("host", "path", "inside").agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
 
 
 def extract(pages: DataFrame, scratch: Scratch, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     named = pages.select("page_id", "url", "html", host().alias("host"))
-    trees = style_trees(named.select("host", "html"))
-    removed = trees.where((F.col("pages") >= min_pages) & (F.col("importance") < low))
+    trees = scratch.save(style_trees(named.select("host", "html")), "trees")
+    hosts = trees.where(F.col("path") == ROOT).select(F.col("host").alias("_host"), F.col("pages").alias("_all"))
+    alike = trees.where((F.col("path") != ROOT) & (F.col("pages") >= min_pages) & (F.col("importance") < low))
+    removed = alike.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(
+        ~F.col("inside") | (F.col("pages") >= NEARLY_ALL * F.col("_all"))
+    )
     paths = scratch.save(removed.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
     # eqNullSafe: pages without a host share one tree.
     met = named.join(paths.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left")

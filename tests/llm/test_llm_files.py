@@ -145,6 +145,17 @@ def test_site_style_trees(spark, scratch):
     assert site_style.extract(pages.limit(0), scratch).count() == 0
 
 
+def test_site_style_judges_groups_of_articles(spark, scratch):
+    """Plain groups alike on nearly all pages of a host go; those of some pages, and paragraphs, stay."""
+    page = "<article><h1>Title {0}</h1><p>Same</p><div><p>Notice</p></div><section>Own {0}</section><ul><li>Follow us</ul>{1}</article>"
+    rows = [(i, "https://a.example/x", page.format(i, "<div>Passage</div>" if i % 4 else "")) for i in range(40)]
+    rows += [(100 + i, "https://few.example/x", page.format(i, "")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.extract(pages, scratch).collect()}
+    assert all(got[i] == f"Title {i}\nSame\nOwn {i}" + "\nPassage" * (i % 4 > 0) for i in range(40))
+    assert got[100] == "Title 0\nSame\nNotice\nOwn 0\nFollow us"
+
+
 # ------------------------------------------------------------ conversations
 
 def test_snapshots(spark, scratch):
