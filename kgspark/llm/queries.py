@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from kgspark.llm import (
-    decontaminate, host_rules, near_dup, pieces, site_style, snapshots, suffix_automaton, suffix_tree,
-    token_store, toxicity,
+    decontaminate, host_rules, near_dup, pieces, sim_hash, site_style, snapshots, spelling, suffix_automaton,
+    suffix_tree, token_store, toxicity, whitening,
 )
 from kgspark.llm.twins import ORACLE_SQL
 from kgspark.plans.registry import Tables
@@ -56,10 +56,22 @@ def op10_substring_dedup(t: Tables):
     return suffix_automaton.digest(suffix_automaton.dedup_words(t.documents, t.scratch))
 
 
+def op11_simhash_near_dedup(t: Tables):
+    return sim_hash.digest(sim_hash.near_duplicates(t.documents, t.scratch))
+
+
+def op12_spelling_variants(t: Tables):
+    return spelling.group_variants(t.documents, t.scratch)
+
+
+def op13_embedding_whitening(t: Tables):
+    return whitening.whiten(t.embeddings)
+
+
 _ALL = [
     op1_benchmark_decontamination, op2_suffix_array_dedup, op3_host_quality_rules, op4_sentencepiece,
     op5_minhash_near_dedup, op6_html_extraction, op7_toxicity, op8_token_ids, op9_chat_snapshots,
-    op10_substring_dedup,
+    op10_substring_dedup, op11_simhash_near_dedup, op12_spelling_variants, op13_embedding_whitening,
 ]
 
 

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
@@ -125,3 +127,64 @@ def token_rows(docs, tokenizer, end_id=2):
         out.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def sim_hash(docs, radius=2):
+    prints = {}
+    for doc, text in docs:
+        w = (text or "").encode().lower().split()
+        k = min(3, len(w))
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i:i + k]), 42) for i in range(len(w) - k + 1)] if k else []
+        prints[doc] = sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+    return [(d, "%016x" % prints[d], c) for d, c in nearest(prints, radius).items()]
+
+
+def nearest(prints, radius):
+    """Least id that links of at most ``radius`` differing bits lead to, by all pairs."""
+    parent = {d: d for d in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in prints.items():
+        for b, y in prints.items():
+            if (x ^ y).bit_count() <= radius:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {d: root(d) for d in prints}
+
+
+def variant_words(docs):
+    counts = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def variants(words):
+    """(word, form, root, n, n_near, form_n) by comparing all pairs."""
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    about = {w: [v for v in words if near(w, v)] for w in words}
+    form = {}
+    for w, others in about.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * words[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return [(w, form[w], root(w), n, len(about[w]), words.get(form[w])) for w, n in words.items()]
