@@ -82,7 +82,7 @@ def misspelt(seed=2):
     def change(w):
         i = rng.randrange(len(w))
         return rng.choice([w[:i] + w[i + 1:], w[:i] + rng.choice(letters) + w[i + 1:], w[:i] + rng.choice(letters) + w[i:]])
-    words = [w for w in base for _ in range(40)]
+    words = [w for w in base for _ in range(40)] + ["chainword"] * 200 + ["chainwor"] * 30 + ["chainwo"] * 5
     for w in base:
         for _ in range(4):
             v = change(w)
