@@ -2,7 +2,7 @@
 
 The others are tested against plain restatements, round trips or held-out labels
 (tests/llm): op2 cuts bytes, op4 and op8 need the vocabularies, op6 parses markup,
-op7 fits a model.
+op7 fits a model, op11 needs a hash that DuckDB lacks, op13 solves for eigenvectors.
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,10 +104,47 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM d LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)
 """
 
+_OP12 = rf"""
+WITH RECURSIVE crc_steps(i, k, c) AS (
+    SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+runs AS (SELECT rid, doc_id, unnest(regexp_extract_all(
+             {_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+         FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS checked, run, count(*) AS n
+            FROM runs WHERE length(run) >= 6 GROUP BY rid, doc_id, run),
+bytes AS (SELECT checked, flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)]
+                                  ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END
+                                  FOR x IN regexp_extract_all(checked, '(?s).')]) AS bs
+          FROM (SELECT DISTINCT checked FROM counted)),
+sums AS (SELECT checked, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(bs AS BIGINT[])),
+                lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+         FROM bytes, crc_table),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+                    ELSE run END AS word, n
+        FROM counted JOIN sums USING (checked)),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, length(word) AS len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+         FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT less.word AS a, words.word AS b FROM less JOIN words ON rest = words.word),
+near AS (SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+         UNION SELECT x.word, y.word FROM less x JOIN less y USING (len, i, rest) WHERE x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, min({{'k': -w.n, 'b': b}}) AS top FROM near JOIN words w ON w.word = b GROUP BY a),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+                  CASE WHEN -top.k >= 5 * words.n THEN top.b END AS form, CASE WHEN -top.k >= 5 * words.n THEN -top.k END AS form_n
+           FROM words LEFT JOIN best ON a = words.word),
+up AS (SELECT word, word AS root FROM formed
+       UNION ALL SELECT up.word, form FROM up JOIN formed ON formed.word = up.root WHERE form IS NOT NULL),
+ends AS (SELECT up.word, root FROM up JOIN formed f ON f.word = root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM formed JOIN ends USING (word)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": _OP1,
     "op3_host_quality_rules": _OP3,
     "op5_minhash_near_dedup": _OP5,
     "op9_chat_snapshots": _OP9,
     "op10_substring_dedup": _OP10,
+    "op12_spelling_variants": _OP12,
 }
