@@ -222,6 +222,31 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last)
 
 
+def test_pipeline_of_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """One row of a full repeat stays, whole; ids that repeat or are null do not mix texts."""
+    some = lambda k, n: " ".join("%s%d" % (k, i) for i in range(n))
+    rows = [(1, some("a", 60))] * 3 + [(2, some("b", 50)), (2, some("c", 50)), (3, some("c", 50) + " x")]
+    rows += [(None, some("d", 60)), (None, some("d", 60)), (9, some("d", 60)), (4, None), (4, None), (5, "")]
+    extra = "_cut _kept _toxic_score _Toxic_Score_ _row _hit _gone _rest number id component_id first kept n_removed tid".split()
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), *(str(k) for k in range(len(extra)))) for i, t in rows],
+        "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in extra),
+    )
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted([(1, rows[0][1]), (2, rows[3][1]), (2, rows[4][1]), (9, rows[8][1]), (4, None), (4, None), (5, "")], key=str)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        after.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "toxicity":
+            assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == want
+    assert all(r["tid"] == str(extra.index("tid")) for r in docs.collect())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(want)
+
+
 def test_near_dedup_stage_takes_five_words(spark):
     """Three of 115 words changed: 0.81 of the shingles of four words, 0.76 of those of five."""
     words = ["w%d" % i for i in range(115)]
@@ -237,5 +262,5 @@ def test_registration():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert len([n for n in names if re.match(r"op\d+_", n)]) == 10 and "pipeline" in names
+    assert len([n for n in names if re.match(r"op\d+_", n)]) == 13 and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
