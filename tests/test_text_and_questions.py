@@ -1,10 +1,14 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kgspark.operators import sampling as Q
+from kgspark.operators import similarity
 from kgspark.operators import text as X
+from kgspark.operators.hierarchy import connected_components
 from kgspark.skew import SkewPolicy, dense_index, hot_keys, lookup_join
 
 
@@ -100,15 +104,15 @@ def test_dense_index_of_nothing(spark, scratch):
     assert dense_index(spark.range(0), ["id"], "n", scratch).count() == 0
 
 
-LONG = "what are the main parts of a small red engine in old cars"  # 12 distinct words
+LONG = "what are the main parts of a small red engine in old cars"  # 13 distinct words
 
 
 def test_near_duplicates(spark, scratch):
     texts = [
         LONG,
-        LONG.replace("red", "blue"),                     # one word differs: Jaccard 11/13
+        LONG.replace("red", "blue"),                     # one word differs: Jaccard 12/14
         LONG.replace("red", "blue").replace("old", "new"),  # linked through the second
-        LONG + " today",                                 # more specific: no duplicate
+        LONG + " today too",                             # more specific: no duplicate, 12 of 16 with the second
         "Small RED engine? What are the main parts of a, in old cars",  # same words
         "what is x", "what is y",                        # too short for one word to differ
     ]
@@ -117,28 +121,82 @@ def test_near_duplicates(spark, scratch):
     assert {tuple(r) for r in groups.collect()} == {(0, 0), (0, 1), (0, 2), (0, 4)}
 
 
-def test_near_duplicate_links_equal_brute_force(spark, scratch):
-    rng = random.Random(4)
-    base = [f"t{i}" for i in range(10)]
-    sets = []
-    for _ in range(60):
-        words = set(base)
-        for _ in range(rng.randint(0, 2)):
-            words.discard(rng.choice(base))
-            words.add(f"u{rng.randint(0, 3)}")
-        sets.append(frozenset(words))
-    near = lambda a, b: a == b or (
-        len(a) == len(b) and len(a & b) == len(a) - 1 and (len(a) - 1) >= 0.8 * (len(a) + 1)
-    )
-    label = list(range(60))
-    for _ in range(60):
-        for i in range(60):
-            for j in range(60):
-                if near(sets[i], sets[j]):
+def brute_groups(sets, threshold):
+    """(group, member) of sets by all pairs; a set that holds all of another is no duplicate of it."""
+    near = lambda a, b: bool(a) and (a == b or (
+        len(a & b) / len(a | b) >= threshold and not a < b and not b < a
+    ))
+    label = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[i] != label[j] and near(a, b):
                     label[i] = label[j] = min(label[i], label[j])
-    expected = {(g, i) for i, g in enumerate(label) if label.count(g) > 1}
+                    changed = True
+    return {(g, i) for i, g in enumerate(label) if label.count(g) > 1}
+
+
+def similar_sets(seed, n=140):
+    """Families of sets at all distances, with common words, subsets, copies and empty sets."""
+    rng = random.Random(seed)
+    sets = [frozenset(), frozenset(), frozenset({"x"}), frozenset({"x", "y"})]
+    for _ in range(6):
+        base = [f"c{i}" for i in range(rng.randint(0, 8))] + [f"b{rng.randint(0, 400)}" for _ in range(rng.randint(3, 40))]
+        for _ in range(n // 6):
+            words = set(base)
+            for _ in range(rng.randint(0, 6)):
+                if rng.random() < 0.7 and words:
+                    words.discard(rng.choice(sorted(words)))
+                if rng.random() < 0.7:
+                    words.add(f"u{rng.randint(0, 30)}")
+            sets.append(frozenset(words))
+    return sets
+
+
+@pytest.mark.parametrize("threshold, limit", [(0.3, 3), (0.6, 1024), (0.8, 3), (1.0, 3)])
+def test_near_duplicate_links_equal_brute_force(spark, scratch, threshold, limit):
+    """A low limit cuts every group by further words and every cluster to blocks."""
+    sets = similar_sets(4)
     rows = docs(spark, [" ".join(sorted(s)) for s in sets])
-    assert {tuple(r) for r in Q.near_dup_groups(rows, "id", "text", scratch).collect()} == expected
+    links = Q.near_dup_links(rows, "id", "text", scratch, threshold, limit)
+    got = {(r["component"], r["node"]) for r in connected_components(scratch.save(links), scratch).collect()}
+    assert got == brute_groups(sets, threshold)
+
+
+def test_near_duplicates_beyond_one_word(spark, scratch):
+    words = [f"w{i}" for i in range(100)]
+    texts = [
+        " ".join(words), " ".join(words[5:] + [f"x{i}" for i in range(5)]),  # 95 of 105
+        " ".join(words[1:] + ["y1", "y2"]),                                   # 99 of 102
+        " ".join(words + ["more"]),                                           # more specific
+        " ".join(words[:40]), None, "", "?!",
+    ]
+    assert {tuple(r) for r in Q.near_dup_groups(docs(spark, texts), "id", "text", scratch).collect()} == {
+        (0, 0), (0, 1), (0, 2), (0, 3)  # 3 is no duplicate of 0, but 99 of its 101 words are those of 2
+    }
+    assert Q.near_dup_groups(docs(spark, [texts[0], texts[3], texts[4]]), "id", "text", scratch).count() == 0
+    assert Q.near_dup_groups(docs(spark, []), "id", "text", scratch).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**63 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**63 - 1), max_size=20), st.integers(0, 30))
+def test_bitmaps_never_exclude_similar_sets(base, more, gone):
+    a, b = sorted(base), sorted((set(sorted(base)[gone:]) | more) or {1})
+    pack = lambda s: len(s).to_bytes(8) + similarity.bitmap(np.array(s, np.uint64), similarity._bits_of(len(s))).tobytes()
+    for threshold in (0.3, 0.6, 0.8):
+        both = len(set(a) & set(b))
+        if both / (len(a) + len(b) - both) >= threshold:
+            assert similarity._may_be_similar(threshold)([pack(a), pack(b)])(pack(b), np.array([0, 1])).all()
+
+
+def test_apply_duplicate_ids(spark):
+    rows = spark.createDataFrame([(i, f"q{i % 5}") for i in range(6)], "idx long, text string")
+    groups = spark.createDataFrame([(0, 0), (0, 5), (0, 3), (2, 2), (2, 99), (77, 4)], "group_idx long, idx long")
+    kept, stray = Q.apply_duplicate_ids(rows, groups)
+    assert {r["text"] for r in kept.collect()} == {"q0", "q1", "q2", "q4"}
+    assert {tuple(r) for r in stray.select("group_idx", "idx").collect()} == {(2, 99), (77, 4)}
 
 
 def test_apply_duplicates(spark):
