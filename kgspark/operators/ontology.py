@@ -501,13 +501,14 @@ def try_add_concepts(
     return DeltaResult(valid, issues, extend(onto, delta) if valid else onto)
 
 
-def build_incremental(
+def build_step_by_step(
     onto: Ontology, concept_batches: DataFrame, scratch: Scratch, closure: str = "direct",
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> tuple[Ontology, DataFrame]:
     """Fold batches of concepts in ``batch_id`` order; a batch with issues is skipped.
 
-    Each step reads its own batch by a filter. Returns the ontology and a log
+    One pass per batch, which reads its own rows by a filter; ``incremental`` judges all
+    batches at once. Returns the ontology and a log
     (batch_id, valid, n_issues).
     """
     spark = concept_batches.sparkSession

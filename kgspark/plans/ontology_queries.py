@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark import schemas
 from kgspark.operators import ontology as O
+from kgspark.operators.incremental import build_incremental
 from kgspark.operators.triples import entity_types
 from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import SQL_STAR, SUBCLASS_OF, star_ontology, star_triples
@@ -315,14 +316,16 @@ def o10(t):
 
 
 def concept_batches(t):
-    """Batch 0 names Thing; batch r+1 a region, its nations and one class per nation and segment."""
+    """Batch 0 names Thing, batch r + 1 a region and its nations, and each customer is a batch.
+
+    Two of three customers propose the class of their nation and segment, which only the first
+    of them can add; the others propose a class of their own below it, which needs an
+    earlier batch that has added it.
+    """
     region = "concat('Region', r_regionkey)"
     nation = "concat('Nation', n_nationkey)"
     market = "concat('Market', c_nationkey, initcap(c_mktsegment))"
     nations = t.nation.join(t.region, F.expr("n_regionkey = r_regionkey"))
-    markets = t.customer.select("c_nationkey", "c_mktsegment").distinct().join(
-        nations, F.expr("c_nationkey = n_nationkey")
-    )
     null_class = f"cast(null as {schemas.CLASS})"
     null_rel = f"cast(null as {schemas.RELATION})"
 
@@ -333,13 +336,16 @@ def concept_batches(t):
             named_struct('batch_id', cast({batch} as bigint), 'seq', cast({seq} as bigint), 'kind', 'class', 'class', {guide}, 'subclass_relation', {null_rel}),
             named_struct('batch_id', cast({batch} as bigint), 'seq', cast({seq} as bigint) + 1, 'kind', 'subclass_relation', 'class', {null_class}, 'subclass_relation', {rel})))""")
 
+    own = "c_custkey % 3 = 0"
     rows = (
-        pair(t.region, "r_regionkey + 1", region, "'Thing'", "r_regionkey * 1000000 + 10")
-        .unionByName(pair(nations, "r_regionkey + 1", nation, region, "r_regionkey * 1000000 + 100 + n_nationkey * 2"))
-        .unionByName(pair(markets, "r_regionkey + 1", market, nation,
-                          "r_regionkey * 1000000 + 1000 + c_nationkey * 100 + ascii(c_mktsegment) * 2"))
+        pair(t.region, "r_regionkey + 1", region, "'Thing'", "(r_regionkey + 1) * 1000")
+        .unionByName(pair(nations, "r_regionkey + 1", nation, region, "(r_regionkey + 1) * 1000 + 10 + n_nationkey * 2"))
+        .unionByName(pair(
+            t.customer, "c_custkey + 100", f"if({own}, concat('Client', c_custkey), {market})",
+            f"if({own}, {market}, concat('Nation', c_nationkey))", "(cast(c_custkey as bigint) + 100) * 1000",
+        ))
         # Region 2 also relates an unknown class, so its batch is refused.
-        .unionByName(pair(t.region.where("r_regionkey = 2"), "3", "'Extra'", "'Ghost'", "2999990"))
+        .unionByName(pair(t.region.where("r_regionkey = 2"), "3", "'Extra'", "'Ghost'", "3990"))
     )
     thing = pair(t.region.where("r_regionkey = 0"), "0", "'Thing'", "'Thing'", "0").where("kind = 'class'")
     return rows.unionByName(thing).select(
@@ -349,13 +355,15 @@ def concept_batches(t):
 
 
 @query("O11_build_ontology_incremental", """
-WITH m AS (SELECT DISTINCT n_regionkey AS r, c_nationkey, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey),
-c AS (SELECT r + 1 AS batch_id, count(*) AS markets FROM m GROUP BY 1),
-n AS (SELECT n_regionkey + 1 AS batch_id, count(*) AS nations FROM nation GROUP BY 1)
-SELECT CAST(0 AS BIGINT) AS batch_id, TRUE AS valid, CAST(0 AS BIGINT) AS n_issues, (SELECT 1 + sum(CASE WHEN batch_id <> 3 THEN 1 + markets + nations ELSE 0 END)::BIGINT FROM c JOIN n USING (batch_id)) AS n_classes
-UNION ALL SELECT batch_id, batch_id <> 3, CASE WHEN batch_id = 3 THEN 2 ELSE 0 END, (SELECT 1 + sum(CASE WHEN batch_id <> 3 THEN 1 + markets + nations ELSE 0 END)::BIGINT FROM c JOIN n USING (batch_id)) FROM n""")
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS s, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey),
+m AS (SELECT n, s, min(k) AS first FROM c WHERE k % 3 <> 0 AND r <> 2 GROUP BY 1, 2),
+log AS (SELECT CAST(0 AS BIGINT) AS batch_id, CAST(0 AS BIGINT) AS n_issues, CAST(1 AS BIGINT) AS adds
+  UNION ALL SELECT n_regionkey + 1, CASE WHEN n_regionkey = 2 THEN 2 ELSE 0 END, 1 + count(*) FROM nation GROUP BY n_regionkey
+  UNION ALL SELECT k + 100, CASE WHEN r = 2 THEN 2 WHEN k % 3 <> 0 THEN (CASE WHEN k = first THEN 0 ELSE 1 END)
+                                 WHEN first < k THEN 0 ELSE 2 END, 1 FROM c LEFT JOIN m USING (n, s))
+SELECT batch_id, n_issues = 0 AS valid, n_issues, (SELECT CAST(sum(adds) AS BIGINT) FROM log WHERE n_issues = 0) AS n_classes FROM log""")
 def o11(t):
-    onto, log = O.build_incremental(O.empty_ontology(t.spark), concept_batches(t), t.scratch)
+    onto, log = build_incremental(O.empty_ontology(t.spark), concept_batches(t), t.scratch)
     total = onto.classes.agg(F.count(F.lit(1))).scalar()
     return log.select("batch_id", "valid", "n_issues", total.alias("n_classes"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kgspark.storage import Scratch, local_table
 
@@ -166,3 +166,23 @@ def dense_index(
     return parts.join(F.broadcast(table), "_pid").select(
         *df.columns, (F.col("_first") + F.col("_local")).alias(name)
     )
+
+
+def running_total(df: DataFrame, key: str, value: str, name: str, scratch: Scratch) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows up to this one by ``key``, whose values are distinct.
+
+    Each range of keys sums for itself; the ranges' totals, one number each, give the offsets.
+    """
+    parts = scratch.save(df.repartitionByRange(key).select("*", F.spark_partition_id().alias("_pid")), "ranges")
+    offsets, total = [], 0
+    for pid, _, part in sorted(
+        (r["_pid"], r["least"], r["total"])
+        for r in parts.groupBy("_pid").agg(F.min(key).alias("least"), F.sum(value).alias("total")).collect()
+    ):
+        offsets.append((pid, total))
+        total += part
+    table = local_table(df.sparkSession, offsets, "_pid int, _before long")
+    own = F.sum(value).over(Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn(name, own).join(F.broadcast(table), "_pid").select(
+        *df.columns, (F.col(name) + F.col("_before")).alias(name)
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from kgspark import schemas
 from kgspark.operators import hierarchy as H
 from kgspark.operators import ontology as O
+from kgspark.operators.incremental import build_incremental
 from kgspark.plans.star import make_ontology
-from kgspark.skew import SkewPolicy
+from kgspark.skew import SkewPolicy, running_total
 from kgspark.storage import local_table
 
 TINY = SkewPolicy(min_rows=2, rows_per_split=1, sample=1.0)
@@ -184,6 +185,69 @@ def test_catalog_ontology(spark):
     assert {r["name"]: r["range"] for r in onto.data_properties.collect()}["r_opened"] == "xsd:dateTime"
 
 
+def random_batches(spark, seed, n=9):
+    """Batches over few names in both cases, so that verdicts hang on each other."""
+    rng = random.Random(seed)
+    names = [a + b for a in "ABCDEF" for b in ("", "x")] + ["Thing"]
+    some = lambda: (lambda w: w.lower() if rng.random() < 0.06 else w)(rng.choice(names))
+    rows = []
+    for batch in range(n):
+        for k in range(rng.randint(1, 3 if batch else 2)):
+            name, at = some(), batch * 100 + k * 3
+            rows.append((batch, at, "class", (name, None, None), None, None, None))
+            if rng.random() < 0.8:
+                above = "Thing" if rng.random() < 0.5 else some()
+                rows.append((batch, at + 1, "subclass_relation", None, (some() if rng.random() < 0.2 else name, above), None, None))
+        if rng.random() < 0.3:
+            p = (f"p{rng.randrange(4)}", None, [some()], [some()] if rng.random() < 0.7 else [], [], None)
+            rows.append((batch, batch * 100 + 60, "object_property", None, None, p, None))
+        if rng.random() < 0.3:
+            p = (f"p{rng.randrange(4)}", None, [some(), some()], "xsd:string", [], None)
+            rows += [(batch, batch * 100 + 70, "data_property", None, None, None, p)] * rng.randint(1, 2)
+    return spark.createDataFrame(
+        rows, f"batch_id long, seq long, kind string, class {schemas.CLASS}, subclass_relation {schemas.RELATION}, "
+        f"object_property {schemas.OBJECT_PROPERTY}, data_property {schemas.DATA_PROPERTY}")
+
+
+@pytest.mark.parametrize("seed, given", [(2, False), (3, True)])
+def test_batches_at_once_equal_one_by_one(spark, scratch, seed, given):
+    onto = O.empty_ontology(spark)
+    if given:
+        onto = make_ontology(spark, "given", ["Thing", "A", "Bx"], [("A", "Thing"), ("Bx", "Thing"), ("Bx", "A")], [("p0", ["A"], ["Bx"])], [("p1", ["A"])])
+        # The one-by-one rule takes rows in the order of seq, so the given ones come first.
+        onto = O.Ontology("given", *[
+            t.withColumn("seq", F.col("seq") - 10_000) for t in (onto.classes, onto.subclass_of, onto.object_properties, onto.data_properties)
+        ])
+    batches = random_batches(spark, seed)
+    want, want_log = O.build_step_by_step(onto, batches, scratch)
+    got, log = build_incremental(onto, batches, scratch)
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert flat(log.select("batch_id", "valid", "n_issues")) == flat(want_log)
+    for table in ("classes", "subclass_of", "object_properties", "data_properties"):
+        assert flat(getattr(got, table).drop("seq")) == flat(getattr(want, table).drop("seq"))
+    valid = [r["valid"] for r in log.collect()]
+    assert any(valid) and not all(valid)
+
+
+def test_no_batches_and_hot_keys(spark, scratch):
+    none, log = build_incremental(O.empty_ontology(spark), random_batches(spark, 1).limit(0), scratch)
+    assert log.isEmpty() and none.classes.isEmpty()
+    batches = random_batches(spark, 5, 4)
+    plain = build_incremental(O.empty_ontology(spark), batches, scratch)[1]
+    split = build_incremental(O.empty_ontology(spark), batches, scratch, policy=TINY)[1]
+    assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+
+
+def test_running_total(spark, scratch):
+    rows = spark.range(1000).selectExpr("id * 7 % 1000 AS k", "id % 5 - 2 AS v").repartition(5)
+    got = {r["k"]: r["total"] for r in running_total(rows, "k", "v", "total", scratch).collect()}
+    values, total = {r["k"]: r["v"] for r in rows.collect()}, 0
+    for k in sorted(values):
+        total += values[k]
+        assert got[k] == total
+    assert running_total(rows.limit(0), "k", "v", "total", scratch).count() == 0
+
+
 def test_delta_is_ordered_after_the_ontology(spark):
     first = make_ontology(spark, "a", ["Thing", "Other"], [("Other", "Thing")], [], [])
     delta = make_ontology(spark, "b", ["Alpha"], [("Alpha", "Thing")], [], [])
