@@ -279,24 +279,84 @@ def filter_kg(
     return rows.where(is_isa).unionByName(facts)
 
 
+LONGEST = 62  # characters of a query whose distances fit one machine number
+
+
+def qgram_filter(query: str, errors: int) -> tuple[list[str], int]:
+    """(grams of the query, how many of them a text must hold) to be within ``errors`` edits.
+
+    An edit destroys at most q of the query's grams; the longest grams that still leave one
+    to be found are taken. No text is excluded if no length does.
+    """
+    for q in (3, 2, 1):
+        need = len(query) - q + 1 - errors * q
+        if need >= 1:
+            return [query[i:i + q] for i in range(len(query) - q + 1)], need
+    return [], 0
+
+
+def substring_distance(text: Column, query: str) -> Column:
+    """Least number of edits that turn the query into some part of the text.
+
+    One pass over the text's characters by bit-parallel dynamic programming (Myers, JACM
+    1999): the differences between neighbouring rows of Sellers' column are the bits
+    of two numbers. Queries of up to ``LONGEST`` characters; null texts give null.
+    """
+    m = len(query)
+    if not 0 < m <= LONGEST:
+        raise ValueError(f"a query has 1 to {LONGEST} characters")
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    number = lambda x: F.lit(x).cast("bigint")
+    masks = {c: sum(1 << i for i, d in enumerate(query) if d == c) for c in dict.fromkeys(query)}
+
+    def step(state: Column, c: Column) -> Column:
+        equal = number(0)
+        for letter, mask in masks.items():
+            equal = F.when(c == letter, number(mask)).otherwise(equal)
+        plus, minus = state["plus"], state["minus"]
+        across = equal.bitwiseOR(minus)
+        down = (equal.bitwiseAND(plus) + plus).bitwiseXOR(plus).bitwiseOR(equal)
+        more = minus.bitwiseOR(number(full).bitwiseAND(F.bitwise_not(down.bitwiseOR(plus))))
+        less = plus.bitwiseAND(down)
+        score = state["score"] + F.when(more.bitwiseAND(number(last)) != 0, 1).otherwise(0) - F.when(
+            less.bitwiseAND(number(last)) != 0, 1
+        ).otherwise(0)
+        more = F.shiftleft(more, 1).bitwiseAND(number(full))
+        less = F.shiftleft(less, 1).bitwiseAND(number(full))
+        return F.struct(
+            less.bitwiseOR(number(full).bitwiseAND(F.bitwise_not(across.bitwiseOR(more)))).alias("plus"),
+            more.bitwiseAND(across).alias("minus"), score.cast("int").alias("score"),
+            F.least(state["best"], score).cast("int").alias("best"),
+        )
+
+    start = F.struct(
+        number(full).alias("plus"), number(0).alias("minus"), F.lit(m).alias("score"), F.lit(m).alias("best")
+    )
+    # An empty pattern splits a text into its characters.
+    return F.aggregate(F.split(text, ""), start, step, lambda s: s["best"])
+
+
 def fuzzy_search(
     items: DataFrame, fields: list[str], query: str, threshold: float = 0.3, k: int = 10
 ) -> DataFrame:
-    """The k best items by how well a field matches: (item columns, score).
+    """The k best items by how well a field matches, wherever in it: (item columns, score).
 
-    A field that contains the query scores 0; else the score is the least edit
-    distance of the query to one of its words over the query's length. Needs a
-    query of two or more characters.
+    The score is the least number of edits that turn the query into a part of a field,
+    over the query's length; a field that holds the query scores 0. Only fields with
+    enough of the query's grams are compared. Needs a query of two or more characters.
     """
     query = query.lower()
     if len(query) < 2:
         return items.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    grams, need = qgram_filter(query, int(threshold * len(query) + 1e-9))
     scores = []
     for field in fields:
         text = F.lower(F.col(field))
-        words = F.array_remove(F.split(text, r"[^\p{L}\p{Nd}]+"), "")
-        distance = F.array_min(F.transform(words, lambda w: F.levenshtein(w, F.lit(query)))) / F.lit(float(len(query)))
-        scores.append(F.when(text.contains(query), F.lit(0.0)).otherwise(distance))
+        score = substring_distance(text, query) / F.lit(float(len(query)))
+        if need:
+            held = reduce(lambda a, b: a + b, [F.contains(text, F.lit(g)).cast("int") for g in grams])
+            score = F.when(held >= need, score)
+        scores.append(F.when(text.contains(query), F.lit(0.0)).otherwise(score))
     best = scores[0] if len(scores) == 1 else F.least(*scores)
     return (
         items.withColumn("score", best)

@@ -185,19 +185,21 @@ def g19(t):
 
 
 def _sql_score(column: str, query_text: str) -> str:
+    """Least distance to any part of a field, by trying all parts of about the query's length."""
+    m = len(query_text)
+    sizes = list(range(m - int(0.3 * m), m + int(0.3 * m) + 1))
     return (
-        f"CASE WHEN contains(lower({column}), '{query_text}') THEN 0.0 ELSE list_min(list_transform("
-        f"list_filter(string_split_regex(lower({column}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> ''), "
-        f"lambda x: levenshtein(x, '{query_text}'))) / {float(len(query_text))} END"
+        f"list_min(flatten([[levenshtein(substr(lower({column}), i, n), '{query_text}') FOR n IN {sizes}] "
+        f"FOR i IN range(1, length({column}) + 1)])) / {float(m)}"
     )
 
 
 @query("G20_fuzzy_search", f"""WITH {SQL_STAR}, {SQL_ENDS}, {SQL_TYPES},
 nd AS (SELECT DISTINCT node, coalesce(grp, 'unclassified') AS g FROM ends LEFT JOIN ty USING (node)),
-ns AS (SELECT 'node' AS kind, node AS item, least({_sql_score('node', 'brnad')}, {_sql_score('g', 'brnad')}) AS score FROM nd),
-es AS (SELECT 'edge' AS kind, s || ' ' || p || ' ' || o AS item, least({_sql_score('p', 'brnad')}, {_sql_score('s', 'brnad')}, {_sql_score('o', 'brnad')}) AS score FROM (SELECT DISTINCT s, p, o FROM kg)),
-n10 AS (SELECT * FROM ns WHERE score <= 0.5 ORDER BY score, item LIMIT 10),
-e10 AS (SELECT * FROM es WHERE score <= 0.5 ORDER BY score, item LIMIT 10)
+ns AS (SELECT 'node' AS kind, node AS item, least({_sql_score('node', 'custmer_1')}, {_sql_score('g', 'custmer_1')}) AS score FROM nd),
+es AS (SELECT 'edge' AS kind, s || ' ' || p || ' ' || o AS item, least({_sql_score('p', 'custmer_1')}, {_sql_score('s', 'custmer_1')}, {_sql_score('o', 'custmer_1')}) AS score FROM (SELECT DISTINCT s, p, o FROM kg)),
+n10 AS (SELECT * FROM ns WHERE score <= 0.3 ORDER BY score, item LIMIT 10),
+e10 AS (SELECT * FROM es WHERE score <= 0.3 ORDER BY score, item LIMIT 10)
 SELECT kind, item, round(score, 6) AS score FROM (SELECT * FROM n10 UNION ALL SELECT * FROM e10) ORDER BY score, kind DESC, item LIMIT 10""")
 def g20(t):
     graph = kg(t)
@@ -205,7 +207,7 @@ def g20(t):
         "node", F.coalesce("group", F.lit("unclassified")).alias("group")
     )
     edges = graph.select(F.col("subject").alias("source"), F.col("predicate").alias("label"), F.col("object").alias("target"))
-    return G.search_graph(nodes, edges, "brnad", threshold=0.5).withColumn("score", F.round("score", 6))
+    return G.search_graph(nodes, edges, "custmer_1").withColumn("score", F.round("score", 6))
 
 
 @query("G21_graph_statistics", f"""WITH {SQL_STAR}, {SQL_DEG}, {SQL_TYPES}

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from functools import reduce
 
 import pandas as pd
@@ -80,10 +81,37 @@ def test_filters(spark):
 
 
 def test_fuzzy_search(spark):
-    items = spark.createDataFrame([("customer_1",), ("costumer_2",), ("part_3",)], "node string")
+    items = spark.createDataFrame([("customer_1",), ("costumer_2",), ("part_3",), (None,), ("",)], "node string")
     hits = {r["node"]: r["score"] for r in G.fuzzy_search(items, ["node"], "Customer").collect()}
     assert hits == {"customer_1": 0.0, "costumer_2": 0.25}
     assert G.fuzzy_search(items, ["node"], "c").isEmpty()
+    # One typo in four letters, anywhere in a field, and no word limits.
+    assert [r["node"] for r in G.fuzzy_search(items, ["node"], "prt_").collect()] == ["part_3"]
+    assert [r["node"] for r in G.fuzzy_search(items, ["node"], "tomer1").collect()] == ["customer_1"]
+
+
+def test_substring_distance_equals_brute_force(spark):
+    """Against Sellers' rule, by the plain table of distances; the filter excludes no hit."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé#") for _ in range(rng.randint(0, 14))) for _ in range(150)] + ["", "a" * 500, "😀ab"]
+
+    def least(query, text):
+        column = list(range(len(query) + 1))
+        best = column[-1]
+        for c in text:
+            before, column = column, [0]
+            for i, q in enumerate(query, 1):
+                column.append(min(before[i - 1] + (q != c), before[i] + 1, column[i - 1] + 1))
+            best = min(best, column[-1])
+        return best
+
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for query in ("ab", "aé#b", "abba#", "bbabéa#ab", "ab" * 31):
+        got = {r["id"]: r["d"] for r in items.select("id", G.substring_distance(F.col("t"), query).alias("d")).collect()}
+        assert got == {i: least(query, t) for i, t in enumerate(texts)}
+        for threshold in (0.0, 0.3, 0.6):
+            hits = {r["id"] for r in G.fuzzy_search(items, ["t"], query, threshold, 1000).collect()}
+            assert hits == {i for i, t in enumerate(texts) if least(query, t) / len(query) <= threshold}
 
 
 def test_views(spark, base, scratch):
@@ -247,6 +275,33 @@ def test_stream_equals_batch(spark, base, scratch, tmp_path):
     assert sorted(got) == sorted(tuple(r) for r in batch.collect()) and len(got) == 3
 
 
+def test_a_micro_batch_opens_only_its_own_buckets(spark, base, tmp_path):
+    """The files of all other buckets are made unreadable before the next micro-batch."""
+    kg, ck, src = (str(tmp_path / n) for n in ("kg", "ck", "src"))
+    first = [(f"w{i}", "isA", "Writer") for i in range(40)] + [(f"b{i}", "isA", "Book") for i in range(40)]
+    second = [("b1", "hasAuthor", "w1"), ("b1", "isA", "Book"), ("w2", "isA", "Place"), ("b2", "hasAuthor", "b1")]
+    def arrive(rows, batch):
+        part = local_table(spark, [(*t, batch, q) for q, t in enumerate(rows)], COLUMNS)
+        part.write.mode("append").parquet(src)
+        I.stream_ingest(spark.readStream.schema(part.schema).parquet(src), kg, ck, base, buckets=64).awaitTermination()
+    arrive(first, 0)
+    names = {"b1", "w1", "w2", "b2", "Book", "Place"}
+    ids = spark.createDataFrame([(n,) for n in names], "n string").select(I.bucket_of("n", 64).alias("b")).collect()
+    own, broken = {r["b"] for r in ids}, {}
+    for path in (tmp_path / "kg" / "epoch=0").glob("bucket=*/*.parquet"):
+        if int(path.parent.name.split("=")[1]) not in own:
+            broken[path] = path.read_bytes()
+            path.write_bytes(b"unreadable")
+            path.with_name(f".{path.name}.crc").unlink()
+    assert len(broken) > 20
+    arrive(second, 1)
+    for path, data in broken.items():
+        path.write_bytes(data)
+    got = {tuple(r)[:3] for r in I.read_snapshot(spark, kg).where("epoch = 1").collect()}
+    assert got == {("b1", "hasAuthor", "w1")}
+    assert I.read_snapshot(spark, kg).where("epoch = 0").count() == 80
+
+
 def test_registered_queries_are_paired():
     from kgspark.plans import catalog
 
