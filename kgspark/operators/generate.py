@@ -3,8 +3,8 @@
 Long texts are cut to chunks; every chunk is a request that carries the types
 already known of entities it names. Replies are parsed and judged; those at fault
 are sent again with their errors. Accepted triples of a pass join the graph, and
-passes go on until one finds nothing new. Each pass is published as a folder of
-its own, if a path is given.
+passes go on until one finds nothing new. If a path is given, each pass is published
+there as soon as it is judged, and a run that was stopped goes on behind its last pass.
 """
 
 from __future__ import annotations
@@ -57,7 +57,11 @@ def generate_kg(
     spark = docs.sparkSession
     chunks = number_chunks(docs, doc_id, text, scratch, chunk_size)
     rules = T.prepare_rules(onto, scratch)
-    failures: list[DataFrame] = []
+    failures: dict[int, DataFrame] = {}
+
+    def read_failed(schema, epoch: int) -> DataFrame:
+        names = [f.name for f in schema if f.name != "epoch"]
+        return spark.read.parquet(f"{path}/_failed/epoch={epoch}").select(*names).withColumn("epoch", F.lit(epoch))
 
     def extract(kg: DataFrame, epoch: int) -> DataFrame:
         known = scratch.save(known_types(chunks, kg), "known")
@@ -72,16 +76,25 @@ def generate_kg(
             ))
 
         answered, failed = models.validate_and_retry(requests, make, check, scratch, tries=tries, delay=delay)
-        failures.append(scratch.save(failed.withColumn("epoch", F.lit(epoch)), "failed"))
+        failed = failed.withColumn("epoch", F.lit(epoch))
+        if path is None:
+            failed = scratch.save(failed, "failed")
+        else:  # before the pass is committed, so that a committed pass has them
+            write_partial(failed.drop("epoch"), epoch, f"{path}/_failed")
+            failed = read_failed(failed.schema, epoch)
+        failures[epoch] = failed
         replies = answered.select("request_id", "response").unionByName(failed.select("request_id", "response"))
         return T.parse_triples(replies)[0]
 
     empty = local_table(spark, [], schemas.TRIPLES)
-    kg, progress = T.run_epochs(extract, empty, rules, scratch, epochs, mode=mode)
+    kg, progress = T.run_epochs(extract, empty, rules, scratch, epochs, mode=mode, path=path)
     if path is not None:
-        for epoch in range(len(failures)):
-            write_partial(kg.where(F.col("epoch") == epoch).drop("epoch"), epoch, path)
-    failed = failures[0]
-    for part in failures[1:]:
+        # Passes of an earlier run have their failures there.
+        for (epoch,) in progress.select("epoch").distinct().collect():
+            if epoch not in failures:
+                failures[epoch] = spark.read.parquet(f"{path}/_failed/epoch={epoch}").withColumn("epoch", F.lit(epoch))
+    parts = [failures[epoch] for epoch in sorted(failures)]
+    failed = parts[0]
+    for part in parts[1:]:
         failed = failed.unionByName(part)
     return kg, progress, failed

@@ -17,7 +17,7 @@ from kgspark import schemas
 from kgspark.functions.scalars import is_snake_case, triple_to_string
 from kgspark.operators.ontology import Ontology, all_properties, class_names, superclass_sets
 from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_ends, lookup_join, too_small
-from kgspark.storage import Scratch, local_table
+from kgspark.storage import Scratch, local_table, path_exists
 
 SPO = ["subject", "predicate", "object"]
 IS_A = "isA"
@@ -470,6 +470,9 @@ def accepted_batch_triples(judged: DataFrame, batches: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- epochs
 
+PROGRESS = "batch_id long, candidates long, new_triples long, total long"
+
+
 def run_epochs(
     extract: Callable[[DataFrame, int], DataFrame],
     empty: DataFrame,
@@ -478,6 +481,7 @@ def run_epochs(
     epochs: int = 3,
     policy: SkewPolicy = DEFAULT_SKEW,
     mode: str = "row",
+    path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Up to ``epochs`` passes, each seeing the graph so far; stop when none is new.
 
@@ -486,24 +490,38 @@ def run_epochs(
     epoch of each triple, so that a type stays the one of its first epoch; progress
     rows are (epoch, batch_id, candidates, new_triples, total), with the size of the
     graph after the batch.
+
+    With a ``path`` each pass is published there as soon as it is judged: its triples as the
+    folder ``epoch=k``, then its progress, whose success marker commits the pass. A run
+    that is started again on the path goes on behind the last committed pass; one that
+    was only written in part is done anew. A path belongs to one set of inputs.
     """
+    spark = empty.sparkSession
     kg = scratch.save(empty.select(*SPO, "batch_id", "seq").withColumn("epoch", F.lit(-1)), "kg")
     size = kg.count()
     rules = onto if onto is None or isinstance(onto, Rules) else prepare_rules(onto, scratch)
     progress = []
     for epoch in range(epochs):
-        # An extractor may call a model, so its rows are written before any use.
-        candidates = scratch.save(extract(kg, epoch), "candidates")
-        judged, good = judge(candidates, rules, scratch, kg if size else None, mode, policy)
-        found = scratch.save(accumulate_first(good), "found")
-        log = (
-            judged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("candidates"))
-            .join(found.groupBy("batch_id").agg(F.count(F.lit(1)).alias("new_triples")), "batch_id", "left")
-            .select(F.lit(epoch).alias("epoch"), "batch_id", "candidates",
-                    F.coalesce("new_triples", F.lit(0)).alias("new_triples"))
-        )
-        log = running_total(scratch.save(log, "log"), size, scratch)
-        progress.append(scratch.save(log, "progress"))
+        if path is None or not path_exists(spark, f"{path}/_progress/epoch={epoch}/_SUCCESS"):
+            # An extractor may call a model, so its rows are written before any use.
+            candidates = scratch.save(extract(kg, epoch), "candidates")
+            judged, good = judge(candidates, rules, scratch, kg if size else None, mode, policy)
+            found = scratch.save(accumulate_first(good), "found")
+            log = (
+                judged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("candidates"))
+                .join(found.groupBy("batch_id").agg(F.count(F.lit(1)).alias("new_triples")), "batch_id", "left")
+                .select(F.lit(epoch).alias("epoch"), "batch_id", "candidates",
+                        F.coalesce("new_triples", F.lit(0)).alias("new_triples"))
+            )
+            log = scratch.save(running_total(scratch.save(log, "log"), size, scratch), "progress")
+            if path is not None:
+                found.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+                log.drop("epoch").write.mode("overwrite").parquet(f"{path}/_progress/epoch={epoch}")
+        if path is not None:
+            found = spark.read.schema(schemas.TRIPLES).parquet(f"{path}/epoch={epoch}")
+            log = spark.read.schema(PROGRESS).parquet(f"{path}/_progress/epoch={epoch}")
+            log = log.select(F.lit(epoch).alias("epoch"), *log.columns)
+        progress.append(log)
         n_new = found.count()
         if n_new == 0:
             break

@@ -282,3 +282,33 @@ def test_text_rules_give_rows_to_validate(spark, base, scratch):
     assert {(r["object"], r["error_code"]) for r in judged} == {
         ("jane", None), ("max", "object_untyped"), ("x", None), ("1", "unknown_property"),
     }
+
+
+def test_a_stopped_run_goes_on_behind_its_last_pass(spark, base, scratch, tmp_path):
+    """Stopped while a pass is extracted, and while one is published; committed passes are not asked again."""
+    steps = [{0: [("jane", "isA", "Writer")]}, {1: [("emma", "isA", "Book")]}, {2: [("emma", "hasAuthor", "jane")]}, {}]
+    asked, path = [], str(tmp_path / "run")
+
+    def extract(kg, epoch, fail_at=None):
+        asked.append((epoch, kg.count()))
+        if epoch == fail_at:
+            raise RuntimeError("stopped")
+        return frame(spark, steps[epoch])
+
+    run = lambda fail_at=None: T.run_epochs(
+        lambda kg, e: extract(kg, e, fail_at), frame(spark, {}), base, scratch, epochs=9, path=path)
+    with pytest.raises(RuntimeError):
+        run(fail_at=2)
+    assert asked == [(0, 0), (1, 1), (2, 2)]
+    # The third pass is there in part: its triples are written, its progress is not.
+    frame(spark, {7: [("half", "isA", "Book")]}).write.parquet(f"{path}/epoch=2")
+    asked.clear()
+    kg, progress = run()
+    assert asked == [(2, 2), (3, 3)]
+    whole, whole_progress = T.run_epochs(lambda kg, e: frame(spark, steps[e]), frame(spark, {}), base, scratch, epochs=9)
+    flat = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert flat(kg) == flat(whole) and flat(progress) == flat(whole_progress)
+    assert flat(spark.read.parquet(path).where("epoch >= 0")) == flat(whole.where("epoch >= 0"))
+    asked.clear()
+    again, _ = run()  # a finished run only reads
+    assert asked == [] and flat(again) == flat(whole)
