@@ -7,16 +7,16 @@ window and no cross join occurs.
 
 from __future__ import annotations
 
-from itertools import count
-
+import uuid
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.scalars import percent_of_total
 from kgspark.operators.ontology import Ontology, ontology_metrics
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_keys, lookup_join
-from kgspark.storage import Scratch
+from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_keys, lookup_join, too_small
+from kgspark.storage import Scratch, local_table
 
 
 def nodes(triples: DataFrame) -> DataFrame:
@@ -169,6 +169,46 @@ def hub_node(degrees: DataFrame) -> DataFrame:
     return top_k(degrees, "degree", "node", 1)
 
 
+class Adjacency:
+    """Edges in both directions, bucketed by node once: joins with a set of nodes do not move them.
+
+    Edges of hub nodes, found once, are dealt to parts, so that no bucket holds a hub whole;
+    the few rows of ``hot`` tell how many parts a node has. ``close`` drops the table's entry.
+    """
+
+    def __init__(self, triples: DataFrame, scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW):
+        spark = self.spark = triples.sparkSession
+        edges = triples.select(F.col("subject").alias("node"), F.col("object").alias("other"))
+        edges = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
+        self.nodes = edges.select("node")
+        edges = scratch.save(edges.where("node != other").distinct(), "edges")
+        hot = NO_HOT_KEYS if too_small(edges, policy) else hot_keys(edges, "node", policy)
+        if hot is NO_HOT_KEYS:
+            hot = local_table(spark, [], "hot_key string, splits int")
+        self.hot = scratch.save(hot.withColumnRenamed("hot_key", "node"), "hot")
+        split = edges.join(F.broadcast(self.hot), "node", "left").select(
+            "node", F.when(F.col("splits").isNotNull(), F.pmod(F.xxhash64("other"), F.col("splits"))).otherwise(0).cast("int").alias("part"),
+            "other",
+        )
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"adjacency_{uuid.uuid4().hex}"
+        # One task per bucket writes one file, sorted, so that joins need no sort either.
+        split.repartition(buckets, "node", "part").write.bucketBy(buckets, "node", "part").sortBy("node", "part").option(
+            "path", scratch.new_path("adjacency")
+        ).saveAsTable(self.name)
+
+    def next_to(self, frontier: DataFrame) -> DataFrame:
+        """(node) of the distinct nodes next to those of ``frontier``."""
+        parts = frontier.join(F.broadcast(self.hot), "node", "left").select(
+            "node", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("part")
+        )
+        met = self.spark.table(self.name).join(parts, ["node", "part"])
+        return met.select(F.col("other").alias("node")).distinct()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def bfs_levels(
     triples: DataFrame, start: str, scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
@@ -176,26 +216,22 @@ def bfs_levels(
 
     There is no limit on levels: the search ends with the first empty one. A start
     that is only linked to itself has level 0; one that is no node gives no rows.
-    Each level is written once; hub nodes, found once, are split in every join.
+    Edges are shuffled once, before the first level; each level is written once.
     """
     spark = triples.sparkSession
-    edges = triples.select(F.col("subject").alias("node"), F.col("object").alias("other"))
-    edges = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    first = scratch.save(edges.where(F.col("node") == start).select("node").limit(1), "start")
-    edges = scratch.save(edges.where("node != other").distinct(), "edges")
-    hot = scratch.save(hot_keys(edges, "node", policy), "hot")
-    path = scratch.new_path("levels")
-    first.write.parquet(f"{path}/level=0")
-    for level in count():
-        frontier = spark.read.schema("node string").parquet(f"{path}/level={level}")
-        visited = spark.read.schema("node string, level int").parquet(path)
-        reached = lookup_join(edges, frontier, "node", how="inner", hot=hot).select(
-            F.col("other").alias("node")
-        ).distinct()
-        # The path already holds this level's folders, so write beside and read back.
-        reached.join(visited.select("node"), "node", "left_anti").write.parquet(f"{path}/level={level + 1}")
-        if spark.read.schema("node string").parquet(f"{path}/level={level + 1}").isEmpty():
-            break
+    graph = Adjacency(triples, scratch, policy)
+    try:
+        path = scratch.new_path("levels")
+        graph.nodes.where(F.col("node") == start).limit(1).write.parquet(f"{path}/level=0")
+        for level in count():
+            frontier = spark.read.schema("node string").parquet(f"{path}/level={level}")
+            visited = spark.read.schema("node string, level int").parquet(path)
+            # The path already holds this level's folders, so write beside and read back.
+            graph.next_to(frontier).join(visited.select("node"), "node", "left_anti").write.parquet(f"{path}/level={level + 1}")
+            if spark.read.schema("node string").parquet(f"{path}/level={level + 1}").isEmpty():
+                break
+    finally:
+        graph.close()
     return spark.read.schema("node string, level int").parquet(path)
 
 

@@ -12,6 +12,7 @@ from kgspark.operators import models as U
 from kgspark.operators import triples as T
 from kgspark.operators import views as V
 from kgspark.plans.star import make_ontology
+from kgspark.skew import SkewPolicy
 from kgspark.sources import files as S
 from kgspark.streaming import ingest as I
 from kgspark.storage import local_table
@@ -171,6 +172,38 @@ def test_bfs_has_no_level_limit(spark, scratch):
     assert G.bfs_levels(rows, "none", scratch).isEmpty()
 
 
+def test_bfs_of_a_random_graph_with_split_hubs(spark, scratch):
+    """Levels equal a plain search; hubs are dealt to parts, and no level moves the edges."""
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)] + [("hub", f"n{i}") for i in range(0, 60, 4)]
+    rows = graph(spark, [(a, "p", b) for a, b in pairs] + [("far", "p", "away")])
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, now = {"n1": 0}, {"n1"}
+    while now:
+        now = {b for a in now for b in near.get(a, ())} - set(want)
+        want |= {n: max(want.values()) + 1 for n in now}
+    policy = SkewPolicy(min_rows=5, rows_per_split=2, sample=1.0)
+    for p in (policy, SkewPolicy()):
+        assert {r["node"]: r["level"] for r in G.bfs_levels(rows, "n1", scratch, p).collect()} == want
+    adjacency = G.Adjacency(rows, scratch, policy)
+    assert adjacency.hot.where("node = 'hub'").count() == 1
+    frontier = scratch.save(spark.createDataFrame([("hub",), ("n1",)], "node string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = adjacency.next_to(frontier)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        edges = plan[:plan.index(adjacency.name)].rsplit("SortMergeJoin", 1)[1]  # what lies between the join and the scan
+        assert "Exchange" not in edges and "Bucketed: true" in plan
+        assert {r["node"] for r in found.collect()} == near["hub"] | (near["n1"] - {"n1"})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        adjacency.close()
+
+
 @pytest.mark.parametrize("mode", ["row", "batch"])
 def test_stream_keeps_first_type(spark, scratch, tmp_path, mode):
     """A type is the one of the first micro-batch, whatever the batch ids are; no scratch is left."""
