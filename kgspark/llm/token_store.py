@@ -42,7 +42,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from kgspark.llm.common import Recent, map_rows, shuffle_partitions
+from kgspark.llm.common import map_rows, shuffle_partitions
 from kgspark.storage import Scratch, local_table
 
 END_ID = 2
@@ -61,59 +61,63 @@ MANIFEST = (
 
 # ------------------------------------------------------------------ encoding
 
+class _Known(dict):
+    """Ids of pieces seen lately, at most twice ``size``: a full table becomes the old one, and
+    pieces that are asked for again move to the new one. Unknown ones are made when asked for."""
+
+    def __init__(self, size: int, make):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """The library's ids of whole texts, with a table of words seen before.
 
     The vocabulary's pattern never crosses a single space between two non-space
     characters, other than by starting there; so a text is cut before such
     spaces, and each piece has the ids it has within the text. Pieces that are
-    not in the table are encoded by the library in one call.
+    not in the table are encoded by the library.
     """
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.code = {2: "H", 4: "I"}[width]
-        self.first, self.later = Recent(KEPT_WORDS), Recent(KEPT_WORDS)
+        self.first = _Known(KEPT_WORDS, lambda piece: self._ids(piece, ""))
+        self.later = _Known(KEPT_WORDS, lambda piece: self._ids(piece, " "))
         self.marks: dict[str, bytes] = {}
 
-    def _learn(self, known: Recent, pieces: set[str], before: str) -> dict[str, bytes]:
-        """Ids of at least these pieces; short ones are kept for other texts."""
-        known.turn()
-        new = known.missing(pieces)
-        if not new:
-            return known.young
-        young, rest = known.young, []
-        for p in new:
-            if len(p) > KEPT_LENGTH:
-                rest.append(p)
-            elif p.isalpha():
-                young[p] = self._letters(before + p)
-            elif p[-1:] in MARKS and p[:-1].isalpha():
-                # The pattern ends a run of letters before a mark: two parts, each with ids of its own.
-                word = p[:-1]
-                ids = young.get(word) or known.old.get(word) or self._letters(before + word)
-                young[word] = ids
-                young[p] = ids + self._mark(p[-1])
-            else:
-                rest.append(p)
-        if not rest:
-            return young
-        batch = self.tokenizer.encode_batch_fast([before + p for p in rest], add_special_tokens=False)
-        got = {p: array(self.code, e.ids).tobytes() for p, e in zip(rest, batch)}
-        young.update((p, ids) for p, ids in got.items() if len(p) <= KEPT_LENGTH)
-        if all(len(p) <= KEPT_LENGTH for p in got):
-            return young
-        return {p: got[p] if p in got else young[p] for p in pieces}
-
-    def _letters(self, word: str) -> bytes:
+    def _ids(self, piece: str, before: str) -> bytes:
+        if piece.isalpha():
+            return self._letters(before, piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            # The pattern ends a run of letters before a mark: two parts, each with ids of its own.
+            return (self.later if before else self.first)[piece[:-1]] + self._mark(piece[-1])
+        return array(self.code, self.tokenizer.encode(before + piece, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, before: str, word: str) -> bytes:
         """Ids of letters after at most one space: one match of the pattern, so the model alone decides."""
-        text = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        if word.isascii():  # letters of one byte are written as they are
+            text = SPACE_SIGN + word if before else word
+        else:
+            text = (before + word).encode().decode("latin-1").translate(BYTE_SIGNS)
         return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
-            self.marks[mark] = self._letters(mark)
+            text = mark.encode().decode("latin-1").translate(BYTE_SIGNS)
+            self.marks[mark] = array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
         return self.marks[mark]
 
     def encode(self, text: str) -> bytes:
@@ -124,13 +128,12 @@ class Encoder:
         else:
             # A line break between two non-space characters is a match of its own.
             lines = [line.split(" ") for line in text.split("\n")]
-        first = self._learn(self.first, {pieces[0] for pieces in lines if pieces[0]}, "")
-        later = self._learn(self.later, set().union(*(pieces[1:] for pieces in lines)), " ")
+        first, later, line_end = self.first, self.later, self._mark("\n")
         out = []
         for pieces in lines:
             out.append(first[pieces[0]] if pieces[0] else b"")
-            out.extend([later[p] for p in pieces[1:]])
-            out.append(self._mark("\n"))
+            out += [later[p] for p in pieces[1:]]
+            out.append(line_end)
         out.pop()
         return b"".join(out)
 
@@ -144,6 +147,7 @@ def _byte_signs() -> dict[int, str]:
 
 
 BYTE_SIGNS = _byte_signs()
+SPACE_SIGN = BYTE_SIGNS[ord(" ")]
 
 _open: dict[tuple[str, int], Encoder] = {}
 
