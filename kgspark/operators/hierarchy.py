@@ -7,75 +7,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Row, functions as F
 
 from kgspark import schemas
-from kgspark.operators.ontology import Ontology, top_classes
+from kgspark.operators.components import connected_components
+from kgspark.operators.ontology import Ontology, restrict_properties, top_classes
+from kgspark.operators.repair import ARITY, replay
 from kgspark.skew import DEFAULT_SKEW, SkewPolicy, dense_index, lookup_join
 from kgspark.storage import Scratch, local_table
 
 
-def _star(edges: DataFrame, policy: SkewPolicy, rows: int) -> DataFrame:
-    """Join each row (node, other) with (node, low): the least id next to node."""
-    lows = edges.groupBy("node").agg(
-        F.least(F.col("node"), F.min("other")).alias("low"), F.count(F.lit(1)).alias("n")
-    )
-    return lookup_join(edges, lows, "node", how="inner", policy=policy, weight="n", rows=rows)
-
-
-def connected_components(
-    edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b",
-    policy: SkewPolicy = DEFAULT_SKEW,
-) -> DataFrame:
-    """(node, component) of an undirected edge table; component = least node.
-
-    Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): every
-    round relinks edges to the least neighbour, until all components are stars.
-    Each round is one scratch table; hubs are split by their known edge counts.
-    """
-    pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where(
-        "node is not null and other is not null"
-    )
-    nodes = scratch.save(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "nodes")
-    links = scratch.save(
-        pairs.where("node != other").select(
-            F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")
-        ).distinct(),
-        "links",
-    )
-    while True:
-        if _is_star_forest(links):
-            return nodes.join(links, "node", "left").select(
-                "node", F.coalesce("other", "node").alias("component")
-            )
-        n = links.count()
-        both = links.select(F.explode(F.array(
-            F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))
-        )).alias("e")).select("e.*")
-        large = _star(both, policy, 2 * n).where("other > node and other != low").select(
-            F.col("other").alias("node"), F.col("low").alias("other")
-        ).distinct()
-        large = scratch.save(large, "large")
-        small = _star(large, policy, n).select(F.explode(F.array(
-            F.struct(F.col("other").alias("node"), F.col("low").alias("other")),
-            F.struct(F.col("node").alias("node"), F.col("low").alias("other")),
-        )).alias("e")).select("e.*").where("node != other").distinct()
-        small = scratch.save(small, "links")
-        scratch.drop(links, large)
-        links = small
-
-
-def _is_star_forest(links: DataFrame) -> bool:
-    """Every leaf has one centre, and no centre is itself a leaf.
-
-    Links point from greater to lesser ids and keep the components of the graph,
-    so once they are stars the centre of a star is the least node of a component.
-    """
-    ends = links.select(F.explode(F.array(
-        F.struct(F.col("node").alias("id"), F.lit(1).alias("leaf")),
-        F.struct(F.col("other").alias("id"), F.lit(0).alias("leaf")),
-    )).alias("e")).select("e.*")
-    roles = ends.groupBy("id").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
-    return roles.where("leaves > 1 or (leaves = 1 and least = 0)").isEmpty()
-
-
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
@@ -117,28 +55,6 @@ def cluster_count(clusters: DataFrame) -> int:
 
 # --------------------------------------------------------------- operations
 
-def _keep_list(properties: DataFrame, column: str, names: DataFrame, how: str) -> DataFrame:
-    """Filter a list column by a semi or anti join on its items; order and repeats stay."""
-    items = properties.select("name", "seq", F.posexplode(column).alias("pos", "class_name"))
-    kept = items.join(names.select("class_name").distinct(), "class_name", how)
-    lists = kept.groupBy("name", "seq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "class_name"))), lambda x: x["class_name"])
-        .alias("_kept")
-    )
-    return properties.join(lists, ["name", "seq"]).withColumn(column, F.col("_kept")).drop("_kept")
-
-
-def _restrict_properties(onto: Ontology, names: DataFrame, how: str) -> Ontology:
-    """Filter domains and ranges; a property with an emptied list vanishes."""
-    objects = _keep_list(_keep_list(onto.object_properties, "domain", names, how), "range", names, how)
-    data = _keep_list(onto.data_properties, "domain", names, how)
-    return replace(
-        onto,
-        object_properties=objects.select(onto.object_properties.columns),
-        data_properties=data.select(onto.data_properties.columns),
-    )
-
-
 def apply_relations(onto: Ontology, relations: DataFrame) -> Ontology:
     """Merge or bridge: add relations (subclass, superclass, seq) not yet present.
 
@@ -149,7 +65,7 @@ def apply_relations(onto: Ontology, relations: DataFrame) -> Ontology:
     ).groupBy("subclass", "superclass").agg(F.min("seq").alias("seq"))
     edges = onto.subclass_of.unionByName(fresh)
     related = edges.select(F.explode(F.array("subclass", "superclass")).alias("class_name"))
-    return _restrict_properties(replace(onto, subclass_of=edges), related, "left_semi")
+    return restrict_properties(replace(onto, subclass_of=edges), related, "left_semi")
 
 
 def apply_prune(onto: Ontology, pruned: DataFrame, drop_class: bool = False) -> Ontology:
@@ -159,7 +75,7 @@ def apply_prune(onto: Ontology, pruned: DataFrame, drop_class: bool = False) ->
     for end in ("subclass", "superclass"):
         edges = edges.join(names.withColumnRenamed("class_name", end), end, "left_anti")
     edges = edges.select(onto.subclass_of.columns)
-    out = _restrict_properties(replace(onto, subclass_of=edges), names, "left_anti")
+    out = restrict_properties(replace(onto, subclass_of=edges), names, "left_anti")
     if drop_class:
         out = replace(
             out, classes=onto.classes.join(names.withColumnRenamed("class_name", "name"), "name", "left_anti")
@@ -168,10 +84,6 @@ def apply_prune(onto: Ontology, pruned: DataFrame, drop_class: bool = False) ->
     return out
 
 
-# Number of cluster indexes each kind of operation takes.
-ARITY = {"merge": 2, "bridge": 2, "prune": 1}
-
-
 def _operation_frames(spark, op: Row, first_seq: int) -> tuple[DataFrame, DataFrame]:
     relations = local_table(
         spark, [(r["subclass"], r["superclass"], first_seq + i) for i, r in enumerate(op["relations"] or [])],
@@ -257,13 +169,14 @@ def fix_ontology(
 ) -> tuple[Ontology, DataFrame]:
     """Make the hierarchy one piece; returns it with the history of operations.
 
-    With an ``ops`` table its rows are checked and applied in ``op_seq`` order
-    until there is one cluster; a refused row is logged and skipped. Without one,
-    all operations of ``auto_bridge`` are applied in a single set step: clusters of
-    at most ``prune_below`` classes are pruned, the others are bridged.
+    With an ``ops`` table its rows are checked and applied as if in ``op_seq`` order
+    until there is one cluster; a refused row is logged and skipped. They are judged
+    many at a time (``repair.replay``). Without one, all operations of ``auto_bridge``
+    are applied in a single set step: clusters of at most ``prune_below`` classes are
+    pruned, the others are bridged.
     """
-    clusters = find_isolated_clusters(onto, scratch, policy)
     if ops is None:
+        clusters = find_isolated_clusters(onto, scratch, policy)
         if cluster_count(clusters) == 0:
             return onto, local_table(clusters.sparkSession, [], schemas.OPS + ", error string")
         plan = scratch.save(auto_bridge(onto, clusters, prune_below), "ops")
@@ -275,13 +188,5 @@ def fix_ontology(
             fixed = apply_prune(fixed, plan.select(F.explode("classes").alias("class_name")))
         fixed = fixed.pinned(scratch)
         return fixed, plan.withColumn("error", F.lit(None).cast("string"))
-    history = []
-    for op in ops.orderBy("op_seq").toLocalIterator():
-        if cluster_count(clusters) == 0:
-            break
-        error = operation_error(onto, op, clusters, scratch, policy)
-        if error is None:
-            onto = apply_operation(onto, op, (1 << 40) + op["op_seq"] * 1000).pinned(scratch)
-            clusters = find_isolated_clusters(onto, scratch, policy)
-        history.append((*op, error))
-    return onto, local_table(ops.sparkSession, history, schemas.OPS + ", error string")
+    fixed, history = replay(onto, ops, scratch, policy)
+    return fixed.pinned(scratch), history.drop("pos", "round")

@@ -633,3 +633,27 @@ def ontology_from_tables(
         local_table(spark, objects, schemas.OBJECT_PROPERTIES),
         local_table(spark, data, schemas.DATA_PROPERTIES),
     )
+
+
+# ---------------------------------------------------------------- lists of classes
+
+def _keep_list(properties: DataFrame, column: str, names: DataFrame, how: str) -> DataFrame:
+    """Filter a list column by a semi or anti join on its items; order and repeats stay."""
+    items = properties.select("name", "seq", F.posexplode(column).alias("pos", "class_name"))
+    kept = items.join(names.select("class_name").distinct(), "class_name", how)
+    lists = kept.groupBy("name", "seq").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "class_name"))), lambda x: x["class_name"])
+        .alias("_kept")
+    )
+    return properties.join(lists, ["name", "seq"]).withColumn(column, F.col("_kept")).drop("_kept")
+
+
+def restrict_properties(onto: Ontology, names: DataFrame, how: str) -> Ontology:
+    """Filter domains and ranges; a property with an emptied list vanishes."""
+    objects = _keep_list(_keep_list(onto.object_properties, "domain", names, how), "range", names, how)
+    data = _keep_list(onto.data_properties, "domain", names, how)
+    return replace(
+        onto,
+        object_properties=objects.select(onto.object_properties.columns),
+        data_properties=data.select(onto.data_properties.columns),
+    )
