@@ -170,6 +170,44 @@ def h6(t):
     )
 
 
+def market_operations(t):
+    """An operation per customer, then a prune of each whole segment.
+
+    A customer's merge puts it below its segment's class of the next region, so the
+    first customers of four regions join their clusters and all others change nothing.
+    """
+    nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    rows = t.customer.join(nations, "c_nationkey")
+    merges = rows.selectExpr(
+        "cast(c_custkey as int) AS op_seq", "'merge' AS op", "array(1, 2) AS indexes",
+        f"array(named_struct('subclass', concat('Customer', c_custkey), "
+        f"'superclass', concat({_SEGMENT}, 'R', (region + 1) % 5))) AS relations",
+        "cast(array() as array<string>) AS classes",
+    )
+    prunes = rows.groupBy("c_mktsegment").agg(F.sort_array(F.collect_set(
+        F.expr(f"concat({_SEGMENT}, 'N', c_nationkey)")
+    )).alias("low"), F.sort_array(F.collect_set(F.expr(f"concat({_SEGMENT}, 'R', region)"))).alias("high")).selectExpr(
+        "cast(2000000000 + ascii(c_mktsegment) as int) AS op_seq", "'prune' AS op", "array(1) AS indexes",
+        f"cast(array() as {schemas.OPS.split('relations ')[1].rsplit(', classes', 1)[0]}) AS relations",
+        "concat(low, high) AS classes",
+    )
+    return t.scratch.save(merges.unionByName(prunes), "operations")
+
+
+@query("H6_replay_operations", f"""WITH {SQL_MARKETS},
+firsts AS (SELECT seg, n_regionkey, min(c_custkey) AS k FROM r GROUP BY 1, 2),
+ranked AS (SELECT k, row_number() OVER (PARTITION BY seg ORDER BY k) AS i, count(*) OVER (PARTITION BY seg) AS n FROM firsts),
+joined AS (SELECT k FROM ranked WHERE i < 5),
+ends AS (SELECT c_mktsegment, row_number() OVER (ORDER BY ascii(c_mktsegment)) AS i FROM customer GROUP BY 1)
+SELECT CAST(c_custkey AS INTEGER) AS op_seq, 'merge' AS op,
+  CASE WHEN c_custkey IN (SELECT k FROM joined) THEN '' ELSE 'clusters_not_reduced' END AS error FROM customer
+UNION ALL
+SELECT CAST(2000000000 + ascii(c_mktsegment) AS INTEGER), 'prune', '' FROM ends WHERE i < (SELECT max(i) FROM ends)""")
+def h6_replay(t):
+    _, history = H.fix_ontology(market_ontology(t), t.scratch, market_operations(t))
+    return history.select("op_seq", "op", F.coalesce("error", F.lit("")).alias("error"))
+
+
 @query("H7_auto_bridge", f"""WITH {SQL_MARKETS}
 SELECT CAST((SELECT max(i) FROM ix) - i AS INTEGER) AS op_seq, 'bridge' AS op, '1,' || i AS indexes,
   top AS subclass, (SELECT top FROM ix WHERE i = 1) AS superclass FROM ix WHERE i > 1""")

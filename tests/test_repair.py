@@ -112,9 +112,9 @@ def random_case(seed, clusters=8, operations=24):
     return edges, objects, data, rows
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_replay_equals_one_by_one(spark, scratch, seed):
-    policy = SkewPolicy(min_rows=2, rows_per_split=1, max_splits=3, sample=1.0) if seed == 3 else SkewPolicy()
+    policy = SkewPolicy(min_rows=2, rows_per_split=1, max_splits=3, sample=1.0) if seed == 1 else SkewPolicy()
     check(spark, scratch, *random_case(seed), policy=policy)
 
 
