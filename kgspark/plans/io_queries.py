@@ -1,5 +1,7 @@
 """SRC1-SRC6, SNK1-SNK7: files that Spark writes from the tables, read back."""
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from kgspark.operators import hierarchy as H
@@ -16,7 +18,6 @@ from kgspark.skew import dense_index
 from kgspark.sources import files as S
 
 
-
 @query("SRC1_scan_text_files", """
 SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS skipped FROM documents GROUP BY 1""")
 def src1(t):
@@ -30,6 +31,17 @@ def src1(t):
     )
 
 
+@query("SRC1_decode_files", """
+SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS problems FROM documents GROUP BY 1""")
+def src1_decode(t):
+    path = t.scratch.new_path("packed")
+    t.documents.select("lang", "text").write.partitionBy("lang").option("compression", "gzip").text(path)
+    found = S.decode_files(t.spark, path, t.scratch, {".gz": lambda content: gzip.decompress(content).decode()})
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).agg(
+        F.sum(F.length("text")).alias("n_chars"), F.count("problem").alias("problems")
+    )
+
+
 @query("SRC2_drop_empty_docs", """
 SELECT count(*) AS n, count(*) FILTER (trim(line) = '') AS blank FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''""")
 def src2(t):

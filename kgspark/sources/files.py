@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kgspark import schemas
 from kgspark.operators.ontology import Ontology
 from kgspark.operators.triples import SPO, to_digraph_edges
-from kgspark.storage import path_exists
+from kgspark.rows import over_rows
+from kgspark.storage import Scratch, path_exists
 
 # File suffixes that count as text sources.
 TEXT_SUFFIXES = [
@@ -20,6 +21,7 @@ TEXT_SUFFIXES = [
 ]
 # Supported by name, but they need a decoder that the user brings.
 BINARY_SUFFIXES = [".pdf", ".docx", ".doc", ".rtf", ".odt"]
+MAX_PROBLEM = 200  # characters of an error message
 
 
 def _suffix(path):
@@ -43,6 +45,55 @@ def scan_text_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return texts, listed.where(_suffix(F.col("path")).isin(BINARY_SUFFIXES))
 
 
+def _utf8(content: bytes) -> str:
+    return content.decode("utf-8")
+
+
+# A file is one row, and a row's text has to fit into an Arrow batch.
+MAX_FILE_BYTES = 1 << 30
+
+
+def decode_files(
+    spark: SparkSession, folder: str, scratch: Scratch,
+    decoders: dict[str, Callable[[bytes], str | None]] | None = None, max_bytes: int = MAX_FILE_BYTES,
+) -> DataFrame:
+    """(path, text, problem): a folder tree, one row per file with a known suffix.
+
+    ``decoders`` maps a suffix in lower case to a function from a file's bytes to its
+    text; suffixes of texts are UTF-8 unless given, further suffixes become known by
+    being given. Files are dealt to tasks by size and decoded there. A file that gives
+    no text stays in the table, with an empty text and its ``problem``: ``no decoder``,
+    ``too long`` (more than ``max_bytes``; ``read_lines`` has no such limit),
+    ``unreadable`` (the file system fails on it or it went away), or the class and
+    message of the decoder's error. A decoder's None is an empty text. An empty file
+    gives no row, as Spark lists none.
+    """
+    known = {**dict.fromkeys(TEXT_SUFFIXES, _utf8), **(decoders or {})}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    # Names and lengths come from the listing; no file is opened for them.
+    listed = files.load(folder).select("path", "length").withColumn("suffix", _suffix(F.col("path"))).where(
+        F.col("suffix").isin(sorted(set(known) | set(BINARY_SUFFIXES)))
+    )
+
+    def decode(rows):
+        for path, suffix, content in rows:
+            try:
+                yield path, known[suffix](content or b"") or "", None
+            except Exception as error:  # any decoder may fail in any way; the row tells how
+                yield path, "", f"{type(error).__name__}: {error}"[:MAX_PROBLEM]
+
+    contents = files.option("ignoreCorruptFiles", True).load(folder).where(F.col("length") <= max_bytes).select(
+        "path", _suffix(F.col("path")).alias("suffix"), "content"
+    ).where(F.col("suffix").isin(sorted(known)))
+    read = scratch.save(over_rows(contents, decode, "path string, text string, problem string"), "decoded")
+    rest = listed.join(read.select("path"), "path", "left_anti").select(
+        "path", F.lit("").alias("text"),
+        F.when(~F.col("suffix").isin(sorted(known)), "no decoder")
+        .when(F.col("length") > max_bytes, "too long").otherwise("unreadable").alias("problem"),
+    )
+    return read.unionByName(rest)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, line, after_end) of line files.
 

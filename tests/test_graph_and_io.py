@@ -141,6 +141,37 @@ def test_scan_text_files(spark, tmp_path):
     assert [os.path.basename(r["path"]) for r in skipped.collect()] == ["c.pdf"]
 
 
+def test_decode_files(spark, scratch, tmp_path):
+    """A file is a row whatever happens to it: decoded, empty with a problem, or left out by its suffix."""
+    (tmp_path / "sub").mkdir()
+    files = {"a.TXT": "ü\r\n".encode(), "sub/b.md": b"\xff\xfe", "c.pdf": b"%PDF", "d.exe": b"x", "e.txt": b"",
+             "f.odt": b"odt", "g.rtf": b"broken", "h.txt": b"long" * 100, "i.csv": b"a,b", "k.own": b"0a", "l.doc": b"none"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    # A checksum of other bytes makes the file system fail on this file.
+    (tmp_path / ".i.csv.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")
+
+    def strict(content):
+        if content == b"broken":
+            raise ValueError("no end" + "." * 500)
+        return content.decode()
+
+    found = S.decode_files(spark, str(tmp_path), scratch, {
+        ".odt": strict, ".rtf": strict, ".own": lambda b: bytes.fromhex(b.decode()).decode(), ".doc": lambda b: None,
+    }, max_bytes=100)
+    rows = {os.path.basename(r["path"]): (r["text"], r["problem"]) for r in found.collect()}
+    assert found.count() == len(rows)
+    assert rows.pop("b.md")[1].startswith("UnicodeDecodeError: ")
+    text, problem = rows.pop("g.rtf")
+    assert text == "" and problem.startswith("ValueError: no end.") and len(problem) == S.MAX_PROBLEM
+    assert rows == {
+        "a.TXT": ("ü\r\n", None), "c.pdf": ("", "no decoder"), "f.odt": ("odt", None),
+        "h.txt": ("", "too long"), "i.csv": ("", "unreadable"), "k.own": ("\n", None), "l.doc": ("", None),
+    }
+    (tmp_path / "nothing").mkdir()
+    assert S.decode_files(spark, str(tmp_path / "nothing"), scratch).isEmpty()
+
+
 def test_lines_round_trip(spark, tmp_path):
     (tmp_path / "q.txt").write_text("b\na\n")
     rows = S.read_lines(spark, str(tmp_path / "q.txt")).orderBy("pos").collect()
