@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from kgspark import schemas
 from kgspark.operators import ontology as O
 from kgspark.operators.incremental import build_incremental
+from kgspark.operators.run import ontology_run
 from kgspark.operators.triples import entity_types
 from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import SQL_STAR, SUBCLASS_OF, star_ontology, star_triples
+from kgspark.sources.stages import Stages
 from kgspark.storage import local_table
 
 FIRST = 1_000_000  # seq of the first concept of the delta
@@ -368,6 +370,58 @@ def o11(t):
     return log.select("batch_id", "valid", "n_issues", total.alias("n_classes"))
 
 
+_MARKET = "concat('Market', c_nationkey, initcap(c_mktsegment))"
+
+
+def ask_markets(members):
+    """Every member asks about its market."""
+    return members.select("group_id", "slot", F.expr(
+        f"concat('Which parts do clients of ', {_MARKET}, ' order most?')"
+    ).alias("text"))
+
+
+def propose_markets(batches):
+    """A class per question below Thing, which the first batch brings."""
+    name = F.regexp_extract("text", r"(Market\w+)", 1)
+    parts = [F.struct(F.lit(0).alias("at"), F.lit("class").alias("kind"), name.alias("name"), F.lit(None).cast("string").alias("above")),
+             F.struct(F.lit(1).alias("at"), F.lit("subclass_relation").alias("kind"), name.alias("name"), F.lit("Thing").alias("above"))]
+    thing = F.struct(F.lit(-1).alias("at"), F.lit("class").alias("kind"), F.lit("Thing").alias("name"), F.lit(None).cast("string").alias("above"))
+    rows = batches.select("batch_id", "seq", F.explode(F.when(F.col("seq") == 0, F.array(thing, *parts)).otherwise(F.array(*parts))).alias("c"))
+    is_class = F.col("c.kind") == "class"
+    guide = F.lit(None).cast(schemas.GUIDELINE)
+    return rows.select(
+        "batch_id", (F.col("seq") * 10 + F.col("c.at") + 1).cast("long").alias("seq"), "c.kind",
+        F.when(is_class, F.struct(F.col("c.name").alias("name"), F.lit(None).cast("string").alias("description"), guide.alias("usage_guideline"))).alias("class"),
+        F.when(~is_class, F.struct(F.col("c.name").alias("subclass"), F.col("c.above").alias("superclass"))).alias("subclass_relation"),
+        F.lit(None).cast(schemas.OBJECT_PROPERTY).alias("object_property"),
+        F.lit(None).cast(schemas.DATA_PROPERTY).alias("data_property"),
+    )
+
+
+@query("U7_ontology_run", """
+WITH m AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY 1, 2),
+b AS (SELECT CAST(floor((row_number() OVER (ORDER BY k) - 1) / 4) AS BIGINT) AS batch_id FROM m)
+SELECT batch_id, true AS valid, count(*) AS n_questions, (SELECT count(*) + 1 FROM m) AS n_classes,
+  CAST(0 AS BIGINT) AS reused_first, CAST(7 AS BIGINT) AS reused_second FROM b GROUP BY 1""")
+def u7_run(t):
+    groups = t.customer.selectExpr(
+        "cast(c_custkey as bigint) AS group_id", "element_at(array('low', 'medium', 'high'), cast(c_custkey % 3 + 1 as int)) AS priority",
+        "c_nationkey", "c_mktsegment",
+    )
+    root = t.scratch.new_path("run")
+    runs = []
+    for _ in range(2):
+        stages = Stages(t.spark, root)
+        runs.append(ontology_run(stages, groups, ask_markets, propose_markets, t.scratch))
+    n_classes = runs[1].ontology.classes.agg(F.count(F.lit(1))).scalar()
+    questions = stages.tables["batches"]["rows"].groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    return runs[1].log.join(questions, "batch_id").select(
+        "batch_id", "valid", "n_questions", n_classes.alias("n_classes"),
+        F.lit(sum(runs[0].reused.values())).cast("long").alias("reused_first"),
+        F.lit(sum(runs[1].reused.values())).cast("long").alias("reused_second"),
+    )
+
+
 def star_profile(t):
     # The mapping is a narrow projection: reading it again is cheaper than writing it.
     kg = star_triples(t)
