@@ -7,14 +7,17 @@ function per partition; failed rows, and only these, are sent again.
 
 from __future__ import annotations
 
+import heapq
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kgspark.operators.triples import SPO
+from kgspark.rows import over_rows
 from kgspark.storage import Scratch
 
 # Retry budget of a model call.
@@ -143,6 +146,89 @@ def validate_and_retry(
     return answered, failed
 
 
+# Rows of a task that wait for their next try; no new row is read while there are more.
+MAX_WAITING = 1024
+
+
+def queue_calls(
+    requests: DataFrame,
+    make: Callable[[], Callable[[int, str, int, str | None], str]],
+    scratch: Scratch,
+    check: Callable[[str, str], str | None] | None = None,
+    in_flight: int = 8,
+    tries: int = TRIES,
+    delay: float = DELAY,
+    backoff: float = BACKOFF,
+    max_delay: float = MAX_DELAY,
+    jitter: float = JITTER,
+) -> tuple[DataFrame, DataFrame]:
+    """(answered, failed): calls that may fail, each row with tries and pauses of its own.
+
+    For a model behind a network, whose replies can be judged one by one; a check that
+    needs joins goes to ``validate_and_retry``. ``make`` runs once per task and gives
+    ``call(request_id, request, attempt, errors)``, which threads share; an exception, or
+    a text from ``check(request, response)``, is the fault that the next try is told. A
+    task keeps its rows in a queue by the time of their next try and has at most
+    ``in_flight`` calls open, so a slow or failing row holds up no other. Rows are read
+    only as calls end: memory is bounded by the queue. All outcomes are written once; a
+    lost executor repeats the calls of its unfinished tasks only.
+
+    Both tables have (request_id, request, response, attempt, errors). The response of a
+    failed row is the last reply, null if the last call raised; a null reply is a reply.
+    """
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        call = make()
+        waiting: list[tuple] = []  # (time of the next try, number, request_id, request, attempt, errors)
+        flying = {}
+        source, more, number = iter(rows), True, 0
+
+        def one(request_id, request, attempt, errors):
+            try:
+                reply = call(request_id, request, attempt, errors)
+                return reply, check(request, reply) if check else None
+            except Exception as error:  # a call may fail in any way; the next try is told how
+                return None, f"{type(error).__name__}: {error}"
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            while more or waiting or flying:
+                now = time.monotonic()
+                while len(flying) < in_flight:
+                    if waiting and waiting[0][0] <= now:
+                        state = heapq.heappop(waiting)[2:]
+                    elif more and len(waiting) < MAX_WAITING:
+                        row = next(source, None)
+                        if row is None:
+                            more = False
+                            continue
+                        state = (*row, 1, None)
+                    else:
+                        break
+                    flying[pool.submit(one, *state)] = state
+                due = max(0.0, waiting[0][0] - now) if waiting else None
+                if not flying:
+                    time.sleep(due or 0.0)
+                    continue
+                # With all slots taken only the end of a call lets another one start.
+                done, _ = wait(flying, due if len(flying) < in_flight else None, FIRST_COMPLETED)
+                for future in done:
+                    request_id, request, attempt, _ = flying.pop(future)
+                    reply, fault = future.result()
+                    if fault is None or attempt >= tries:
+                        yield request_id, request, reply, attempt, fault
+                        continue
+                    pause = min(delay * backoff ** (attempt - 1), max_delay) + random.uniform(0, jitter)
+                    number += 1
+                    heapq.heappush(
+                        waiting, (time.monotonic() + pause, number, request_id, request, attempt + 1, fault)
+                    )
+
+    outcomes = scratch.save(over_rows(
+        requests.select(F.col("request_id").cast("long").alias("request_id"), "request"), run,
+        "request_id bigint, request string, response string, attempt int, errors string",
+    ), "calls")
+    return outcomes.where("errors is null"), outcomes.where("errors is not null")
+
+
 def reply_errors(judged: DataFrame) -> DataFrame:
     """(request_id, errors): the messages of each rejected reply as one text.
 

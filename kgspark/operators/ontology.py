@@ -605,6 +605,11 @@ def xsd_of(dtype: str) -> str:
     return XSD_OF_TYPE.get(dtype, "xsd:string")
 
 
+def class_of_table(table: str) -> str:
+    """``line_item`` is the table of class LineItem."""
+    return "".join(word.capitalize() for word in table.split("_"))
+
+
 def ontology_from_tables(
     spark: SparkSession, tables: dict[str, DataFrame], foreign_keys: dict[tuple[str, str], str],
     name: str = "catalog", top: str = "Thing",
@@ -613,16 +618,15 @@ def ontology_from_tables(
 
     Works on the tables' schemas alone; no data is read.
     """
-    pascal = lambda s: "".join(w.capitalize() for w in s.split("_"))
     classes, relations, objects, data = [(top, "any entity", None, 0)], [], [], []
     for seq, (table, df) in enumerate(tables.items(), start=1):
-        cls = pascal(table)
+        cls = class_of_table(table)
         classes.append((cls, f"row of {table}", None, seq))
         relations.append((cls, top, seq))
         for pos, (column, dtype) in enumerate(df.dtypes):
             at = (seq << 32) + pos
             if (table, column) in foreign_keys:
-                target = pascal(foreign_keys[(table, column)])
+                target = class_of_table(foreign_keys[(table, column)])
                 objects.append((column, f"{table}.{column}", [cls], [target], [], None, at))
             else:
                 data.append((column, f"{table}.{column}", [cls], xsd_of(dtype), [], None, at))

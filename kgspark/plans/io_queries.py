@@ -1,9 +1,11 @@
 """SRC1-SRC6, SNK1-SNK7: files that Spark writes from the tables, read back."""
 
 import gzip
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from kgspark import schemas
 from kgspark.operators import hierarchy as H
 from kgspark.operators import text as X
 from kgspark.operators.ontology import all_properties, class_names
@@ -12,7 +14,7 @@ from kgspark.plans.ontology_queries import SQL_CLEAN, part_ontology
 from kgspark.plans.question_queries import questions
 from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import (
-    SQL_RAW, SQL_STAR, dimension_triples, line_triples, order_triples, raw_triples, star_triples,
+    SQL_RAW, SQL_STAR, dimension_triples, line_triples, make_ontology, order_triples, raw_triples, star_triples,
 )
 from kgspark.skew import dense_index
 from kgspark.sources import files as S
@@ -116,6 +118,34 @@ def snk1(t):
     )
 
 
+@query("SNK1_write_ontology_document", """
+SELECT 'class' AS kind, count(*) AS n, min('part_' || p_partkey) AS first_name, count(DISTINCT p_name) AS n_texts FROM part
+UNION ALL SELECT 'relation', count(*), min('part_' || p_partkey), count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'document', 1, 'parts', 0""")
+def snk1_document(t):
+    """A class per part, written as one document of any size and read back."""
+    rows = t.part.selectExpr("concat('part_', p_partkey) AS name", "p_name", "p_brand", "p_partkey AS seq")
+    empty = make_ontology(t.spark, "parts", [], [], [], [])
+    onto = replace(
+        empty,
+        classes=rows.selectExpr("name", "p_name AS description", f"cast(null as {schemas.GUIDELINE}) AS usage_guideline", "seq"),
+        subclass_of=rows.selectExpr("name AS subclass", "p_brand AS superclass", "seq"),
+    )
+    path = t.scratch.new_path("document")
+    S.write_ontology_document(onto, path)
+    back, _ = S.read_ontology(t.spark, path)
+
+    def told(table, kind, name, text):
+        return table.agg(n_rows(), F.min(name).alias("first_name"), F.countDistinct(text).alias("n_texts")).withColumn("kind", F.lit(kind))
+
+    documents = t.spark.read.text(path, wholetext=True).agg(n_rows()).select(
+        "n", F.lit(back.name).alias("first_name"), F.lit(0).cast("long").alias("n_texts"), F.lit("document").alias("kind")
+    )
+    return told(back.classes, "class", "name", "description").unionByName(
+        told(back.subclass_of, "relation", "subclass", "superclass")
+    ).unionByName(documents).select("kind", "n", "first_name", "n_texts")
+
+
 @query("SNK2_write_kg", f"""WITH {SQL_STAR}
 SELECT 'star' AS kg_name, p AS predicate, count(*) AS n, CAST(sum(q) AS BIGINT) AS seq_sum FROM kg GROUP BY 2""")
 def snk2(t):

@@ -131,6 +131,37 @@ def u4(t):
     return both.groupBy("outcome", "attempt").agg(n_rows(), F.sum("request_id").alias("key_sum"))
 
 
+def busy_model():
+    """A call per order that times out at first for some, answers late for others, or never right."""
+    def make():
+        def call(request_id, request, attempt, errors):
+            if request_id % 7 == 0 and attempt == 1:
+                raise TimeoutError("busy")
+            if request_id % 50 == 0:
+                return "?"
+            return json.loads(request)["o_orderstatus"] if request_id % 7 or errors == "TimeoutError: busy" else "?"
+
+        return call
+
+    return make
+
+
+@query("U4_queue_calls", """
+SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'failed' ELSE 'answered' END AS outcome,
+  CAST(CASE WHEN o_orderkey % 50 = 0 THEN 3 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt,
+  CASE WHEN o_orderkey % 50 = 0 THEN '?' ELSE o_orderstatus END AS response,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'no status: ?' END AS errors,
+  count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY ALL""")
+def u4_queue(t):
+    requests = U.render_requests(t.orders.withColumnRenamed("o_orderkey", "request_id"), "status", ["o_orderstatus"])
+    answered, failed = U.queue_calls(
+        requests, busy_model(), t.scratch, tries=3, delay=0.001, jitter=0.0,
+        check=lambda request, reply: None if reply in ("F", "O", "P") else f"no status: {reply}",
+    )
+    both = answered.withColumn("outcome", F.lit("answered")).unionByName(failed.withColumn("outcome", F.lit("failed")))
+    return both.groupBy("outcome", "attempt", "response", "errors").agg(n_rows(), F.sum("request_id").alias("key_sum"))
+
+
 def term_model():
     """Names long words as terms, and gives the length of those it is told are known."""
     def make():

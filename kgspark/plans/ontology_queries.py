@@ -11,9 +11,10 @@ from kgspark import schemas
 from kgspark.operators import ontology as O
 from kgspark.operators.incremental import build_incremental
 from kgspark.operators.run import ontology_run
-from kgspark.operators.triples import entity_types
+from kgspark.operators.triples import entity_types, validate
 from kgspark.plans.registry import n_rows, query
 from kgspark.plans.star import SQL_STAR, SUBCLASS_OF, star_ontology, star_triples
+from kgspark.sources.mapping import schema_facts, triples_from_table, triples_from_tables
 from kgspark.sources.stages import Stages
 from kgspark.storage import local_table
 
@@ -449,6 +450,48 @@ def o12(t):
     return rows.select("name", "kind", F.array_join("domain", ",").alias("domain"), F.array_join("range", ",").alias("range"))
 
 
+# Keys of the tables, and what their foreign keys point to.
+TABLE_KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+    "part": "p_partkey", "orders": "o_orderkey",
+}
+FOREIGN_KEYS = {
+    ("nation", "n_regionkey"): "region", ("customer", "c_nationkey"): "nation",
+    ("supplier", "s_nationkey"): "nation", ("orders", "o_custkey"): "customer",
+}
+SQL_BY_SCHEMA = " UNION ALL ".join(
+    [f"SELECT 'isA' AS p, '{table.capitalize()}' AS o FROM {table}" for table in TABLE_KEYS]
+    + [
+        f"SELECT '{column}', '{FOREIGN_KEYS.get((table, column), '')}' || CAST({column} AS VARCHAR) FROM {table}"
+        for table, columns in {
+            "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+            "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+            "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+            "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+            "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        }.items() for column in columns.split()
+    ]
+)
+
+
+@query("O12_rows_by_schema", f"""WITH f AS ({SQL_BY_SCHEMA})
+SELECT p AS predicate, CASE WHEN p = 'isA' THEN NULL WHEN p IN ('n_regionkey', 'c_nationkey', 's_nationkey', 'o_custkey') THEN 'object' ELSE 'data' END AS kind,
+  CAST(NULL AS VARCHAR) AS error_code, count(o) AS n, count(DISTINCT o) AS n_objects FROM f GROUP BY 1, 2""")
+def o12_rows(t):
+    """Rows of all tables as triples, judged by the ontology that the tables' schemas give."""
+    tables = {name: getattr(t, name) for name in TABLE_KEYS}
+    onto = O.ontology_from_tables(t.spark, tables, FOREIGN_KEYS)
+    kg = triples_from_tables([
+        triples_from_table(df, schema_facts(name, df, TABLE_KEYS[name], FOREIGN_KEYS), "0", f"{TABLE_KEYS[name]} * 16L")
+        for name, df in tables.items()
+    ])
+    kinds = O.all_properties(onto).select(F.col("name").alias("predicate"), "kind")
+    judged = validate(kg, onto, t.scratch).groupBy("predicate", "error_code").agg(
+        n_rows(), F.countDistinct("object").alias("n_objects")
+    )
+    return judged.join(kinds, "predicate", "left").select("predicate", "kind", "error_code", "n", "n_objects")
+
+
 @query("G22_ontology_metrics", f"""WITH {SQL_STAR}, {SQL_PROFILE}, k AS (SELECT p, count(rc) > 0 AS ob FROM prof GROUP BY p)
 SELECT CAST({len(set(c for e in SUBCLASS_OF for c in e))} AS BIGINT) AS classes, count(*) FILTER (ob) AS object_properties, count(*) FILTER (NOT ob) AS data_properties FROM k""")
 def g22(t):

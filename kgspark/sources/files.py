@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,8 @@ from kgspark import schemas
 from kgspark.operators.ontology import Ontology
 from kgspark.operators.triples import SPO, to_digraph_edges
 from kgspark.rows import over_rows
-from kgspark.storage import Scratch, path_exists
+from kgspark.skew import dense_index
+from kgspark.storage import Scratch, hadoop_path, local_table, path_exists
 
 # File suffixes that count as text sources.
 TEXT_SUFFIXES = [
@@ -179,18 +181,72 @@ def write_ontology(onto: Ontology, path: str) -> None:
 
 
 def write_ontology_document(onto: Ontology, path: str) -> None:
-    """One JSON document, as other programs exchange it. It is a single row: for
-    ontologies of any size use ``write_ontology``."""
-    lists = []
-    for section, attribute in SECTIONS.items():
+    """One JSON document, as other programs exchange it: the only file of the folder ``path``.
+
+    No row holds more than one concept, so an ontology may be of any size. Each concept
+    is a line, in the order of its section, then ``seq``, then JSON; the lines are
+    written as range-sorted part files, which ``join_parts`` makes one file.
+    """
+    spark = onto.classes.sparkSession
+    # Rows of the document: an opening for each section, its items, and the end.
+    openings = [f'"{section}": [' for section in SECTIONS]
+    openings = [f'{{"name": {json.dumps(onto.name)}, {openings[0]}'] + [f"], {o}" for o in openings[1:]] + ["]}"]
+    rows = local_table(
+        spark, [(place, True, None, text) for place, text in enumerate(openings)],
+        "place int, opens boolean, at long, line string",
+    )
+    for place, attribute in enumerate(SECTIONS.values()):
         table = getattr(onto, attribute)
-        fields = [c for c in table.columns if c != "seq"]
-        items = table.agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("row")))), lambda x: x["row"]
+        item = F.to_json(F.struct(*[c for c in table.columns if c != "seq"]), {"ignoreNullFields": "false"})
+        rows = rows.unionByName(table.select(
+            F.lit(place).alias("place"), F.lit(False).alias("opens"), F.col("seq").alias("at"), item.alias("line")
         ))
-        lists.append(items.scalar().alias(section))
-    document = onto.classes.sparkSession.range(1).select(F.lit(onto.name).alias("name"), *lists)
-    document.select(F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"})).write.text(path)
+    with Scratch(spark) as scratch:
+        order = [F.asc("place"), F.desc("opens"), F.asc("at"), F.asc("line")]
+        numbered = scratch.save(dense_index(rows, order, "number", scratch), "lines")
+        # Five rows; the line behind an opening has no comma before it.
+        firsts = [r["number"] + 1 for r in numbered.where("opens").select("number").collect()]
+        comma = F.when(F.col("opens") | F.col("number").isin(firsts), "").otherwise(",")
+        parts = scratch.new_path("parts")
+        write_lines(numbered.withColumn("line", F.concat(comma, "line")), "line", parts, [F.col("number")])
+        join_parts(spark, parts, f"{path}/part-00000.json")
+
+
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder, in order, as one file, which gets its name when it is whole.
+
+    A file system that can concatenate files (HDFS) moves no bytes; elsewhere they
+    pass through a buffer of a megabyte.
+    """
+    fs, source = hadoop_path(spark, folder)
+    target_fs, target = hadoop_path(spark, path)
+    _, unfinished = hadoop_path(spark, f"{path}.unfinished")
+    names = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+    # More than 99,999 parts have longer numbers, which names do not sort by.
+    names.sort(key=lambda p: (int(p.getName().split("-")[1].split(".")[0]), p.getName()))
+    target_fs.mkdirs(target.getParent())
+    jvm = spark.sparkContext._jvm
+    if names and fs.getUri().toString() == target_fs.getUri().toString() and fs.getScheme() == "hdfs":
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names) - 1)
+        for i, name in enumerate(names[1:]):
+            rest[i] = name
+        if len(rest):
+            fs.concat(names[0], rest)
+        fs.rename(names[0], unfinished)
+    else:
+        out = target_fs.create(unfinished, True)
+        try:
+            for name in names:
+                part = fs.open(name)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+    target_fs.delete(target, False)
+    if not target_fs.rename(unfinished, target):
+        raise OSError(f"cannot rename {unfinished} to {target}")
 
 
 def write_ontology_tables(onto: Ontology, path: str) -> None:

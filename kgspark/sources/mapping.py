@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.functions.scalars import to_snake_case
+from kgspark.operators.ontology import class_of_table
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,20 @@ def triples_from_table(df: DataFrame, facts: list[Fact], batch_id: str, first_se
     )
 
 
+def schema_facts(table: str, df: DataFrame, key: str, foreign_keys: dict[tuple[str, str], str]) -> list[Fact]:
+    """Facts of a table by its schema alone, as ``ontology_from_tables`` describes them.
+
+    A row is an entity of its table's class; a foreign key names a row of the table it
+    points to, by that table's key; other columns are values. A null gives no triple.
+    """
+    me = entity(table, key)
+    facts = [Fact(me, "isA", f"'{class_of_table(table)}'")]
+    for column in df.columns:
+        target = foreign_keys.get((table, column))
+        facts.append(Fact(me, column, entity(target, column) if target else column))
+    return facts
+
+
 def triples_from_tables(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 from functools import reduce
 
 import pandas as pd
@@ -264,6 +265,29 @@ def test_ontology_round_trip(spark, base, tmp_path):
         assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
 
 
+def test_large_ontology_document(spark, tmp_path):
+    """Many part files, repeated rows, an empty section and names that JSON escapes, in order."""
+    names = [f'C"{i % 300}\\ä' for i in range(400)]
+    onto = make_ontology(spark, 'n"1', names, [(n, "Top") for n in names], [], [("hasX", ["Top"])])
+    path = tmp_path / "onto"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        S.write_ontology_document(onto, str(path))
+        S.write_ontology_document(onto, str(path))  # written again: replaced
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [p for p in path.iterdir() if not p.name.startswith(".")]
+    document = json.loads(files[0].read_text())
+    assert len(files) == 1 and document["name"] == 'n"1' and document["object_properties"] == []
+    assert [c["name"] for c in document["classes"]] == names
+    assert [r["subclass"] for r in document["subclass_relations"]] == names
+    back, broken = S.read_ontology(spark, str(path))
+    assert broken.isEmpty() and [r["name"] for r in back.classes.orderBy("seq").collect()] == names
+    empty = make_ontology(spark, "e", [], [], [], [])
+    S.write_ontology_document(empty, str(tmp_path / "empty"))
+    assert S.read_ontology(spark, str(tmp_path / "empty"))[0].name == "e"
+
+
 def test_kg_documents(spark, tmp_path):
     (tmp_path / "good.json").write_bytes(
         b'{"name": "g",\n "triplets": [{"subject": "a\xff", "predicate": "p", "object": "b"}]}'
@@ -316,6 +340,41 @@ def test_retry_sends_only_failed_rows(spark, scratch, tmp_path):
     assert sorted(p.name for p in log.iterdir()) == ["0-1", "1-1", "1-2", "2-1", "3-1", "3-2"]
 
 
+def test_queued_calls_wait_for_no_other_row(spark, scratch, tmp_path):
+    """One row is slow, one fails always, one fails once: each has its own tries and pauses."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def make():
+        def call(request_id, request, attempt, errors):
+            (log / f"{request_id}-{attempt}").write_text(repr((time.monotonic(), errors)))
+            if request_id == 0:
+                time.sleep(1.5)
+            if request_id == 1 or (request_id == 2 and attempt == 1):
+                raise ValueError(f"no {attempt}")
+            return None if request_id == 3 else "bad" if request_id == 4 and not errors else request
+
+        return call
+
+    rows = [(i, None if i == 5 else "x") for i in range(40)] + [(6, "y"), (None, "z")]
+    requests = spark.createDataFrame(rows, "request_id bigint, request string").coalesce(1)
+    answered, failed = U.queue_calls(
+        requests, make, scratch, check=lambda q, r: "was bad" if r == "bad" else None,
+        in_flight=2, tries=25, delay=0.01, max_delay=0.02, jitter=0.0,
+    )
+    got = answered.collect()
+    assert len(got) == 41 and {r["request_id"]: r["attempt"] for r in got if r["attempt"] > 1} == {2: 2, 4: 2}
+    assert all(r["response"] == (None if r["request_id"] == 3 else r["request"]) for r in got)
+    (bad,) = failed.collect()
+    assert tuple(bad) == (1, "x", None, 25, "ValueError: no 25")
+    told = {p.name: eval(p.read_text()) for p in log.iterdir()}
+    assert told["2-2"][1] == "ValueError: no 1" and told["4-2"][1] == "was bad" and "1-26" not in told
+    # All others were called while the slow row was open, and pauses were kept.
+    assert max(at for at, _ in told.values()) < told["0-1"][0] + 1.5
+    assert told["1-3"][0] - told["1-2"][0] >= 0.02
+    assert U.queue_calls(requests.limit(0), make, scratch)[0].isEmpty()
+
+
 def test_parse_response(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ('{"a": ',), (None,)], "response string")
     good, bad = U.parse_response(rows, "struct<a:int>")
