@@ -12,12 +12,14 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kgspark.operators.triples import SPO
 from kgspark.rows import over_rows
+from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_keys, lookup_join, too_small
 from kgspark.storage import Scratch
 
 # Retry budget of a model call.
@@ -44,16 +46,29 @@ def render_requests(
     return df.select(F.col(request_id).cast("long").alias("request_id"), F.to_json(F.struct(*parts)).alias("request"))
 
 
-def mentioned_state(chunks: DataFrame, kg: DataFrame, chunk_id: str, text: str) -> DataFrame:
+def mentioned_state(
+    chunks: DataFrame, kg: DataFrame, chunk_id: str, text: str, policy: SkewPolicy = DEFAULT_SKEW
+) -> DataFrame:
     """(chunk_id, subject, predicate, object): known triples of entities a chunk names.
 
     The prior state of a request is limited to entities whose id is a word of
-    the chunk; a lookup by word instead of sending the whole graph each time.
+    the chunk; a lookup by word instead of sending the whole graph each time. A word
+    of very many chunks is split by chunk, and its triples go to each part; as a chunk
+    has a word once, there is none in a small table of chunks.
     """
-    words = chunks.select(
-        F.col(chunk_id), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+"))).alias("subject")
-    )
-    return kg.select(*SPO).join(words, "subject").select(chunk_id, *SPO)
+    def words(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col(chunk_id), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+"))).alias("subject")
+        )
+
+    if too_small(chunks, policy):
+        hot = NO_HOT_KEYS
+    else:
+        # Chunks are sampled before they are cut into words; shares scale to all chunks.
+        part = replace(policy, sample=1.0, min_rows=max(1, int(policy.min_rows * policy.sample)),
+                       rows_per_split=max(1, int(policy.rows_per_split * policy.sample)))
+        hot = hot_keys(words(chunks.sample(fraction=policy.sample, seed=7) if policy.sample < 1.0 else chunks), "subject", part)
+    return lookup_join(words(chunks), kg.select(*SPO), "subject", "inner", hot=hot).select(chunk_id, *SPO)
 
 
 def map_model(

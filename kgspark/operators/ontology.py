@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kgspark import schemas
 from kgspark.functions.scalars import starts_uppercase
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, hot_ends, lookup_join
+from kgspark.skew import DEFAULT_SKEW, NO_HOT_KEYS, SkewPolicy, hot_ends, hot_keys, lookup_join, too_small
 from kgspark.storage import Scratch, local_table
 
 
@@ -270,18 +270,22 @@ def judge_relations(
     subclass already has; it is reported but does not stop the row.
     """
     names = known.select("name_key", F.lit(True).alias("found"))
-    rows = relations.withColumn("name_key", F.lower("subclass"))
-    rows = rows.join(names, "name_key", "left").withColumnRenamed("found", "has_sub")
-    rows = rows.withColumn("name_key", F.lower("superclass"))
-    rows = rows.join(names, "name_key", "left").withColumnRenamed("found", "has_super")
+
+    def look_up(rows: DataFrame, column: Column, table: DataFrame, key: str) -> DataFrame:
+        """Join on ``column`` as ``key``; a class that many relations name is split."""
+        small = too_small(relations, policy) or (n_rows is not None and n_rows < policy.min_rows)
+        hot = NO_HOT_KEYS if small else hot_keys(relations.select(column.alias(key)), key, policy)
+        return lookup_join(rows.withColumn(key, column), table, key, hot=hot)
+
+    rows = look_up(relations, F.lower("subclass"), names, "name_key").withColumnRenamed("found", "has_sub")
+    rows = look_up(rows, F.lower("superclass"), names, "name_key").withColumnRenamed("found", "has_super")
     rows = rows.drop("name_key")
-    rows = rows.join(
-        supers.select(F.col("class_name").alias("subclass"), F.col("supers").alias("sub_supers")),
-        "subclass", "left",
-    ).join(
-        supers.select(F.col("class_name").alias("superclass"), F.col("supers").alias("super_supers")),
-        "superclass", "left",
-    )
+    rows = look_up(rows, F.col("subclass"), supers.select(
+        F.col("class_name").alias("subclass"), F.col("supers").alias("sub_supers")
+    ), "subclass")
+    rows = look_up(rows, F.col("superclass"), supers.select(
+        F.col("class_name").alias("superclass"), F.col("supers").alias("super_supers")
+    ), "superclass")
     circular = F.coalesce(F.arrays_overlap("sub_supers", "super_supers"), F.lit(False))
     rows = rows.withColumn(
         "code",

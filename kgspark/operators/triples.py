@@ -351,7 +351,13 @@ def accept_batches(
         ).select("subject", "batch_id", F.col("d.seq").alias("own_seq"), F.col("d.object").alias("own_class")),
         "own_types",
     )
-    isa = rows.where(F.col("predicate") == IS_A).join(own, ["subject", "batch_id"], "left")
+    # One entity's isA rows in one batch may be any share of all: such pairs are split.
+    pair = F.struct("subject", "batch_id").alias("_own")
+    isa = lookup_join(
+        rows.where(F.col("predicate") == IS_A).withColumn("_own", pair),
+        own.where("subject is not null").select(pair, "own_seq", "own_class"), "_own", policy=policy,
+        hot=NO_HOT_KEYS if hot["subject"] is NO_HOT_KEYS else None,
+    ).drop("_own")
     isa = isa.withColumn("object_class", F.col("object"))
     isa = scratch.save(_join_supers(isa, rules, "object_class", "object_type_supers"), "isa")
 
@@ -379,7 +385,8 @@ def accept_batches(
 
     def types_before(state: DataFrame) -> DataFrame:
         """(subject, def_batch, earlier_class): first type by an accepted batch."""
-        first = own.join(state.where("accepted"), "batch_id").groupBy("subject").agg(
+        mine = lookup_join(own, state.where("accepted"), "batch_id", "inner", hot=hot["batch_id"])
+        first = mine.groupBy("subject").agg(
             F.min(F.struct("batch_id", "own_class")).alias("d")
         ).select("subject", F.col("d.batch_id").alias("from_batch"), F.col("d.own_class").alias("from_class"))
         if prior is None:
@@ -433,6 +440,7 @@ def accept_batches(
     ends = scratch.save(isa.select(F.col("subject").alias("entity"), "batch_id").unionByName(
         facts.select(F.explode(asked).alias("entity"), "batch_id")
     ).distinct(), "ends")
+    hot_entities = hot_ends(ends, ["entity"], scratch, policy)["entity"]  # named by many batches
     while True:
         changed = after.join(state.withColumnRenamed("accepted", "before"), "batch_id").where(
             "accepted != before"
@@ -447,7 +455,8 @@ def accept_batches(
             "not (def_batch <=> old_batch and earlier_class <=> old_class)"
         ).select(F.col("subject").alias("entity"))
         touched = scratch.save(
-            ends.join(scratch.save(moved, "moved"), "entity", "left_semi").select("batch_id").distinct(), "touched"
+            lookup_join(ends, scratch.save(moved, "moved"), "entity", "left_semi", hot=hot_entities)
+            .select("batch_id").distinct(), "touched"
         )
         again = verdicts(judge(
             lookup_join(isa, touched, "batch_id", "left_semi", hot=hot["batch_id"]),

@@ -121,10 +121,14 @@ def t6(t):
     return T.validation_report(judged_raw(t))
 
 
-@query("T7_accept_batches", f"""WITH {SQL_RAW}, {sql_judge(False)},
+# Batches of orders come in chains of four, each order following the one before.
+SQL_ACCEPTED = f"""{SQL_RAW}, {sql_judge(False)},
 own AS (SELECT b, bool_or(code IS NOT NULL AND NOT (p = 'followsOrder' AND code IN ('object_untyped', 'domain_range_mismatch'))) AS bad FROM v GROUP BY b),
 acc AS (SELECT b, CASE WHEN b < 4 THEN NOT bad ELSE
-  NOT EXISTS (SELECT 1 FROM own x WHERE x.b BETWEEN own.b - (own.b - 4) % 4 AND own.b AND x.bad AND x.b >= 4) END AS accepted FROM own)
+  NOT EXISTS (SELECT 1 FROM own x WHERE x.b BETWEEN own.b - (own.b - 4) % 4 AND own.b AND x.bad AND x.b >= 4) END AS accepted FROM own)"""
+
+
+@query("T7_accept_batches", f"""WITH {SQL_ACCEPTED}
 SELECT accepted, count(*) AS n, CAST(sum(b) AS BIGINT) AS batch_sum FROM acc GROUP BY 1""")
 def t7(t):
     raw = t.scratch.save(raw_triples(t), "raw")
@@ -171,6 +175,23 @@ def t10(t):
     )
 
 
+SQL_ACCEPTED_ROWS = "SELECT DISTINCT s, p, o FROM kg JOIN acc USING (b) WHERE accepted"
+
+
+@query("T10_epochs_batch_mode", f"""WITH {SQL_ACCEPTED}
+SELECT p AS predicate, count(*) AS n, min(s) AS first_subject, max(o) AS last_object FROM ({SQL_ACCEPTED_ROWS}) GROUP BY 1""")
+def t10_batches(t):
+    """First the tables' own batches, then all batches, each taken or refused as a whole."""
+    raw = t.scratch.save(raw_triples(t), "raw")
+    kg, _ = T.run_epochs(
+        lambda kg, epoch: raw.where("batch_id < 4") if epoch == 0 else raw, raw.where(F.lit(False)),
+        star_ontology(t.spark), t.scratch, epochs=3, mode="batch",
+    )
+    return kg.groupBy("predicate").agg(
+        n_rows(), F.min("subject").alias("first_subject"), F.max("object").alias("last_object")
+    )
+
+
 @query("T11_epoch_progress", f"""WITH {SQL_STAR},
 k AS (SELECT *, CASE WHEN p IN ('containsPart', 'shippedBy') THEN 2 WHEN b >= 4 THEN 1 ELSE 0 END AS e FROM kg),
 f AS (SELECT e, count(*) AS fresh FROM (SELECT DISTINCT s, p, o, e FROM k) GROUP BY e),

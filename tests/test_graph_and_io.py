@@ -375,6 +375,18 @@ def test_queued_calls_wait_for_no_other_row(spark, scratch, tmp_path):
     assert U.queue_calls(requests.limit(0), make, scratch)[0].isEmpty()
 
 
+def test_state_of_split_words(spark):
+    """Words of many chunks are split; a hub keeps all its triples in every chunk."""
+    chunks = spark.createDataFrame([(i, f"hub and word_{i % 3} HUB") for i in range(60)] + [(99, None)], "id long, text string")
+    kg = spark.createDataFrame(
+        [("hub", "isA", "Thing"), ("hub", "p", "x"), ("word_1", "p", "y"), ("other", "p", "z")],
+        "subject string, predicate string, object string",
+    )
+    plain = U.mentioned_state(chunks, kg, "id", "text").collect()
+    split = U.mentioned_state(chunks, kg, "id", "text", SkewPolicy(min_rows=5, rows_per_split=4, sample=1.0))
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain)) and len(plain) == 60 * 2 + 20
+
+
 def test_parse_response(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ('{"a": ',), (None,)], "response string")
     good, bad = U.parse_response(rows, "struct<a:int>")
