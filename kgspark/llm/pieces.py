@@ -7,6 +7,13 @@ piece scores is traced back. A character that no piece covers gets the score of
 the least piece less 10 and becomes its UTF-8 byte pieces, so every text can be
 encoded and decoded without loss.
 
+The file holds merge ranks, whose sums mean nothing to a lattice. Scores are
+therefore log-probabilities of the pieces: ``piece_scores`` counts, over all
+documents, how often the library's own encoder uses each piece (words are counted
+in the task, and each distinct word is encoded once; one small aggregate of a row
+per piece and task), adds one to each count and takes the logarithm of its share.
+As many numbers as the vocabulary has pieces come to the driver and go to tasks.
+
 Spaces become the mark U+2581 and one mark goes before a text, as the library
 does with these files. No piece of the vocabulary crosses from a non-space into
 a space or holds a line break (checked when the file is read), so the best path
@@ -21,13 +28,15 @@ repeated rows are encoded each; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import ahocorasick
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from kgspark.llm.common import Recent, map_rows, utf8
 
@@ -37,13 +46,15 @@ LEFT_OUT = -1e8  # control pieces and runs of marks have scores below this
 UNKNOWN_PENALTY = 10.0
 KEPT_WORDS = 100_000
 KEPT_LENGTH = 64
+KEPT_TEXT = 64 << 20  # characters whose words are counted before they are encoded
 RUN = re.compile(r" *[^ \n]+| +|\n+")
 
 
 class Pieces:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary file, with the file's own scores or given ones."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: bytes | None = None):
+        given = None if scores is None else array("d", scores)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.automaton = ahocorasick.Automaton()
         self.byte_ids = [0] * 256
@@ -51,7 +62,7 @@ class Pieces:
         self.single: set[str] = set()
         lowest = 0.0
         for i in range(model.get_piece_size()):
-            piece, score = model.id_to_piece(i), model.get_score(i)
+            piece, score = model.id_to_piece(i), model.get_score(i) if given is None else given[i]
             if model.is_byte(i):
                 value = int(piece[1:-1], 16)
                 self.byte_ids[value] = i
@@ -136,23 +147,66 @@ class Pieces:
         return b"".join([out[i] for i in array("I", ids)])[1:].decode()
 
 
-_open: dict[str, Pieces] = {}
+_open: dict[tuple[str, bytes | None], Pieces] = {}
+
+
+def pieces_of(path: str, scores: bytes | None = None) -> Pieces:
+    """The encoder of a worker process for a file and its scores; the last one is kept."""
+    if (path, scores) not in _open:
+        _open.clear()
+        _open[path, scores] = Pieces(path, scores)
+    return _open[path, scores]
 
 
-def pieces_of(path: str) -> Pieces:
-    """One encoder per worker process and file."""
-    if path not in _open:
-        _open[path] = Pieces(path)
-    return _open[path]
+def piece_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(piece, n): how often the library's encoder uses each piece in all texts.
 
+    Words stand between spaces and line breaks; a space is part of the word behind it.
+    """
+    def run(rows):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        used, words = Counter(), Counter()
+
+        def flush():
+            for word, n in words.items():
+                for piece in model.encode(word):
+                    used[piece] += n
+            words.clear()
+
+        held = 0
+        for (text,) in rows:
+            text = text.decode()
+            used[model.piece_to_id("<0x0A>")] += text.count("\n")
+            words.update(text.replace("\n", " ").split(" "))
+            held += len(text)
+            if len(words) >= KEPT_WORDS or held >= KEPT_TEXT:
+                flush()
+                held = 0
+        flush()
+        yield from used.items()
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+    counts = map_rows(docs.select(utf8()), run, "piece int, n bigint")
+    return counts.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def piece_scores(docs: DataFrame, path: str) -> bytes:
+    """Log-probabilities of all pieces of a file, as packed doubles by piece id."""
+    size = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
+    counts = {row["piece"]: row["n"] for row in piece_counts(docs, path).collect()}
+    total = math.log(sum(counts.values()) + size)
+    return array("d", (math.log(counts.get(i, 0) + 1) - total for i in range(size))).tobytes()
+
+
+def encode(docs: DataFrame, path: str, scores: bytes | None = None) -> DataFrame:
     """(doc_id, n_tokens, score, ids, round_trip): ids of each whole text.
 
-    ``round_trip`` tells whether the ids decode to the text.
+    ``round_trip`` tells whether the ids decode to the text. Without ``scores`` those
+    of ``docs`` are counted first, which reads the texts once more.
     """
+    scores = piece_scores(docs, path) if scores is None else scores
+
     def run(rows):
-        pieces = pieces_of(path)
+        pieces = pieces_of(path, scores)
         for doc_id, text in rows:
             text = text.decode()
             ids, score = pieces.encode(text)
@@ -165,10 +219,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, scores: bytes | None = None) -> DataFrame:
     """(doc_id, n_tokens, score, ids_crc32, decoded_sha256, round_trip), without the ids."""
+    scores = piece_scores(docs, path) if scores is None else scores
+
     def run(rows):
-        pieces = pieces_of(path)
+        pieces = pieces_of(path, scores)
         for doc_id, text in rows:
             ids, score = pieces.encode(text.decode())
             back = pieces.decode(ids).encode()

@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -44,6 +45,44 @@ def test_pieces_take_the_best_path(text):
     assert encoder.encode(text)[1] == pytest.approx(best[-1])
 
 
+def test_pieces_of_whole_documents(spark):
+    """Counts equal the library's over whole texts, the best path equals a search over all
+    pieces at all positions, and there are no more ids than the library gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id <= 40").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    scores = np.frombuffer(pieces.piece_scores(docs, VOCABULARY), "<f8")
+    assert np.exp(scores).sum() == pytest.approx(1)
+    counts = {r["piece"]: r["n"] for r in pieces.piece_counts(docs, VOCABULARY).collect()}
+    words = [w for t in texts.values() for w in re.split("[ \n]", t)]
+    assert sum(counts.values()) == sum(len(model.encode(w)) for w in words) + sum(t.count("\n") for t in texts.values())
+    known = {}
+    for i in range(model.get_piece_size()):
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            known[model.id_to_piece(i)] = scores[i]
+    longest, unknown = max(map(len, known)), min(known.values()) - pieces.UNKNOWN_PENALTY
+
+    def best_score(text):
+        marked = (" " + text).replace(" ", pieces.MARK)
+        best = [0.0] + [float("-inf")] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = known.get(marked[start:end])
+                if piece is not None:
+                    best[end] = max(best[end], best[start] + piece)
+            if marked[end - 1] not in known:
+                best[end] = max(best[end], best[end - 1] + unknown)
+        return best[-1]
+
+    got = pieces.encode(docs, VOCABULARY).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert row["round_trip"]
+        if texts[row["doc_id"]] and pieces.MARK not in texts[row["doc_id"]]:
+            assert row["score"] == pytest.approx(best_score(texts[row["doc_id"]]))
+    assert sum(r["n_tokens"] for r in got) <= sum(len(model.encode(t)) for t in texts.values())
+
+
 def test_pieces_of_a_table(spark):
     rows = [(1, "The thing. The end"), (2, None), (3, ""), (None, "▁x ▁"), (5, "z" * 70000 + " y"), (1, "The thing. The end")]
     docs = spark.createDataFrame([(i, t, [1], 2) for i, t in rows], "doc_id bigint, text string, ids array<int>, n_tokens int")
