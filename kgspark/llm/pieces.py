@@ -33,8 +33,10 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -44,8 +46,10 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LEFT_OUT = -1e8  # control pieces and runs of marks have scores below this
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 100_000
+LEAST = float("-inf")
+KEPT_WORDS = 250_000
 KEPT_LENGTH = 64
+COUNTED_WORDS = 200_000
 KEPT_TEXT = 64 << 20  # characters whose words are counted before they are encoded
 RUN = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -83,26 +87,22 @@ class Pieces:
     def best_path(self, text: str) -> tuple[bytes, float]:
         """Ids (packed 32-bit) and score of the best path of a text in marks."""
         n = len(text)
-        best = [float("-inf")] * (n + 1)
+        best = [LEAST] * (n + 1)
         back = [None] * (n + 1)
         best[0] = 0.0
-        single, unknown = self.single, self.unknown
-        gaps = [i for i, c in enumerate(text) if c not in single]
-        gap, n_gaps = 0, len(gaps)
-        for end, (length, piece, score) in self.automaton.iter(text):
-            while gap < n_gaps and gaps[gap] <= end:
-                self._relax_unknown(best, back, gaps[gap], unknown)
-                gap += 1
-            total = best[end + 1 - length] + score
-            if total > best[end + 1]:
-                best[end + 1] = total
-                back[end + 1] = (length, piece)
-        for i in gaps[gap:]:
-            self._relax_unknown(best, back, i, unknown)
+        if self.single.issuperset(text):
+            for end, hit in self.automaton.iter(text):
+                end += 1
+                total = best[end - hit[0]] + hit[2]
+                if total > best[end]:
+                    best[end] = total
+                    back[end] = hit
+        else:
+            self._relax_with_gaps(text, best, back)
         ids: list[int] = []
         i = n
         while i:
-            length, piece = back[i]
+            length, piece, _ = back[i]
             if piece is None:
                 ids.extend(self.byte_ids[b] for b in reversed(text[i - 1].encode()))
             else:
@@ -111,11 +111,27 @@ class Pieces:
         ids.reverse()
         return array("I", ids).tobytes(), best[n]
 
+    def _relax_with_gaps(self, text: str, best: list[float], back: list) -> None:
+        """As above, for a text with characters that no piece covers."""
+        gaps = [i for i, c in enumerate(text) if c not in self.single]
+        gap, n_gaps = 0, len(gaps)
+        for end, hit in self.automaton.iter(text):
+            while gap < n_gaps and gaps[gap] <= end:
+                self._relax_unknown(best, back, gaps[gap], self.unknown)
+                gap += 1
+            end += 1
+            total = best[end - hit[0]] + hit[2]
+            if total > best[end]:
+                best[end] = total
+                back[end] = hit
+        for i in gaps[gap:]:
+            self._relax_unknown(best, back, i, self.unknown)
+
     @staticmethod
     def _relax_unknown(best: list[float], back: list, i: int, score: float) -> None:
         if best[i] + score > best[i + 1]:
             best[i + 1] = best[i] + score
-            back[i + 1] = (1, None)
+            back[i + 1] = (1, None, score)
 
     def _word(self, word: str) -> tuple[bytes, float]:
         found = self.known.old.get(word) or self.best_path(word.replace(" ", MARK))
@@ -165,12 +181,14 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(rows):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        used, words = Counter(), Counter()
+        used = np.zeros(model.get_piece_size(), np.int64)
+        words: Counter = Counter()
 
         def flush():
-            for word, n in words.items():
-                for piece in model.encode(word):
-                    used[piece] += n
+            found = model.encode(list(words), num_threads=1)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int64, lengths.sum())
+            np.add.at(used, ids, np.repeat(np.fromiter(words.values(), np.int64, len(found)), lengths))
             words.clear()
 
         held = 0
@@ -179,11 +197,11 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
             used[model.piece_to_id("<0x0A>")] += text.count("\n")
             words.update(text.replace("\n", " ").split(" "))
             held += len(text)
-            if len(words) >= KEPT_WORDS or held >= KEPT_TEXT:
+            if len(words) >= COUNTED_WORDS or held >= KEPT_TEXT:
                 flush()
                 held = 0
         flush()
-        yield from used.items()
+        yield from ((int(i), int(used[i])) for i in used.nonzero()[0])
 
     counts = map_rows(docs.select(utf8()), run, "piece int, n bigint")
     return counts.groupBy("piece").agg(F.sum("n").alias("n"))
