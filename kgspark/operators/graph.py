@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
-from itertools import count
+from itertools import count, islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.scalars import percent_of_total
@@ -334,72 +336,87 @@ def qgram_filter(query: str, errors: int) -> tuple[list[str], int]:
 def substring_distance(text: Column, query: str) -> Column:
     """Least number of edits that turn the query into some part of the text.
 
-    One pass over the text's characters by bit-parallel dynamic programming (Myers, JACM
-    1999): the differences between neighbouring rows of Sellers' column are the bits
-    of two numbers. Queries of up to ``LONGEST`` characters; null texts give null.
+    One pass over the characters by bit-parallel dynamic programming (Myers, JACM 1999): the
+    differences between neighbouring rows of Sellers' column are the bits of two numbers,
+    and numpy steps through many texts at once. Queries of up to ``LONGEST`` characters;
+    null texts give null.
     """
-    m = len(query)
-    if not 0 < m <= LONGEST:
+    if not 0 < len(query) <= LONGEST:
         raise ValueError(f"a query has 1 to {LONGEST} characters")
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    number = lambda x: F.lit(x).cast("bigint")
-    masks = {c: sum(1 << i for i, d in enumerate(query) if d == c) for c in dict.fromkeys(query)}
-
-    def step(state: Column, c: Column) -> Column:
-        equal = number(0)
-        for letter, mask in masks.items():
-            equal = F.when(c == letter, number(mask)).otherwise(equal)
-        plus, minus = state["plus"], state["minus"]
-        across = equal.bitwiseOR(minus)
-        down = (equal.bitwiseAND(plus) + plus).bitwiseXOR(plus).bitwiseOR(equal)
-        more = minus.bitwiseOR(number(full).bitwiseAND(F.bitwise_not(down.bitwiseOR(plus))))
-        less = plus.bitwiseAND(down)
-        score = state["score"] + F.when(more.bitwiseAND(number(last)) != 0, 1).otherwise(0) - F.when(
-            less.bitwiseAND(number(last)) != 0, 1
-        ).otherwise(0)
-        more = F.shiftleft(more, 1).bitwiseAND(number(full))
-        less = F.shiftleft(less, 1).bitwiseAND(number(full))
-        return F.struct(
-            less.bitwiseOR(number(full).bitwiseAND(F.bitwise_not(across.bitwiseOR(more)))).alias("plus"),
-            more.bitwiseAND(across).alias("minus"), score.cast("int").alias("score"),
-            F.least(state["best"], score).cast("int").alias("best"),
-        )
 
-    start = F.struct(
-        number(full).alias("plus"), number(0).alias("minus"), F.lit(m).alias("score"), F.lit(m).alias("best")
-    )
-    # An empty pattern splits a text into its characters.
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["best"])
+    def distances(texts: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(texts)
+        best = np.append(least_edits(list(values), query), 0)  # the last is for nulls, whose code is -1
+        return pd.Series(pd.arrays.IntegerArray(best[codes].astype(np.int32), codes < 0))
 
+    # Not deterministic for the planner, or it would compare once for a filter and again for its column.
+    return F.pandas_udf(distances, "int").asNondeterministic()(text)
 
-def fuzzy_search(
-    items: DataFrame, fields: list[str], query: str, threshold: float = 0.3, k: int = 10
-) -> DataFrame:
-    """The k best items by how well a field matches, wherever in it: (item columns, score).
 
-    The score is the least number of edits that turn the query into a part of a field,
-    over the query's length; a field that holds the query scores 0. Only fields with
-    enough of the query's grams are compared. Needs a query of two or more characters.
+def least_edits(texts: list[str], query: str, step: int = 256, rows: int = 8192) -> np.ndarray:
+    """Least distance of the query to a part of each text.
+
+    Long texts are cut every ``step`` characters; a best part has at most twice the
+    query's length, and the pieces overlap by that much, so none is lost.
     """
+    m, out = len(query), np.full(len(texts), len(query), np.int64)
+    full, last, one = np.uint64((1 << m) - 1), np.uint64(1 << (m - 1)), np.uint64(1)
+    top = max(map(ord, query)) + 1
+    masks = np.zeros(top + 1, np.uint64)
+    for i, c in enumerate(query):
+        masks[ord(c)] |= np.uint64(1 << i)
+    pieces = ((i, text[at:at + step + 2 * m]) for i, text in enumerate(texts) for at in range(0, len(text), step))
+    while part := list(islice(pieces, rows)):
+        at, cut = np.array([i for i, _ in part]), [piece for _, piece in part]
+        size = np.array([len(piece) for piece in cut])
+        width = size.max()
+        letters = np.array(cut, dtype=f"U{width}").view(np.uint32).reshape(len(cut), width)
+        equals = masks[np.minimum(letters, top)]
+        plus, minus = np.full(len(cut), full), np.zeros(len(cut), np.uint64)
+        score, best = np.full(len(cut), m), np.full(len(cut), m)
+        for j in range(width):
+            equal = equals[:, j]
+            across = equal | minus
+            down = (((equal & plus) + plus) ^ plus) | equal
+            more, less = minus | (full & ~(down | plus)), plus & down
+            score = score + ((more & last) != 0) - ((less & last) != 0)
+            best = np.where(j < size, np.minimum(best, score), best)
+            more, less = (more << one) & full, (less << one) & full
+            plus, minus = less | (full & ~(across | more)), more & across
+        np.minimum.at(out, at, best)
+    return out
+
+
+def fuzzy_matches(items: DataFrame, fields: list[str], query: str, threshold: float = 0.3) -> DataFrame:
+    """The items with a field that matches, wherever in it: (item columns, score), see ``fuzzy_search``."""
     query = query.lower()
     if len(query) < 2:
         return items.where(F.lit(False)).withColumn("score", F.lit(0.0))
     grams, need = qgram_filter(query, int(threshold * len(query) + 1e-9))
-    scores = []
+    may, scores = [], []
     for field in fields:
         text = F.lower(F.col(field))
-        score = substring_distance(text, query) / F.lit(float(len(query)))
         if need:
             held = reduce(lambda a, b: a + b, [F.contains(text, F.lit(g)).cast("int") for g in grams])
-            score = F.when(held >= need, score)
-        scores.append(F.when(text.contains(query), F.lit(0.0)).otherwise(score))
+            may.append(F.coalesce(held >= need, F.lit(False)))
+            text = F.when(may[-1], text)
+        scores.append(substring_distance(text, query) / F.lit(float(len(query))))
+    if need:  # rows without a candidate are not handed to Python
+        items = items.where(reduce(lambda a, b: a | b, may))
     best = scores[0] if len(scores) == 1 else F.least(*scores)
-    return (
-        items.withColumn("score", best)
-        .where(F.col("score") <= threshold)
-        .orderBy("score", *fields)
-        .limit(k)
-    )
+    return items.withColumn("score", best).where(F.col("score") <= threshold)
+
+
+def fuzzy_search(
+    items: DataFrame, fields: list[str], query: str, threshold: float = 0.3, k: int = 10
+) -> DataFrame:
+    """The k best items by how well a field matches, wherever in it: (item columns, score).
+
+    The score is the least number of edits that turn the query into a part of a field,
+    over the query's length; a field that holds the query scores 0. Only fields with
+    enough of the query's grams are compared. Needs a query of two or more characters.
+    """
+    return fuzzy_matches(items, fields, query, threshold).orderBy("score", *fields).limit(k)
 
 
 def search_graph(
@@ -411,9 +428,10 @@ def search_graph(
         hits = fuzzy_search(node_table.select("node", "group"), ["node", "group"], query, threshold, k)
         parts.append(hits.select(F.lit("node").alias("kind"), F.col("node").alias("item"), "score"))
     if scope in ("all", "edges"):
-        hits = fuzzy_search(
-            edges.select("source", "label", "target").distinct(), ["label", "source", "target"], query, threshold, k
-        )
+        # Copies are merged among the matches only.
+        fields = ["label", "source", "target"]
+        hits = fuzzy_matches(edges.select("source", "label", "target"), fields, query, threshold).distinct()
+        hits = hits.orderBy("score", *fields).limit(k)
         item = F.concat_ws(" ", "source", "label", "target").alias("item")
         parts.append(hits.select(F.lit("edge").alias("kind"), item, "score"))
     found = reduce(DataFrame.unionByName, parts)

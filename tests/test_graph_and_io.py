@@ -116,6 +116,20 @@ def test_substring_distance_equals_brute_force(spark):
             assert hits == {i for i, t in enumerate(texts) if least(query, t) / len(query) <= threshold}
 
 
+def test_search_compares_once_and_merges_copies_of_matches_only(spark, capsys):
+    """Many texts are compared at once; long ones in overlapping pieces that lose no part."""
+    text = "x" * 250 + "customer_1" + "y" * 700 + "custmr_1"
+    assert list(G.least_edits([text, "", "custmer_1", text[:253]], "custmer_1", step=16, rows=3)) == [1, 9, 0, 6]
+    items = spark.createDataFrame([("customer_1", "likes", "part_1")] * 3 + [("a", "b", "c")], "source string, label string, target string")
+    hits = G.fuzzy_matches(items, ["label", "source", "target"], "custmer_1")
+    hits.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert hits.count() == 3
+    nodes = spark.createDataFrame([("customer_1", None)], "node string, group string")
+    found = [(r["kind"], r["item"]) for r in G.search_graph(nodes, items, "custmer_1").collect()]
+    assert found == [("node", "customer_1"), ("edge", "customer_1 likes part_1")]
+
+
 def test_views(spark, base, scratch):
     kg = graph(spark, [("jane", "isA", "Writer"), ("emma", "hasAuthor", "jane"), ("emma", "isA", "Novel")])
     nodes, edges = V.combined_graph(base, kg)
