@@ -261,3 +261,21 @@ def test_every_column_becomes_a_property(spark):
     onto = O.ontology_from_tables(spark, {"thing": table}, {})
     got = {r["name"]: r["range"] for r in onto.data_properties.collect()}
     assert got == {"id": "xsd:integer", "price": "xsd:float", "tags": "xsd:string", "m": "xsd:string", "raw": "xsd:string"}
+
+
+def test_profile_merges_the_triples_of_an_object_before_its_type_is_asked(spark, scratch, monkeypatch):
+    """Counts with copies, null and untyped objects; rows are looked up by subject only."""
+    from kgspark.operators import ontology as O
+
+    joined = []
+    plain = O.lookup_join
+    monkeypatch.setattr(O, "lookup_join", lambda left, right, key, *a, **k: joined.append(key) or plain(left, right, key, *a, **k))
+    triples = spark.createDataFrame(
+        [("a", "likes", "hub")] * 3 + [("b", "likes", "hub"), ("c", "likes", "a"), ("a", "named", "A"), ("b", "named", None), ("x", "likes", "hub")],
+        "subject string, predicate string, object string",
+    )
+    types = spark.createDataFrame([("a", "P"), ("b", "P"), ("c", "Q"), ("hub", "H")], "subject string, class_name string")
+    for distinct, n in ((False, 4), (True, 2)):
+        rows = {tuple(r) for r in O.induced_properties(triples, types, scratch, distinct).collect()}
+        assert rows == {("likes", "P", "H", n), ("likes", "Q", "P", 1), ("named", "P", None, 2)}
+    assert joined == ["subject", "subject"]
