@@ -312,3 +312,20 @@ def test_a_stopped_run_goes_on_behind_its_last_pass(spark, base, scratch, tmp_pa
     asked.clear()
     again, _ = run()  # a finished run only reads
     assert asked == [] and flat(again) == flat(whole)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_packed_join_carries_keys_once_and_nulls_are_equal(spark, hot):
+    from kgspark.skew import NO_HOT_KEYS, SkewPolicy, packed_join
+
+    policy = SkewPolicy(min_rows=2, rows_per_split=1, sample=1.0)
+    left = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1), (4, None, 1), (5, "c", 2)], "id long, k string, b long")
+    right = spark.createDataFrame([("a", None, "x"), (None, 1, "y"), ("c", 3, "z")], "k string, b long, v string")
+    with_hot = None if hot else NO_HOT_KEYS
+    met = packed_join(left, right, ["k", "b"], policy=policy, hot=with_hot)
+    assert met.columns == ["id", "k", "b", "v"]
+    assert {(r["id"], r["k"], r["b"], r["v"]) for r in met.collect()} == {
+        (1, "a", None, "x"), (2, "a", None, "x"), (3, "b", 1, None), (4, None, 1, "y"), (5, "c", 2, None),
+    }
+    rest = packed_join(left, right.select("b", "k"), ["k", "b"], "left_anti", policy, with_hot)
+    assert rest.columns == left.columns and {r["id"] for r in rest.collect()} == {3, 5}
