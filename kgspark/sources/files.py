@@ -290,30 +290,45 @@ def write_kg_lines(triples: DataFrame, name: str, path: str, rows_per_document:
 
 def graph_stats(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, nodes, edges) of the digraph with one edge per ordered pair."""
-    edges = to_digraph_edges(triples).select("source", "target", F.coalesce("label", F.lit("")).alias("label"))
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    counts = edges.agg(F.count(F.lit(1)).alias("edges_count")).select(
+    edges = _digraph(triples)
+    nodes = _ends(edges)
+    return _sizes(nodes, edges), nodes, edges
+
+
+def _digraph(triples: DataFrame) -> DataFrame:
+    return to_digraph_edges(triples).select("source", "target", F.coalesce("label", F.lit("")).alias("label"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+
+
+def _sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count(F.lit(1)).alias("edges_count")).select(
         nodes.agg(F.count(F.lit(1))).scalar().alias("nodes_count"), "edges_count"
     )
-    return counts, nodes, edges
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write JSON lines and read them back, so that what is made from them does not compute them again."""
+    df.write.json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
 
 
 def write_graph_stats(triples: DataFrame, path: str) -> None:
-    counts, nodes, edges = graph_stats(triples)
-    counts.write.json(f"{path}/counts")
-    nodes.write.json(f"{path}/nodes")
-    edges.write.json(f"{path}/edges")
+    edges = _written(_digraph(triples), f"{path}/edges")
+    nodes = _written(_ends(edges), f"{path}/nodes")
+    _sizes(nodes, edges).write.json(f"{path}/counts")
 
 
 def write_node_link(triples: DataFrame, path: str) -> None:
     """Node-link tables as JSON lines: head with the flags, nodes, links."""
-    _, nodes, edges = graph_stats(triples)
     spark = triples.sparkSession
     spark.range(1).select(
         F.lit(True).alias("directed"), F.lit(False).alias("multigraph")
     ).write.json(f"{path}/head")
-    nodes.select(F.col("node").alias("id")).write.json(f"{path}/nodes")
-    edges.write.json(f"{path}/links")
+    edges = _written(_digraph(triples), f"{path}/links")
+    _ends(edges).select(F.col("node").alias("id")).write.json(f"{path}/nodes")
 
 
 def write_op_history(

@@ -130,6 +130,23 @@ def test_search_compares_once_and_merges_copies_of_matches_only(spark, capsys):
     assert found == [("node", "customer_1"), ("edge", "customer_1 likes part_1")]
 
 
+def test_graph_stats_compute_the_edges_once(spark, tmp_path):
+    """Counts and nodes come from the written edges; null ends are counted as before."""
+    rows = [("a", "p", "b", 1, 1), ("a", "q", "b", 1, 2), ("b", "p", None, 1, 3), ("a", None, "c", 2, 1)]
+    triples = spark.createDataFrame(rows, "subject string, predicate string, object string, batch_id long, seq long")
+    counts, nodes, edges = (sorted(map(tuple, df.collect()), key=str) for df in S.graph_stats(triples))
+    plain = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda x: plain.add(1) or x, "string").asNondeterministic()
+    S.write_graph_stats(triples.withColumn("subject", once("subject")), str(tmp_path / "stats"))
+    assert plain.value == len(rows)
+    for name, want, schema in (
+        ("counts", counts, "nodes_count long, edges_count long"), ("nodes", nodes, "node string"),
+        ("edges", edges, "source string, target string, label string"),
+    ):
+        got = spark.read.schema(schema).json(str(tmp_path / "stats" / name)).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_views(spark, base, scratch):
     kg = graph(spark, [("jane", "isA", "Writer"), ("emma", "hasAuthor", "jane"), ("emma", "isA", "Novel")])
     nodes, edges = V.combined_graph(base, kg)
