@@ -279,3 +279,20 @@ def test_profile_merges_the_triples_of_an_object_before_its_type_is_asked(spark,
         rows = {tuple(r) for r in O.induced_properties(triples, types, scratch, distinct).collect()}
         assert rows == {("likes", "P", "H", n), ("likes", "Q", "P", 1), ("named", "P", None, 2)}
     assert joined == ["subject", "subject"]
+
+
+def test_no_join_of_the_batches_is_broadcast(spark, scratch):
+    """Their tables grow with the batches and the joins are many, so that broadcasts would add up in the driver."""
+    from kgspark.operators.incremental import _Facts
+
+    batches = scratch.save(random_batches(spark, 2, 4), "batches")
+    facts = _Facts(O.empty_ontology(spark), batches, scratch, SkewPolicy())
+    state = scratch.save(facts.ids.select("batch_id", F.lit(True).alias("valid")), "state")
+    judged = facts.judge(facts.states(state), None)
+    again = facts.judge(facts.states(state), facts.ids)
+    for df in (judged, again, facts.added(facts.classes, state)):
+        assert "SortMergeJoin" in plan_of(df) and "Broadcast" not in plan_of(df)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
