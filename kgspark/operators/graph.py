@@ -8,6 +8,7 @@ window and no cross join occurs.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 from itertools import count, islice
 
@@ -174,8 +175,10 @@ def hub_node(degrees: DataFrame) -> DataFrame:
 class Adjacency:
     """Edges in both directions, bucketed by node once: joins with a set of nodes do not move them.
 
-    Edges of hub nodes, found once, are dealt to parts, so that no bucket holds a hub whole;
-    the few rows of ``hot`` tell how many parts a node has. ``close`` drops the table's entry.
+    They are shuffled once, to their buckets. Copies of an edge stay, as they change no set of
+    next nodes and a shuffle to merge them costs more than they do. Edges of hub nodes, found once,
+    are dealt to parts, so that no bucket holds a hub whole; the few rows of ``hot`` tell how many
+    parts a node has. ``close`` drops the table's entry.
     """
 
     def __init__(self, triples: DataFrame, scratch: Scratch, policy: SkewPolicy = DEFAULT_SKEW):
@@ -183,10 +186,17 @@ class Adjacency:
         edges = triples.select(F.col("subject").alias("node"), F.col("object").alias("other"))
         edges = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
         self.nodes = edges.select("node")
-        edges = scratch.save(edges.where("node != other").distinct(), "edges")
-        hot = NO_HOT_KEYS if too_small(edges, policy) else hot_keys(edges, "node", policy)
-        if hot is NO_HOT_KEYS:
+        edges = edges.where("node != other")
+        if too_small(triples, policy):
             hot = local_table(spark, [], "hot_key string, splits int")
+        else:
+            # Triples are sampled before both ends are taken; shares scale to all triples.
+            share = min(policy.sample, 1.0)
+            part = replace(policy, sample=1.0, min_rows=max(1, int(policy.min_rows * share)),
+                           rows_per_split=max(1, int(policy.rows_per_split * share)))
+            rows = triples.sample(fraction=share, seed=7) if share < 1.0 else triples
+            ends = rows.where("subject != object").select(F.explode(F.array("subject", "object")).alias("node"))
+            hot = hot_keys(ends, "node", part)
         self.hot = scratch.save(hot.withColumnRenamed("hot_key", "node"), "hot")
         split = edges.join(F.broadcast(self.hot), "node", "left").select(
             "node", F.when(F.col("splits").isNotNull(), F.pmod(F.xxhash64("other"), F.col("splits"))).otherwise(0).cast("int").alias("part"),

@@ -473,3 +473,14 @@ def test_registered_queries_are_paired():
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 110
+
+
+def test_adjacency_shuffles_the_edges_once(spark, scratch, monkeypatch):
+    """Nothing but the few hub rows is written before the buckets; copies, loops and nulls change no level."""
+    names = []
+    plain = scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, name="t": names.append(name) or plain(df, name))
+    rows = graph(spark, SMALL * 3 + [("a", "p1", None), (None, "p1", "x"), ("c", "p1", "d")])
+    for policy in (SkewPolicy(), SkewPolicy(min_rows=2, rows_per_split=1, sample=1.0)):
+        assert as_map(G.bfs_levels(rows, "b", scratch, policy)) == {"b": 0, "a": 1, "c": 2, "d": 3}
+    assert names == ["hot", "hot"]
