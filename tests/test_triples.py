@@ -329,3 +329,20 @@ def test_packed_join_carries_keys_once_and_nulls_are_equal(spark, hot):
     }
     rest = packed_join(left, right.select("b", "k"), ["k", "b"], "left_anti", policy, with_hot)
     assert rest.columns == left.columns and {r["id"] for r in rest.collect()} == {3, 5}
+
+
+def test_a_graph_that_is_a_set_is_not_merged_again(spark, scratch, monkeypatch):
+    """Passes ask for new triples without merging copies in the graph; other callers' graphs may have some."""
+    known = [("a", "isA", "Place"), ("b", "p", "x")]
+    rows = frame(spark, {0: known + [("c", "p", "x"), ("c", "p", "x")]})
+    for is_set, kg in ((True, known), (False, known * 2)):
+        fresh = T.new_triples(rows, frame(spark, {0: kg}), is_set=is_set)
+        assert [r["subject"] for r in fresh.collect()] == ["c", "c"]
+    told = []
+    plain = T.new_triples
+    monkeypatch.setattr(T, "new_triples", lambda *a: told.append(a[3]) or plain(*a))
+    start = frame(spark, {0: known * 2})
+    for empty in (start.limit(0), start):
+        T.run_epochs(lambda kg, epoch: rows, empty, None, scratch, epochs=3)
+    # Begun empty: the second pass. Begun with a graph that has copies: both passes.
+    assert told == [True, False, False]
