@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kgspark.rows import over_rows
 from kgspark.skew import dense_index, hot_ends, lookup_join
 from kgspark.storage import Scratch
 
@@ -16,6 +20,7 @@ CHUNK_SIZE = 512
 CHARACTERS_PER_TOKEN = 4
 FAN_IN = 6
 MIN_SCOPE_LENGTH = 100
+PIECE = 1 << 16  # characters after which a piece of a merged document ends
 
 
 def _word_chunks(text: Column, k: int) -> Column:
@@ -126,7 +131,8 @@ def tree_merge(
     than that many; a group of one passes through unmerged. ``seq`` counts the
     documents of a group 0, 1, 2... The size of a merged document is up to the
     merge function (a summary is bounded, a concatenation is not); to keep all
-    lines of many documents use ``merge_distinct_lines``, whose result is a table.
+    lines of many documents use ``tree_merge_lines`` or ``merge_distinct_lines``,
+    whose results are tables.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
@@ -161,6 +167,91 @@ def tree_merge(
         state = after
 
 
+def _pieces(lines: Iterator[str]) -> Iterator[str | None]:
+    """The lines as texts of bounded length, but for longer lines; a single null if there are none."""
+    held, size, ended = [], 0, False
+    for line in lines:
+        held.append(line)
+        size += len(line) + 1
+        if size >= PIECE:
+            yield "\n".join(held)
+            held, size, ended = [], 0, True
+    if held:
+        yield "\n".join(held)
+    elif not ended:
+        yield None
+
+
+def tree_merge_lines(
+    docs: DataFrame, group: str, seq: str, text: str,
+    merge: Callable[[Iterator[Iterator[str]]], Iterator[str]], scratch: Scratch, fan_in: int = FAN_IN,
+) -> DataFrame:
+    """(group, pos, text, rounds): ``tree_merge`` of documents without a bound, line by line.
+
+    ``merge`` gets ``fan_in`` consecutive documents, each as an iterator over its lines,
+    and yields the lines of the merged one. No document is held whole: it is a table of
+    pieces, which joined by line breaks in order of ``pos`` are its text. A null text has no
+    lines; a document without lines is one null piece.
+    """
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
+    state = scratch.save(docs.select(
+        F.col(group).alias("g"), F.col(seq).cast("long").alias("s"), F.lit(0).cast("long").alias("pos"),
+        F.col(text).alias("t"), F.lit(0).alias("rounds"),
+    ), "merge")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
+
+    def merge_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+        def lines(pieces):
+            for _, _, _, _, t, _ in pieces:
+                if t is not None:
+                    yield from t.split("\n")
+
+        for (g, six), document in groupby(rows, itemgetter(0, 1)):
+            first = next(document)
+            if (second := next(document, None)) is None:  # passes unmerged
+                yield g, six, 0, first[4], first[5] + 1
+                continue
+            every = chain((first, second), document)
+            merged = merge(lines(pieces) for _, pieces in groupby(every, itemgetter(2)))
+            for pos, piece in enumerate(_pieces(merged)):
+                yield g, six, pos, piece, first[5] + 1
+
+    while True:
+        counts = state.where("pos = 0").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        counts = scratch.save(counts, "open")
+        if counts.isEmpty():
+            return state.select(F.col("g").alias(group), "pos", F.col("t").alias(text), "rounds")
+        hot = hot_ends(state, ["g"], scratch)["g"]
+        finished = lookup_join(state, counts, "g", "left_anti", hot=hot)
+        dealt = lookup_join(state, counts, "g", "left_semi", hot=hot).select(
+            "g", F.floor(F.col("s") / fan_in).alias("six"), "s", "pos", "t", "rounds"
+        ).repartition("g", "six").sortWithinPartitions("g", "six", "s", "pos")
+        after = scratch.save(finished.select(state.columns).unionByName(over_rows(dealt, merge_rows, columns)), "merge")
+        scratch.drop(state)
+        state = after
+
+
+def joined_md5(pieces: DataFrame, group: str, pos: str, text: str) -> DataFrame:
+    """(group, .., digest): MD5 of each group's pieces joined by line breaks, of which no more than one is held.
+
+    Further columns are those of the first piece. Null if that piece is null.
+    """
+    others = [c for c in pieces.columns if c not in (group, pos, text)]
+    rows = pieces.select(group, pos, text, *others).repartition(group).sortWithinPartitions(group, pos)
+    kinds = [(c, pieces.schema[c].dataType.simpleString()) for c in [group, *others]]
+
+    def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for g, document in groupby(rows, itemgetter(0)):
+            _, _, t, *rest = next(document)
+            digest = None if t is None else hashlib.md5(t.encode())
+            for _, _, t, *_ in document:
+                digest.update(b"\n" + t.encode())
+            yield g, *rest, digest and digest.hexdigest()
+
+    return over_rows(rows, digests, ", ".join(f"`{c}` {kind}" for c, kind in kinds) + ", digest string")
+
+
 def check_min_length(df: DataFrame, text: str, minimum: int = MIN_SCOPE_LENGTH) -> tuple[DataFrame, DataFrame]:
     """(kept, quarantine): texts below the minimum length, or null, are set apart."""
     good = F.coalesce(F.length(text) >= minimum, F.lit(False))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -60,6 +61,31 @@ def test_tree_merge_equals_line_table(spark, scratch):
     assert merged["y"] == ("only", 0)
 
 
+def test_line_merge_holds_no_document(spark, scratch):
+    rng = random.Random(2)
+    texts = ["\n".join(f"{rng.randrange(9000):0100d}" for _ in range(90)) for _ in range(37)] + ["", None, "a\n"]
+    rows = docs(spark, texts).withColumn("g", F.lit("x"))
+    rows = rows.unionByName(docs(spark, ["only\nonly"]).withColumn("g", F.lit("y")))
+    rows = rows.unionByName(docs(spark, [None, None]).withColumn("g", F.lit("z")))
+
+    def merge(documents):
+        lines, n = {}, 0
+        for document in documents:
+            lines.update(dict.fromkeys(document))
+            n += 1
+        assert 1 < n <= 6
+        return iter(lines)
+
+    pieces = X.tree_merge_lines(rows, "g", "id", "text", merge, scratch)
+    merged = "\n".join(dict.fromkeys(line for t in texts if t is not None for line in t.split("\n")))
+    big = pieces.where("g = 'x'").orderBy("pos").collect()
+    assert [r["pos"] for r in big] == list(range(len(big))) and len(big) > 2 and {r["rounds"] for r in big} == {3}
+    assert max(len(r["text"]) for r in big) < X.PIECE + 100 and "\n".join(r["text"] for r in big) == merged
+    got = {r["g"]: (r["digest"], r["rounds"]) for r in X.joined_md5(pieces, "g", "pos", "text").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {"x": (md5(merged), 3), "y": (md5("only\nonly"), 0), "z": (None, 1)}
+
+
 def test_quarantines(spark):
     kept, short = X.check_min_length(docs(spark, ["x" * 100, "x" * 99, None]), "text")
     assert kept.count() == 1 and short.count() == 2
