@@ -26,7 +26,8 @@ INSTRUCTION = "List the facts of the text as triples of the ontology."
 def number_chunks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, chunk_size: int) -> DataFrame:
     """(request_id, doc, pos, text): chunks of the texts that need them, numbered in order."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("trim(text) != ''")
-    chunks = texts.chunk_gate(rows, "text", chunk_size)
+    # Written first, as numbering reads the keys once more to find its ranges: texts are cut once.
+    chunks = scratch.save(texts.chunk_gate(rows, "text", chunk_size), "cut")
     return scratch.save(dense_index(chunks, [F.asc("doc"), F.asc("pos")], "request_id", scratch), "chunks")
 
 

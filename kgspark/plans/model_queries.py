@@ -166,10 +166,12 @@ def u4_queue(t):
 def term_model():
     """Names long words as terms, and gives the length of those it is told are known."""
     def make():
+        term = re.compile(r"\b[a-z]{14,}\b")
+
         def reply(request):
             request = json.loads(request)
             known = {k["subject"] for k in json.loads(request["known"])}
-            terms = {w for w in re.split(r"\W+", request["text"]) if re.fullmatch("[a-z]{14,}", w)}
+            terms = set(term.findall(request["text"]))
             return json.dumps(
                 [{"subject": w, "predicate": "isA", "object": "Term"} for w in sorted(terms)]
                 + [{"subject": w, "predicate": "hasLength", "object": str(len(w))} for w in sorted(terms & known)]

@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kgspark.operators import sampling as Q
+from kgspark.operators.generate import number_chunks
 from kgspark.operators import similarity
 from kgspark.operators import text as X
 from kgspark.operators.hierarchy import connected_components
@@ -44,6 +45,21 @@ def test_batches_join_in_order(spark):
     assert [r["text"] for r in got] == ["a\nb", "c\nd", "e"]
 
 
+def test_texts_are_cut_once_before_they_are_numbered(spark, scratch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    texts = ["a " * 1024 + "b", "one", " ", "two"]
+    rows = docs(spark, texts).select("id", F.udf(read).asNondeterministic()("text").alias("text"))
+    got = number_chunks(rows, "id", "text", scratch, 512).orderBy("request_id").collect()
+    assert [(r["request_id"], r["doc"], r["pos"]) for r in got] == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 0), (4, 3, 0)]
+    assert " ".join(r["text"] for r in got).split() == " ".join(texts).split()
+    assert seen.value == len(texts)
+
+
 @pytest.mark.parametrize("n,rounds", [(1, 0), (6, 1), (7, 2), (36, 2), (37, 3)])
 def test_merge_rounds(n, rounds):
     assert X.merge_rounds(n) == rounds
