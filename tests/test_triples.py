@@ -9,7 +9,7 @@ from kgspark.operators import triples as T
 from kgspark.plans.star import make_ontology
 from kgspark.skew import SkewPolicy
 from kgspark.sources import mapping as M
-from kgspark.storage import local_table
+from kgspark.storage import local_table, path_exists
 
 COLUMNS = "subject string, predicate string, object string, batch_id long, seq long"
 CLEAN = [
@@ -202,6 +202,31 @@ def test_equals_sequential(spark, base, scratch, whole, policy):
         assert {tuple(r) for r in got.collect()} == kg
 
 
+def test_batches_are_settled_on_few_rows(spark, base, scratch, monkeypatch):
+    """Uses of entities that one batch defines come down to that batch; no table of all rows is written."""
+    people = [(f"p_{i}", "isA", "Writer") for i in range(5)]
+    batches = {0: people, 1: [("nobody", "isA", "Dog"), ("paris", "isA", "Place")]}
+    for b in range(2, 5):
+        books = [(f"book_{b}", "isA", "Book")] + [(f"book_{b}", "hasAuthor", f"p_{i % 5}") for i in range(60)]
+        batches[b] = books + ([("p_1", "bornIn", "paris")] if b == 3 else [])
+    written = []
+    save = type(scratch).save
+    monkeypatch.setattr(type(scratch), "save", lambda self, df, name="t": written.append(save(self, df, name)) or written[-1])
+    _, verdicts = T.accept_batches(frame(spark, batches), base, scratch)
+    assert {r["batch_id"]: r["accepted"] for r in verdicts.collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+    assert max(t.count() for t in written if path_exists(spark, t._scratch_path)) < 60
+
+
+def test_batches_without_ids_or_entities(spark, base, scratch):
+    rows = [
+        ("jane", "isA", "Writer", 0, 0), ("emma", "isA", "Book", 0, 1), (None, "isA", "Book", 1, 0),
+        (None, "hasAuthor", "jane", 1, 1), (None, "hasAuthor", "jane", 2, 0), ("paris", "isA", "Place", None, 0),
+        ("emma", "hasAuthor", "paris", None, 1), ("emma", None, "jane", 3, 0),
+    ]
+    _, verdicts = T.accept_batches(local_table(spark, rows, COLUMNS), base, scratch)
+    assert {r["batch_id"]: r["accepted"] for r in verdicts.collect()} == {0: True, 1: False, 2: False, None: False}
+
+
 def test_accepted_graph_validates_again(spark, base, scratch):
     rows = frame(spark, worlds(11, 1, 40)[0])
     kept = T.accepted(T.validate(rows, base, scratch))
