@@ -11,7 +11,9 @@ from kgspark.operators.generate import number_chunks
 from kgspark.operators import similarity
 from kgspark.operators import text as X
 from kgspark.operators.hierarchy import connected_components
+from kgspark.rows import over_rows
 from kgspark.skew import SkewPolicy, dense_index, hot_keys, lookup_join
+from kgspark.storage import local_table
 
 
 def docs(spark, texts):
@@ -233,6 +235,19 @@ def test_bitmaps_never_exclude_similar_sets(base, more, gone):
             assert similarity._may_be_similar(threshold)([pack(a), pack(b)])(pack(b), np.array([0, 1])).all()
 
 
+def test_a_group_of_one_block_sends_each_class_once(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(similarity, "over_rows", lambda df, fn, schema: dealt.append(df) or over_rows(df, fn, schema))
+    rows = [(7, s, 1 if s < 3 else s, 1, 5, 3) for s in range(1, 6)]
+    members = local_table(spark, rows, "grp long, sid long, component long, main long, size long, outer long")
+    payload = local_table(spark, [(s, bytes([s])) for s in range(1, 6)], "sid long, payload binary")
+    seen = lambda payloads: lambda data, at: np.array([payloads[k][0] + data[0] in (5, 9) for k in at])
+    for limit, n in ((10, 5), (2, 19)):  # else each of 5 in two blocks, and 3 outer ones with three
+        pairs = {tuple(sorted(r)) for r in similarity._blocks(members, payload, seen, limit).collect()}
+        assert pairs == {(1, 4), (2, 3), (4, 5)}
+        assert dealt[-1].count() == n
+
+
 def test_apply_duplicate_ids(spark):
     rows = spark.createDataFrame([(i, f"q{i % 5}") for i in range(6)], "idx long, text string")
     groups = spark.createDataFrame([(0, 0), (0, 5), (0, 3), (2, 2), (2, 99), (77, 4)], "group_idx long, idx long")
