@@ -484,3 +484,25 @@ def test_adjacency_shuffles_the_edges_once(spark, scratch, monkeypatch):
     for policy in (SkewPolicy(), SkewPolicy(min_rows=2, rows_per_split=1, sample=1.0)):
         assert as_map(G.bfs_levels(rows, "b", scratch, policy)) == {"b": 0, "a": 1, "c": 2, "d": 3}
     assert names == ["hot", "hot"]
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark, scratch):
+    """What was shuffled to write a table goes when it is there; the session's own setting stays as it was."""
+    from kgspark.storage import FREED
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = blocks.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    there, setting = files(), spark.conf.get(FREED, None)
+    rows = spark.range(10_000).selectExpr("id % 1000 AS k", "id").groupBy("k").agg(F.sum("id").alias("n"))
+    saved = scratch.save(rows)
+    for _ in range(100):
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there and saved.count() == 1000
+    assert spark.conf.get(FREED, None) == setting
+    assert all(f.endswith(".zstd.parquet") for f in saved.inputFiles())
