@@ -12,7 +12,7 @@ from kgspark.operators.ontology import Ontology
 from kgspark.operators.triples import SPO, to_digraph_edges
 from kgspark.rows import over_rows
 from kgspark.skew import dense_index
-from kgspark.storage import Scratch, hadoop_path, local_table, path_exists
+from kgspark.storage import Scratch, hadoop_path, local_table, path_exists, shuffles_freed
 
 # File suffixes that count as text sources.
 TEXT_SUFFIXES = [
@@ -276,14 +276,18 @@ def write_kg(triples: DataFrame, name: str, path: str) -> None:
 
 
 def write_kg_lines(triples: DataFrame, name: str, path: str, rows_per_document: int = 10_000) -> None:
-    """JSON lines for exchange: documents of about ``rows_per_document`` triples."""
+    """JSON lines for exchange, compressed: documents of about ``rows_per_document`` triples.
+
+    Copies of a triple are in one document, so its set merges them, and rows are shuffled once.
+    """
     total = triples.count()
     documents = max(1, -(-total // rows_per_document))
     bucket = F.pmod(F.xxhash64(*SPO), F.lit(documents)).alias("bucket")
-    lists = triples.select(*SPO, bucket).distinct().groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.struct(*SPO))).alias("triplets")
+    lists = triples.select(F.struct(*SPO).alias("t"), bucket).groupBy("bucket").agg(
+        F.sort_array(F.collect_set("t")).alias("triplets")
     )
-    lists.select(F.to_json(F.struct(F.lit(name).alias("name"), "triplets"))).write.text(path)
+    with shuffles_freed(triples.sparkSession):
+        lists.select(F.to_json(F.struct(F.lit(name).alias("name"), "triplets"))).write.option("compression", "gzip").text(path)
 
 
 # ------------------------------------------------------------------ exports

@@ -506,3 +506,12 @@ def test_scratch_tables_leave_no_shuffle_files(spark, scratch):
     assert not files() - there and saved.count() == 1000
     assert spark.conf.get(FREED, None) == setting
     assert all(f.endswith(".zstd.parquet") for f in saved.inputFiles())
+
+
+def test_graph_documents_are_compressed_and_copies_merged(spark, tmp_path):
+    rows = graph(spark, [(f"s{i % 500}", "p", "o" * 50) for i in range(1500)] + [("x", "p", None), ("x", "p", None)])
+    S.write_kg_lines(rows, "kg", str(tmp_path / "out"), rows_per_document=100)
+    parts = list((tmp_path / "out").glob("part-*"))
+    assert parts and all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 15_000
+    back, broken = S.read_kg(spark, str(tmp_path / "out"), lines=True)
+    assert broken.isEmpty() and back.count() == 501 and back.select(*T.SPO).distinct().count() == 501
