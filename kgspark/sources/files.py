@@ -314,8 +314,9 @@ def _sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    """Write JSON lines and read them back, so that what is made from them does not compute them again."""
-    df.write.json(path)
+    """Write JSON lines, compressed, and read them back, so that what is made from them does not compute them again."""
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "gzip").json(path)
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
@@ -332,7 +333,7 @@ def write_node_link(triples: DataFrame, path: str) -> None:
         F.lit(True).alias("directed"), F.lit(False).alias("multigraph")
     ).write.json(f"{path}/head")
     edges = _written(_digraph(triples), f"{path}/links")
-    _ends(edges).select(F.col("node").alias("id")).write.json(f"{path}/nodes")
+    _written(_ends(edges).select(F.col("node").alias("id")), f"{path}/nodes")
 
 
 def write_op_history(

@@ -515,3 +515,13 @@ def test_graph_documents_are_compressed_and_copies_merged(spark, tmp_path):
     assert parts and all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 15_000
     back, broken = S.read_kg(spark, str(tmp_path / "out"), lines=True)
     assert broken.isEmpty() and back.count() == 501 and back.select(*T.SPO).distinct().count() == 501
+
+
+def test_exported_edges_and_nodes_are_compressed(spark, tmp_path):
+    rows = graph(spark, [(f"s{i}", "p", f"o{i % 7}") for i in range(300)])
+    S.write_graph_stats(rows, str(tmp_path / "stats"))
+    S.write_node_link(rows, str(tmp_path / "link"))
+    for folder, n in (("stats/edges", 300), ("stats/nodes", 307), ("link/links", 300), ("link/nodes", 307)):
+        parts = list((tmp_path / folder).glob("part-*"))
+        assert parts and all(p.name.endswith(".json.gz") for p in parts)
+        assert spark.read.json(str(tmp_path / folder)).count() == n
