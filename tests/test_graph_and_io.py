@@ -525,3 +525,17 @@ def test_exported_edges_and_nodes_are_compressed(spark, tmp_path):
         parts = list((tmp_path / folder).glob("part-*"))
         assert parts and all(p.name.endswith(".json.gz") for p in parts)
         assert spark.read.json(str(tmp_path / folder)).count() == n
+
+
+def test_known_triples_are_those_that_rows_may_equal(spark, scratch, tmp_path):
+    """Of subjects only the predicates of the rows and types are read; nulls are equal."""
+    kg = str(tmp_path / "kg")
+    known = [("a", "p", "x"), ("a", "q", "x"), ("a", "isA", "A"), ("x", "isA", "X"), ("x", "p", "a"), ("a", None, "z")]
+    I.write_published(graph(spark, known), 0, kg, 8)
+    for rows, want in (
+        ([("a", "p", "x")], {known[0], known[2], known[3]}),
+        ([("a", None, "x"), (None, "q", "a")], {known[2], known[3], known[5]}),
+        ([(None, "p", None)], set()),
+    ):
+        got = I.read_known(spark, kg, graph(spark, rows), 1, 8).select(*T.SPO).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
