@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.skew import DEFAULT_SKEW, SkewPolicy, lookup_join
+from kgspark.skew import DEFAULT_SKEW, SkewPolicy, by_shuffle, lookup_join
 from kgspark.storage import Scratch
 
 
-def _star(edges: DataFrame, policy: SkewPolicy, rows: int) -> DataFrame:
+def _star(edges: DataFrame, policy: SkewPolicy, rows: int, shuffled: bool) -> DataFrame:
     """Join each row (node, other) with (node, low): the least id next to node."""
     lows = edges.groupBy("node").agg(
         F.least(F.col("node"), F.min("other")).alias("low"), F.count(F.lit(1)).alias("n")
     )
-    return lookup_join(edges, lows, "node", how="inner", policy=policy, weight="n", rows=rows)
+    return lookup_join(edges, lows, "node", how="inner", policy=policy, weight="n", rows=rows, shuffled=shuffled)
 
 
 def connected_components(
     edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b",
-    policy: SkewPolicy = DEFAULT_SKEW,
+    policy: SkewPolicy = DEFAULT_SKEW, shuffled: bool = False,
 ) -> DataFrame:
     """(node, component) of an undirected edge table; component = least node.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): every
     round relinks edges to the least neighbour, until all components are stars.
     Each round is one scratch table; hubs are split by their known edge counts.
+    ``shuffled`` keeps Spark from sending tables of nodes through the driver.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where(
         "node is not null and other is not null"
@@ -38,18 +39,18 @@ def connected_components(
     )
     while True:
         if _is_star_forest(links):
-            return nodes.join(links, "node", "left").select(
+            return nodes.join(by_shuffle(links) if shuffled else links, "node", "left").select(
                 "node", F.coalesce("other", "node").alias("component")
             )
         n = links.count()
         both = links.select(F.explode(F.array(
             F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))
         )).alias("e")).select("e.*")
-        large = _star(both, policy, 2 * n).where("other > node and other != low").select(
+        large = _star(both, policy, 2 * n, shuffled).where("other > node and other != low").select(
             F.col("other").alias("node"), F.col("low").alias("other")
         ).distinct()
         large = scratch.save(large, "large")
-        small = _star(large, policy, n).select(F.explode(F.array(
+        small = _star(large, policy, n, shuffled).select(F.explode(F.array(
             F.struct(F.col("other").alias("node"), F.col("low").alias("other")),
             F.struct(F.col("node").alias("node"), F.col("low").alias("other")),
         )).alias("e")).select("e.*").where("node != other").distinct()

@@ -166,3 +166,19 @@ def test_spanning_forest(spark, scratch):
             chosen.append(rank)
     found = spanning_forest(spark.createDataFrame(edges, "a string, b string, rank long"), scratch)
     assert sorted(r["rank"] for r in found.collect()) == chosen
+
+
+def test_replay_sends_no_table_through_the_driver(spark, scratch, monkeypatch):
+    """All joins are shuffled but those with bounded tables: offsets of partitions, and hot ones of born and died."""
+    joins, save = [], type(scratch).save
+
+    def noted(self, df, name="t"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins.extend(line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line)
+        return save(self, df, name)
+
+    monkeypatch.setattr(type(scratch), "save", noted)
+    edges = [("B", "A"), ("D", "C"), ("F", "E")]
+    operations = [("merge", [1, 2], [("A", "C")], []), ("prune", [1], [], ["E"]), ("merge", [1, 2], [("B", "A")], [])]
+    _, log = check(spark, scratch, edges, [("p", ["A"], ["D"])], [("d", ["E"])], operations)
+    assert log and [line for line in joins if not any(k in line for k in ("[_pid#", "[born#", "[died#"))] == []
