@@ -13,7 +13,7 @@ from kgspark.operators import text as X
 from kgspark.operators.hierarchy import connected_components
 from kgspark.rows import over_rows
 from kgspark.skew import SkewPolicy, dense_index, hot_keys, lookup_join
-from kgspark.storage import local_table
+from kgspark.storage import local_table, path_exists
 
 
 def docs(spark, texts):
@@ -279,3 +279,18 @@ def test_salted_join_equals_plain_join(spark):
         salted = lookup_join(left, right.select("key"), "key", how, policy).select("id")
         plain = left.join(right, "key", how).select("id")
         assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_near_duplicates_leave_no_tables_of_the_join(spark, scratch, monkeypatch):
+    """Within the join a round's tables go when the next one's are there; behind it only the links stay."""
+    written, save = [], type(scratch).save
+    monkeypatch.setattr(
+        type(scratch), "save", lambda self, df, name="t": written.append((name, save(self, df, name))) or written[-1][1])
+    rows = docs(spark, [" ".join(sorted(s)) for s in similar_sets(4)])
+    stay = lambda: {name for name, table in written if path_exists(spark, table._scratch_path)}
+    Q.near_dup_links(rows, "id", "text", scratch, 0.8, 4).count()
+    assert {"stars", "open", "prefixes"} <= {name for name, _ in written} and not {"stars", "open", "prefixes"} & stay()
+    written.clear()
+    groups = Q.near_dup_groups(rows, "id", "text", scratch)
+    assert not {"sets", "classes", "shared", "components", "clusters", "members"} & stay() and "links" in stay()
+    assert groups.count() > 0
